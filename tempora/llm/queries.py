@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import embed_index, quality, shard
+from tempora.llm import embed_index, media, quality, shard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +48,16 @@ def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(media.store(spark, _table(spark, sf_dir, "documents")).df)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_multi_index_hashing": op4_multi_index_hashing,
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
         "op7_factorisation_machine": op7_factorisation_machine,
+        "op10_chunked_media": op10_chunked_media,
     }
 
 
