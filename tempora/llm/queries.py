@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import embed_index, grammar, media, quality, shard
+from tempora.llm import embed_index, grammar, media, quality, shard, wordbpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op2_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.read_ids(grammar.write_ids(spark, docs, _vocabulary("word_bpe_49k.json")).df)
 
 
+def op3_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return wordbpe.encode_texts(spark, _table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return embed_index.nearest(spark, vectors, vectors.where("vec_id % 20 = 0"))
@@ -66,6 +72,7 @@ def op10_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_repair_ids": op2_repair_ids,
+        "op3_distinct_word_bpe": op3_distinct_word_bpe,
         "op4_multi_index_hashing": op4_multi_index_hashing,
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
         "op7_factorisation_machine": op7_factorisation_machine,
