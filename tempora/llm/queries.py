@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import embed_index, grammar, media, quality, shard, wordbpe
+from tempora.llm import embed_index, grammar, media, quality, shard, substring, wordbpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(spark, _table(spark, sf_dir, "documents"))
+
+
 def op2_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return grammar.read_ids(grammar.write_ids(spark, docs, _vocabulary("word_bpe_49k.json")).df)
@@ -71,6 +75,7 @@ def op10_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op2_repair_ids": op2_repair_ids,
         "op3_distinct_word_bpe": op3_distinct_word_bpe,
         "op4_multi_index_hashing": op4_multi_index_hashing,
