@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import embed_index, grammar, media, quality, shard, substring, wordbpe
+from tempora.llm import embed_index, grammar, media, quality, recompress, shard, substring, wordbpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.remove_repeats(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read(media.store(spark, _table(spark, sf_dir, "documents")).df)
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_multi_index_hashing": op4_multi_index_hashing,
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
         "op7_factorisation_machine": op7_factorisation_machine,
+        "op9_recompression_dedup": op9_recompression_dedup,
         "op10_chunked_media": op10_chunked_media,
     }
 
