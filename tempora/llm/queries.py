@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import embed_index, grammar, media, quality, recompress, shard, substring, wordbpe
+from tempora.llm import embed_index, grammar, media, ngram, quality, recompress, shard, substring, wordbpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_index.nearest(spark, vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.near_duplicates(spark, _table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_distinct_word_bpe": op3_distinct_word_bpe,
         "op4_multi_index_hashing": op4_multi_index_hashing,
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_factorisation_machine": op7_factorisation_machine,
         "op9_recompression_dedup": op9_recompression_dedup,
         "op10_chunked_media": op10_chunked_media,
