@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import embed_index, grammar, media, ngram, quality, recompress, shard, substring, wordbpe
+from tempora.llm import embed_index, grammar, media, mixing, ngram, quality, recompress, shard, substring, wordbpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,17 @@ def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Shares of the mixture's tokens by domain.
+WEIGHTS = {"clean": 0.94, "toxic": 0.02, "low": 0.03, "low_toxic": 0.01}
+
+
+def op8_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix(spark, docs, _table(spark, sf_dir, "labels"), weights=WEIGHTS)
+    posterior = [F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
+    return mixed.select("doc_id", "n_tokens", *posterior, "rate", "copies")
+
+
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.remove_repeats(spark, _table(spark, sf_dir, "documents"))
 
@@ -90,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_factorisation_machine": op7_factorisation_machine,
+        "op8_soft_membership_mixing": op8_soft_membership_mixing,
         "op9_recompression_dedup": op9_recompression_dedup,
         "op10_chunked_media": op10_chunked_media,
     }
