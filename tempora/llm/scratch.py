@@ -7,13 +7,13 @@ before. Where the session names no folder (tests on one machine), a temporary on
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,10 +42,14 @@ class Stash:
         self.spark = spark
         self.path = f"{shared_root(spark)}/tempora-{name}-{uuid.uuid4().hex[:12]}"
         schema = df.schema
-        df.write.parquet(self.path)
+        before = spark.conf.get(_CLEANUP)
+        spark.conf.set(_CLEANUP, "true")  # this job's shuffle files go when the table is written
+        try:
+            df.write.parquet(self.path)
+        finally:
+            spark.conf.set(_CLEANUP, before)
         _fs_path(spark, self.path, on_exit=True)
         self.df = spark.read.schema(schema).parquet(self.path)
-        release(spark)
 
     def drop(self) -> None:
         fs, p = _fs_path(self.spark, self.path)
@@ -54,9 +58,3 @@ class Stash:
 
 def stash(spark: SparkSession, df: DataFrame, name: str) -> Stash:
     return Stash(spark, df, name)
-
-
-def release(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go once the driver's plan objects are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
