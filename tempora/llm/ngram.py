@@ -208,12 +208,12 @@ def _open_pairs(rows: Iterator[dict], percent: int, forest: bool) -> list[tuple[
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(rid, doc_id, n_shingles, n_links, component_id) for every row of ``docs``; ``rid`` is its place in the input.
+    """(rid, doc_id, n_shingles, n_links, component_id, group_id) for every row; ``rid`` is its place in the input.
 
     Two rows link when 100 * overlap >= percent * union of their n-gram sets. component_id is the least
     doc_id reachable, the row's own included; n_links counts the different sets found linked to the row's
     own by the joins above (a spanning part of all links where a group is large). Rows without words link
-    with nothing. Null ids are left out of the least (null if a component has no other). Repeated rows
+    with nothing. group_id tells components apart where ids are null or repeated (null without words). Null ids are left out of the least (null if a component has no other). Repeated rows
     are one class. An empty table gives an empty result.
     """
     rows = numbered(docs)
@@ -270,10 +270,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
     joined = classes.df.join(roots.df.withColumnRenamed("node", "rid"), "rid", "left").join(degree, "rid", "left")
     joined = joined.withColumn("root", F.coalesce("root", "rid"))
     low = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stash(spark, joined.join(low, "root").select("k1", "k2", F.coalesce("links", F.lit(0)).alias("n_links"), "component_id"), "components")
+    named = stash(spark, joined.join(low, "root").select("k1", "k2", F.coalesce("links", F.lit(0)).alias("n_links"), "component_id", F.col("root").alias("group_id")), "components")
     result = stash(spark, everything.select("rid", "doc_id", "n", "k1", "k2").join(named.df, ["k1", "k2"], "left").select(
         "rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "group_id",
     ), "result")
     for t in (table, classes, columns, named, roots, *links):
         t.drop()

@@ -247,3 +247,51 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     return rows.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)
+
+
+def _whole_signs(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """What is left without the runs, each narrowed to whole UTF-8 signs."""
+    at, kept = 0, []
+    for a, e in runs:
+        while a < e and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while e > a and e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        kept.append(raw[at:a])
+        at = max(at, e)
+    return b"".join((*kept, raw[at:]))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs``, every column kept, with repeated strings cut out of ``text`` (whole signs only).
+
+    n_chars, if there is such a column, becomes the new text's length where anything was cut. Null texts stay
+    null, and a row of which nothing is left has the empty text. The columns _rid and _spans must not occur.
+    """
+    spans = repeated_spans(spark, numbered(docs), length)
+
+    names = docs.columns
+    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(spans.select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")), "_rid", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = []
+            changed = []
+            for t, f in zip(b["text"].to_pylist(), b["_spans"].to_pylist(), strict=True):
+                changed.append(bool(t and f))
+                if t and f:
+                    raw = t.encode()
+                    t = _whole_signs(raw, _removed(len(raw), [(s["first"], s["last"] + length) for s in f])).decode()
+                text.append(t)
+            cells = []
+            for name in names:
+                if name == "text":
+                    cells.append(pa.array(text, b["text"].type))
+                elif name == "n_chars":
+                    size = [len(t) if c else n for t, c, n in zip(text, changed, b["n_chars"].to_pylist(), strict=True)]
+                    cells.append(pa.array(size, b["n_chars"].type))
+                else:
+                    cells.append(b[name])
+            yield pa.RecordBatch.from_arrays(cells, names=names)
+
+    return rows.select(*names, "_spans").mapInArrow(run, docs.schema)
