@@ -29,9 +29,9 @@ SAMPLE = 8_000
 LEXICON = 48
 #: Least labelled documents of the rarer domain that hold a lexicon word.
 SUPPORT = 5
-STEPS = 60
+STEPS = 25
 STEP, PULL = 0.9, 1e-3
-TOLERANCE = 1e-7
+TOLERANCE = 1e-4
 SNAP = 0.02
 #: A domain is a pair of labels (quality, toxic).
 DOMAINS = {"clean": (1, 0), "toxic": (1, 1), "low": (0, 0), "low_toxic": (0, 1)}
@@ -132,7 +132,7 @@ def _replayed(history: list[list[float]]) -> Column:
     """The rate after the steps so far, from ``p``; each entry of ``history`` is e_k / s_k."""
     if not history:
         return F.lit(1.0)
-    past = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in history])
+    past = F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in e) + ")" for e in history) + ")")
     dot = lambda e: sum((F.col("p")[k] * e[k] for k in range(len(DOMAINS))), F.lit(0.0))
     return F.aggregate(past, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - F.lit(STEP) * (dot(e) + F.lit(PULL) * (r - F.lit(1.0)))))
 
@@ -151,8 +151,9 @@ def mix(
     """
     model = learn(spark, docs, labels, sample)
     scored = _bins(_with_words(docs), model.lexicon)
-    cells = stash(spark, scored.groupBy("_bins").agg(F.sum("n_tokens").alias("n")), "cells")
-    table = cells.df.select("n", model.posterior().alias("p")).where("n > 0")
+    counted = scored.groupBy("_bins").agg(F.sum("n_tokens").alias("n")).where("n > 0")
+    cells = stash(spark, counted.select("n", model.posterior().alias("p")), "cells")
+    table = cells.df
     sums = lambda rate: [F.sum(F.col("n") * F.col("p")[k] * rate).alias(f"t{k}") for k in range(len(DOMAINS))]
     own = [float(x or 0) for x in table.agg(*sums(F.lit(1.0))).first()]
     total = sum(own)
