@@ -170,5 +170,8 @@ def backoff(streak: Column, first: float = 2.0, most: float = 60.0) -> Column:
 
 def tolerant_time(v: Column) -> Column:
     """Seconds from a VARIANT: a bare number, or the first of the known fields, or 0 if it has none; null if not numeric."""
-    fields = [F.try_variant_get(v, f"$.{name}", "double") for name in ("timestamp_sec", "t", "timestamp", "time")]
-    return F.coalesce(F.try_variant_get(v, "$", "double"), *fields, F.when(F.schema_of_variant(v).startswith("OBJECT"), F.lit(0.0)))
+    names = ("timestamp_sec", "t", "timestamp", "time")
+    first = F.coalesce(*[F.try_variant_get(v, f"$.{name}", "variant") for name in names])
+    bare = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.coalesce(first, F.parse_json(F.lit("0")))).otherwise(v)
+    kind = F.schema_of_variant(bare)
+    return F.when((kind != "STRING") & (kind != "BOOLEAN"), F.try_variant_get(bare, "$", "double"))
