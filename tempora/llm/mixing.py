@@ -36,7 +36,7 @@ SNAP = 0.02
 #: A domain is a pair of labels (quality, toxic).
 DOMAINS = {"clean": (1, 0), "toxic": (1, 1), "low": (0, 0), "low_toxic": (0, 1)}
 _SPACE = r"[\x20\x09-\x0D]+"
-_BINS = {"words": 16, "distinct": 11, "bars": 11, "symbols": 11, "wide": 11, "digits": 6, "lexicon": 4, "runs": 6}
+_BINS = {"words": 16, "distinct": 21, "bars": 11, "symbols": 11, "wide": 11, "lexicon": 4}
 
 
 def _body() -> Column:
@@ -45,11 +45,7 @@ def _body() -> Column:
 
 def _with_words(rows: DataFrame) -> DataFrame:
     """``_w``: the words of the whole lower-cased text; ``n_tokens``: their number."""
-    return rows.withColumn("_w", F.filter(F.split(F.lower(_body()), _SPACE), lambda w: w != "")).withColumn("n_tokens", F.size("_w").cast("long"))
-
-
-def _removed(chars: str) -> Column:
-    return (F.length(_body()) - F.length(F.translate(_body(), chars, ""))).cast("double")
+    return rows.withColumn("_w", F.array_remove(F.split(F.lower(_body()), _SPACE), "")).withColumn("n_tokens", F.size("_w").cast("long"))
 
 
 def _bins(rows: DataFrame, lexicon: list[str]) -> DataFrame:
@@ -60,13 +56,11 @@ def _bins(rows: DataFrame, lexicon: list[str]) -> DataFrame:
     wide = (F.octet_length(_body()) - F.length(_body())) / F.greatest(F.octet_length(_body()), F.lit(1))
     known = {
         "words": cap(F.log2(F.col("n_tokens") + F.lit(1.0)), 16),
-        "distinct": cap(F.size(F.array_distinct("_w")) / n * 10, 11),
-        "bars": cap(_removed("|") / n * 20, 11),
-        "symbols": cap(_removed("#$%&*") / n * 10, 11),
+        "distinct": cap(F.size(F.array_distinct("_w")) / n * 20, 21),
+        "bars": cap((F.length(_body()) - F.length(F.replace(_body(), F.lit("|"), F.lit("")))) / n * 20, 11),
+        "symbols": cap(F.regexp_count(_body(), F.lit("[#$%&*]")) / n * 10, 11),
         "wide": cap(wide * 40, 11),
-        "digits": cap(_removed("0123456789") / n * 10, 6),
         "lexicon": cap(hits, 4),
-        "runs": cap(F.regexp_count(F.lower(_body()), F.lit(r"(\b\S{1,40}) \1 \1 ")) / n * 30, 6),
     }
     return rows.withColumn("_bins", F.array(*[known[k] for k in _BINS])).drop("_w")
 
@@ -146,16 +140,19 @@ def mix(
     Targets are either ``weights`` (shares of all tokens, one for each domain, summing to 1) or ``factors``
     (multiples of each domain's expected total). Null and empty texts have no tokens, and rate by their
     posterior like any other. Null and repeated ids are kept; rows that agree in id and text round alike.
-    An empty table gives an empty result. The columns n_tokens, posterior, rate, copies, _w, _bins and p must
+    An empty table gives an empty result. The columns n_tokens, posterior, rate, copies and _rid must
     not occur.
     """
     model = learn(spark, docs, labels, sample)
-    scored = _bins(_with_words(docs), model.lexicon)
+    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
+    chance = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("double")
+    # one pass over the texts; what follows reads a few bytes a document
+    binned = _bins(_with_words(rows.select("_rid", "text", chance.alias("_u"))), model.lexicon).select("_rid", "_u", "n_tokens", "_bins")
+    scored = stash(spark, binned, "binned").df
     counted = scored.groupBy("_bins").agg(F.sum("n_tokens").alias("n")).where("n > 0")
     cells = stash(spark, counted.select("n", model.posterior().alias("p")), "cells")
-    table = cells.df
     sums = lambda rate: [F.sum(F.col("n") * F.col("p")[k] * rate).alias(f"t{k}") for k in range(len(DOMAINS))]
-    own = [float(x or 0) for x in table.agg(*sums(F.lit(1.0))).first()]
+    own = [float(x or 0) for x in cells.df.agg(*sums(F.lit(1.0))).first()]
     total = sum(own)
     history: list[list[float]] = []
     if total > 0:
@@ -163,7 +160,7 @@ def mix(
         names = list(DOMAINS)
         goal = [share[k] * factors.get(n, 1.0) for k, n in enumerate(names)] if factors is not None else [(weights or {}).get(n, 0.0) for n in names]
         for _ in range(STEPS):
-            now = [float(x or 0) / total for x in table.agg(*sums(_replayed(history))).first()]
+            now = [float(x or 0) / total for x in cells.df.agg(*sums(_replayed(history))).first()]
             error = [(a - g) / s for a, g, s in zip(now, goal, share, strict=True)]
             if history and max(abs(x - y) for x, y in zip(error, history[-1], strict=True)) < TOLERANCE:
                 break
@@ -171,8 +168,8 @@ def mix(
     cells.drop()
     near = F.round("rate")
     rate = F.when(F.abs(F.col("rate") - near) <= SNAP, near).otherwise(F.col("rate"))
-    chance = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("double")
-    return (
+    rated = (
         scored.withColumn("p", model.posterior()).withColumn("rate", _replayed(history)).withColumn("rate", rate)
-        .withColumn("copies", F.floor(F.col("rate") + chance).cast("int")).withColumnRenamed("p", "posterior").drop("_bins")
+        .withColumn("copies", F.floor(F.col("rate") + F.col("_u")).cast("int")).select("_rid", "n_tokens", F.col("p").alias("posterior"), "rate", "copies")
     )
+    return rows.join(rated, "_rid").drop("_rid")
