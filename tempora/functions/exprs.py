@@ -129,9 +129,25 @@ def frame_time(clock: Column, frame: Column, fps: Column, fallback: float = 0.02
     return F.coalesce(clock, F.when(fps > 0, frame / fps), frame * F.lit(fallback))
 
 
+def fixed3(t: Column) -> Column:
+    """A double to three digits, rounded by its exact binary value, ties to even.
+
+    Formatters here round the shortest decimal form instead. The sign of 2000 |t| - (2 k + 1) decides, taken
+    exactly: |t| is split into halves of 26 bits, whose products with 2000 are exact.
+    """
+    a = F.abs(t)
+    k = F.floor(a * 1000)
+    big = a * F.lit(134217729.0)
+    high = big - (big - a)
+    above = (high * 2000 - (2 * k + 1)) + (a - high) * 2000
+    ms = k + F.when((above > 0) | ((above == 0) & (k % 2 == 1)), 1).otherwise(0)
+    sign = F.when(t < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.floor(ms / 1000).cast("string"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
+
+
 def provenance(t: Column, types: Column) -> Column:
     """The first 12 hex digits of a digest over the time to three digits and the sorted distinct types."""
-    parts = F.concat(F.array(F.format_string("%.3f", t)), F.array_sort(F.array_distinct(types)))
+    parts = F.concat(F.array(fixed3(t)), F.array_sort(F.array_distinct(types)))
     return F.substring(F.sha2(F.array_join(parts, chr(124)), 256), 1, 12)
 
 
@@ -175,3 +191,36 @@ def tolerant_time(v: Column) -> Column:
     bare = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.coalesce(first, F.parse_json(F.lit("0")))).otherwise(v)
     kind = F.schema_of_variant(bare)
     return F.when((kind != "STRING") & (kind != "BOOLEAN"), F.try_variant_get(bare, "$", "double"))
+
+
+def scenes_of_reply(c: Column) -> Column:
+    """Scenes of a model's reply: an array of (start_s, end_s, desc), null unless there is at least one."""
+    found = F.from_json(first_object(c), "scenes array<struct<start_s:double,end_s:double,desc:string>>")["scenes"]
+    return F.when(F.size(found) > 0, found)
+
+
+def prompt(header: str, speech: Column, motion_n: Column, keyframes: Column, most: int = 800) -> Column:
+    """The prompt of an understanding window: header, the tail of the speech, counts, keyframe times."""
+    times = F.transform(keyframes, lambda t: F.format_string("%.1f", t))
+    return F.concat_ws("\n", F.lit(header), F.concat(F.lit("speech: "), tail(F.array_join(speech, " "), most)),
+                       F.concat(F.lit("motion: "), motion_n.cast("string")), F.concat(F.lit("keyframes: "), F.array_join(times, ", ")))
+
+
+def entities_merged(old: Column, new: Column) -> Column:
+    """Entities with the newer value of each key."""
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.coalesce(F.map_contains_key(new, k), F.lit(False))), new)
+
+
+def keyframe_union(a: Column, b: Column, most: int = 10) -> Column:
+    """The newest ``most`` of two sets of keyframe times, in order."""
+    both = F.array_sort(F.array_union(a, b))
+    return F.slice(both, F.greatest(F.size(both) - most + 1, F.lit(1)), most)
+
+
+def token_segment_time(token: Column, start: Column, end: Column) -> Column:
+    """The first token's time if it lies in its chunk (within a millionth), else the chunk's start."""
+    return F.when(token.between(start - 1e-6, end + 1e-6), token).otherwise(start)
+
+
+def chunk_of(sample: Column, seconds: float, rate: int = 16_000) -> Column:
+    return F.floor(sample / F.lit(int(seconds * rate))).cast("long")

@@ -130,3 +130,26 @@ def grid_tokens(images: DataFrame, columns: int = 3) -> DataFrame:
     return sheets.groupBy("video_id").agg(
         F.sum("direct").alias("direct_tokens"), F.sum(image_tokens(F.col("cw") * across, F.col("ch") * down)).alias("grid_tokens"), F.count("*").alias("sheets")
     )
+
+
+def top_changes(profile: DataFrame, k: int = 3) -> DataFrame:
+    """The k windows of each timeline that changed most; ties to the earliest."""
+    w = Window.partitionBy("video_id").orderBy(F.desc("change"), "w")
+    return profile.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
+
+
+def verdicts(measured: DataFrame, specs: DataFrame) -> DataFrame:
+    """(name, passed) for each spec (name, least, most) and one row ``all``; what was not measured fails."""
+    ok = F.coalesce((F.col("value") >= F.coalesce("least", F.col("value"))) & (F.col("value") <= F.coalesce("most", F.col("value"))), F.lit(False))
+    each = specs.join(measured, "name", "left").select("name", ok.alias("passed"))
+    return each.unionByName(each.agg(F.lit("all").alias("name"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed")))
+
+
+def pipeline_summary(events: DataFrame, timings: DataFrame, last: int = 200) -> DataFrame:
+    """Counts by kind, and mean time and rate of the last frames of each timeline."""
+    newest = Window.partitionBy("video_id").orderBy(F.desc("seq"))
+    speed = timings.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= last).groupBy("video_id").agg(F.avg("seconds").alias("mean_seconds"))
+    counts = events.groupBy("video_id").agg(
+        F.count_if(F.col("type").startswith("motion")).alias("motion_events"), F.count_if(F.col("type") == "keyframe").alias("keyframes"), F.count("*").alias("events")
+    )
+    return counts.join(speed, "video_id", "left").withColumn("fps", F.lit(1.0) / F.nullif("mean_seconds", F.lit(0.0)))

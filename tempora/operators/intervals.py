@@ -120,3 +120,20 @@ def first_match(points: DataFrame, scenes: DataFrame, eps: float = 1e-6, width:
     hit = interval_join(s, points, lo="lo", hi="hi", at="t", width=width).where(F.col("t") < F.col("hi"))
     found = hit.groupBy("video_id", "seq").agg(F.min("scene").alias("scene"))
     return points.join(found, ["video_id", "seq"], "left")
+
+
+def texts_around(points: DataFrame, subtitles: DataFrame, pad: float, width: float = 60.0) -> DataFrame:
+    """(video_id, seq, texts): of each point the subtitles (s_t, s_end, s_text) that overlap it within ``pad`` seconds, in order."""
+    p = points.withColumn("_bin", F.explode(F.sequence(bins(F.col("t") - pad, width), bins(F.col("t") + pad, width))))
+    s = subtitles.withColumn("_bin", F.explode(F.sequence(bins(F.col("s_t"), width), bins(F.col("s_end"), width))))
+    met = p.join(s, ["video_id", "_bin"]).where((F.col("s_t") <= F.col("t") + pad) & (F.col("s_end") >= F.col("t") - pad))
+    one = met.select("video_id", "seq", "s_t", "s_seq", "s_text").distinct()
+    held = one.groupBy("video_id", "seq").agg(F.array_sort(F.collect_list(F.struct("s_t", "s_seq", "s_text"))).alias("h"))
+    texts = F.transform("h", lambda x: x["s_text"])
+    return points.select("video_id", "seq").join(held, ["video_id", "seq"], "left").select("video_id", "seq", F.coalesce(texts, F.array().cast("array<string>")).alias("texts"))
+
+
+def scene_of(points: DataFrame, scenes: DataFrame, width: float = 600.0) -> DataFrame:
+    """Points with the scene whose half-open interval holds them; points outside all scenes go."""
+    s = scenes.select("video_id", "scene", F.col("start_t").alias("lo"), F.col("end_t").alias("hi"))
+    return interval_join(s, points, lo="lo", hi="hi", at="t", width=width).where(F.col("t") < F.col("hi")).groupBy("video_id", "seq").agg(F.min("scene").alias("scene"))

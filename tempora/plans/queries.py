@@ -153,18 +153,22 @@ def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, "asr").select("video_id", k.cast("long").alias("scene"), F.col("t").alias("start_t"), (F.col("t") + 43_200).alias("end_t"))
 
 
-@query(f"WITH {_E}, {_SC}, {_AS} SELECT * FROM AR")
-def assign_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _events(spark, sf_dir, "keyframe").select("video_id", "seq", "t")
     return intervals.first_match(k, _scenes(spark, sf_dir), width=DAY)
 
 
+@query(f"WITH {_E}, {_SC}, {_AS} SELECT video_id, seq, t, coalesce(scene, -1) AS scene FROM AR")
+def assign_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).withColumn("scene", F.coalesce("scene", F.lit(-1)).cast("long"))
+
+
 @query(f"""WITH {_E}, {_SC}, {_AS}, P AS (SELECT video_id, scene, count(*) AS reps FROM AR WHERE scene IS NOT NULL GROUP BY ALL)
  SELECT SC.video_id, count(*) AS scenes, count(*) FILTER (WHERE reps > 0) AS covered, sum(coalesce(reps, 0))::BIGINT AS reps,
  sum(CASE WHEN reps > 0 THEN end_t - start_t ELSE 0 END) / sum(end_t - start_t) AS coverage, sum(coalesce(reps, 0))::DOUBLE / count(*) AS redundancy
  FROM SC LEFT JOIN P ON P.video_id = SC.video_id AND P.scene = SC.scene GROUP BY SC.video_id""")
 def semantic_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.coverage(_scenes(spark, sf_dir), assign_reps(spark, sf_dir))
+    return evaluate.coverage(_scenes(spark, sf_dir), _assigned(spark, sf_dir))
 
 
 @query(f"""WITH {_E}, G AS (SELECT video_id, score, row_number() OVER (PARTITION BY video_id ORDER BY score) AS i FROM E)
@@ -402,3 +406,33 @@ def anchors_every(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compact_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = adapters.transcripts(spark, sf_dir).withColumn("end_t", F.col("t") + 15)
     return sequences.compact_timeline(c, 3)
+
+
+@query(f"""WITH {_C} SELECT a.video_id, a.seq, coalesce(string_agg(b.text, '|' ORDER BY b.t, b.seq), '') AS texts FROM C a
+ LEFT JOIN C b ON b.video_id = a.video_id AND b.seq % 2 = 1 AND b.t <= a.t + 20 AND b.t + 2.0 >= a.t - 20 GROUP BY a.video_id, a.seq""")
+def rep_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = adapters.transcripts(spark, sf_dir)
+    s = c.where("seq % 2 = 1").select("video_id", F.col("seq").alias("s_seq"), F.col("t").alias("s_t"), (F.col("t") + 2.0).alias("s_end"), F.col("text").alias("s_text"))
+    return intervals.texts_around(c.drop("text"), s, 20.0).select("video_id", "seq", F.array_join("texts", "|").alias("texts"))
+
+
+@query(f"""WITH {_E}, {_CP} SELECT video_id, w, change FROM CP QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY change DESC, w) <= 3""")
+def top_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.top_changes(change_profile(spark, sf_dir))
+
+
+@query(f"""WITH {_E}, {_SC} SELECT K.video_id, K.seq, min(SC.scene) AS scene FROM E K JOIN SC ON SC.video_id = K.video_id AND K.t >= start_t AND K.t < end_t
+ WHERE K.type = 'keyframe' GROUP BY ALL""")
+def scene_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.scene_of(_events(spark, sf_dir, "keyframe").select("video_id", "seq", "t"), _scenes(spark, sf_dir), width=DAY)
+
+
+@query(f"""WITH {_E}, {_SC}, {_AS} SELECT video_id, scene, count(*) AS n FROM AR WHERE scene IS NOT NULL GROUP BY ALL""")
+def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).where("scene is not null").groupBy("video_id", "scene").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_C}, P AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY video_id ORDER BY t, seq), '') AS p FROM C)
+ SELECT video_id, seq, CASE WHEN starts_with(text, p) THEN substr(text, length(p) + 1) ELSE text END AS delta FROM P""")
+def text_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.text_delta(adapters.transcripts(spark, sf_dir)).select("video_id", "seq", "delta")
