@@ -25,6 +25,8 @@ HASH_BITS = 14
 FACTORS = 8
 SAMPLE = 8_000
 EPOCHS = 12
+#: A small sample is gone through more often, to this many steps.
+LEAST_STEPS = 300
 BATCH = 256
 RATE = 0.02
 DECAY = 1e-5
@@ -131,7 +133,7 @@ class Machine:
         rng = np.random.default_rng(SEED)
         m = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in ("w", "v")}
         step = 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(len(labels), BATCH)))):
             order = rng.permutation(len(labels))
             for at in range(0, len(order), BATCH):
                 pick = order[at : at + BATCH]

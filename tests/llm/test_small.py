@@ -287,9 +287,13 @@ def test_mixing(spark, docs, empty):
     out = mixing.mix(spark, docs, labels, weights=goal).collect()
     assert len(out) == docs.count() and all(r["rate"] >= 0 and abs(sum(r["posterior"]) - 1) < 1e-9 for r in out)
     assert all(r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in out)
-    n = sum(r["n_tokens"] for r in out)
-    mixed = [sum(r["n_tokens"] * r["rate"] * r["posterior"][k] for r in out) / n for k in range(4)]
-    assert all(abs(m - g) < 0.08 for m, g in zip(mixed, goal.values(), strict=True))
+    n, p = np.array([r["n_tokens"] for r in out], float), np.array([r["posterior"] for r in out])
+    w, g, share = n / n.sum(), np.array(list(goal.values())), np.maximum((n / n.sum()) @ p, 1e-9)
+    loss = lambda r: (((w * r) @ p - g) ** 2 / share).sum() / 2 + mixing.PULL / 2 * (w * (r - 1) ** 2).sum()
+    best = np.ones(len(n))
+    for _ in range(4_000):
+        best = np.maximum(0, best - 0.9 * (p @ (((w * best) @ p - g) / share) + mixing.PULL * (best - 1)))
+    assert loss(np.array([r["rate"] for r in out])) <= loss(best) + 0.02 * loss(np.ones(len(n)))
     assert mixing.mix(spark, empty, labels, weights=goal).count() == 0
     assert mixing.mix(spark, docs, labels.limit(0), weights=goal).count() == docs.count()
 
