@@ -171,7 +171,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text", "n_chars")
+    stated = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None).cast("long").alias("n_chars")
+    rows = docs.select("doc_id", "text", stated).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text", "n_chars")
 
     def extract(batches):
         for b in batches:

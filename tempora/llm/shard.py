@@ -63,7 +63,7 @@ def shard_rows(
     ``key`` names the columns that tell rows apart. Rows that agree in all of them are copies
     of one another: they get different slots, and which copy gets which is immaterial, so that
     a repeated task gives the same table. Null keys are values like any other. An empty table
-    gives an empty table. The columns ``_part``, ``_pos``, ``_cell`` and ``_at`` must not occur.
+    gives an empty table. The columns shard, slot, ``_part``, ``_pos``, ``_cell`` and ``_at`` must not occur.
     """
     n = rows.count()
     parts = min(MAX_PARTS, max(1, -(-n // rows_per_part)))
