@@ -34,6 +34,8 @@ LENGTH = 50
 LEVELS = 12
 #: Symbols of this level stand for three words on average; higher ones are too few in a window of 50 words.
 ANCHOR_LEVEL = 4
+#: Most classes of one name that are compared in one place.
+HOT = 2_048
 #: A document without id counts as later than all others, and as no earlier than one of its kind.
 LAST = 2**63 - 1
 
@@ -145,7 +147,11 @@ def _names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def earlier_windows(spark: SparkSession, rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(rid, marks: array of (s0, hits)): the windows at words s0 + hit start in an earlier document too."""
+    """(rid, spans: array of (first, last)): windows at those words start in an earlier document too.
+
+    Of the occurrences of one class all but those in its least document are repeats as a whole. So only for
+    the least document it matters which of the class's windows other classes hold in earlier documents.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,13 +167,6 @@ def earlier_windows(spark: SparkSession, rows: DataFrame, length: int = LENGTH)
     variety = classes.groupBy("name").agg(F.count("*").alias("kinds"))
     chosen = stash(spark, classes.join(variety, "name"), "classes")
 
-    alone = chosen.df.where("kinds = 1").select("name", "body", "least", F.lit(None).cast("array<long>").alias("each"))
-    wanted = (
-        chosen.df.where("kinds > 1")
-        .groupBy(F.col("at.rid").alias("rid"))
-        .agg(F.collect_list(F.struct(F.col("at.s0").alias("s0"), F.col("at.n").alias("n"), "name", "body", "least")).alias("asked"))
-    )
-
     def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             asked_of = b["asked"].to_pylist()
@@ -175,38 +174,85 @@ def earlier_windows(spark: SparkSession, rows: DataFrame, length: int = LENGTH)
                 words, cut_at = _names(data, offsets)
                 asked = [(d - i, a) for d in range(i, j) for a in asked_of[d]]
                 n = np.array([a["n"] for _, a in asked], dtype=np.int64)
-                begin = np.array([cut_at[d] + a["s0"] for d, a in asked], dtype=np.int64)
-                at = bytesx.ragged(begin, n)
+                at = bytesx.ragged(np.array([cut_at[d] + a["s0"] for d, a in asked], dtype=np.int64), n)
                 window = bytesx.Sequence(words, salt=0x71D)(at, at + length)
-                each = lambda k, t: pa.array(np.repeat(np.array([a[k] for _, a in asked], dtype=t), n))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [each("name", np.int64), each("body", np.int64), each("least", np.int64), pa.array((at - np.repeat(begin, n)).astype(np.int32)), bytesx.longs(window)],
-                    names=["name", "body", "least", "i", "window"],
-                )
-
-    windows = stash(spark, with_text(rows, wanted).mapInArrow(name_windows, "name long, body long, least long, i int, window long"), "windows")
-    named = windows.df.groupBy("name", "window").agg(F.min("least").alias("first_doc"))
-    mixed = (
-        windows.df.join(named, ["name", "window"])
-        .groupBy("name", "body")
-        .agg(F.min("least").alias("least"), F.array_sort(F.collect_list(F.struct("i", "first_doc"))).alias("e"))
-        .select("name", "body", "least", F.col("e.first_doc").alias("each"))
-    )
-    judged = alone.unionByName(mixed)
-    marks = (
-        kept.df.join(judged, ["name", "body"])
-        .select("rid", "s0", F.when(F.col("each").isNull(), F.when(F.col("least") < F.col("doc"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>")))
-                .otherwise(F.filter(F.transform("each", lambda d, i: F.when(d < F.col("doc"), i).otherwise(F.lit(-1))), lambda i: i >= 0)).alias("hits"))
-        .where(F.size("hits") > 0)
-        .groupBy("rid")
-        .agg(F.collect_list(F.struct("s0", "hits")).alias("marks"))
-    )
-    out = stash(spark, marks, "marks")
-    for t in (kept, chosen, windows):
+                cells = [pa.array([a[k] for _, a in asked], pa.int64()) for k in ("name", "body", "least")]
+                yield pa.RecordBatch.from_arrays([*cells, bytesx.binaries(window.view(np.uint8), np.concatenate(([0], np.cumsum(n))) * 8)], names=["name", "body", "least", "windows"])
+
+    def named(of: DataFrame) -> DataFrame:
+        wanted = of.groupBy(F.col("at.rid").alias("rid")).agg(
+            F.collect_list(F.struct(F.col("at.s0").alias("s0"), F.col("at.n").alias("n"), "name", "body", "least")).alias("asked")
+        )
+        return with_text(rows, wanted).mapInArrow(name_windows, "name long, body long, least long, windows binary")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes of one name after another, from a stream sorted by name; a name has HOT classes at most."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            name = b["name"].to_numpy()
+            at = int(np.searchsorted(name, name[-1]))
+            if at or held and held[-1]["name"][0].as_py() != name[0]:
+                if at:
+                    held.append(b.slice(0, at))
+                yield _early(pa.Table.from_batches(held))
+                held = []
+            held.append(b.slice(at))
+        if held:
+            yield _early(pa.Table.from_batches(held))
+
+    early = "name long, body long, early array<struct<first:int,last:int>>"
+    found = named(chosen.df.where(F.col("kinds").between(2, HOT))).repartition("name").sortWithinPartitions("name").mapInArrow(compare, early)
+    judged = [stash(spark, found, "early")]
+    often = chosen.df.where(F.col("kinds") > HOT)
+    if not often.isEmpty():
+        # A name with so many classes is not gathered: its windows are rows, and meet by their own names.
+        size = F.octet_length("windows") / 8
+        each = F.transform(F.sequence(F.lit(0), (size - 1).cast("int")), lambda i: F.substring(F.hex("windows"), i * 16 + 1, F.lit(16)))
+        windows = stash(spark, named(often).select("name", "body", "least", F.posexplode(each).alias("i", "window")), "windows")
+        first = windows.df.groupBy("name", "window").agg(F.min("least").alias("first_doc"))
+        hit = windows.df.join(first, ["name", "window"]).where("first_doc < least")
+        spans = hit.groupBy("name", "body").agg(F.collect_list(F.struct(F.col("i").alias("first"), F.col("i").alias("last"))).alias("early"))
+        judged.append(stash(spark, spans, "early-often"))
+        windows.drop()
+    partly = judged[0].df
+    for more in judged[1:]:
+        partly = partly.union(more.df)
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - 1).alias("last")))
+    later = kept.df.join(chosen.df.select("name", "body", "least"), ["name", "body"]).where("doc > least").select("rid", "s0", whole.alias("hits"))
+    least = chosen.df.select("name", "body", F.col("least").alias("doc"))
+    firsts = kept.df.join(partly.where(F.size("early") > 0), ["name", "body"]).join(least, ["name", "body", "doc"]).select("rid", "s0", F.col("early").alias("hits"))
+    moved = F.transform("hits", lambda h: F.struct((h["first"] + F.col("s0")).alias("first"), (h["last"] + F.col("s0")).alias("last")))
+    spans = later.union(firsts).select("rid", moved.alias("spans")).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = stash(spark, spans, "spans")
+    for t in (kept, chosen, *judged):
         t.drop()
     return out.df
 
 
+def _early(table: pa.Table) -> pa.RecordBatch:
+    """Of each class the windows that a class of the same name with an earlier least document holds too."""
+    name, body, least = (table[k].to_numpy() for k in ("name", "body", "least"))
+    _, _, data, offsets = next(bytesx.slices(table["windows"].combine_chunks(), 1 << 40))
+    window = np.frombuffer(data.tobytes(), np.uint64)
+    count = np.diff(offsets) // 8
+    owner = np.repeat(np.arange(len(name)), count)
+    key, back = np.unique(bytesx.mix(window + name.view(np.uint64)[owner] * bytesx.M1), return_inverse=True)
+    first = np.full(len(key), LAST)
+    np.minimum.at(first, back, least[owner])
+    place = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
+    hit = np.flatnonzero(first[back] < least[owner])
+    o, p = owner[hit], place[hit]
+    new = np.ones(len(hit), dtype=bool)
+    new[1:] = (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)
+    at = np.flatnonzero(new)
+    end = np.concatenate((at[1:], [len(hit)])) - 1
+    spans = pa.StructArray.from_arrays([pa.array(p[at].astype(np.int32)), pa.array(p[end].astype(np.int32))] if len(hit) else [pa.array([], pa.int32())] * 2, names=["first", "last"])
+    cuts = np.searchsorted(o[at] if len(hit) else np.zeros(0, np.int64), np.arange(len(name) + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(body), pa.ListArray.from_arrays(pa.array(cuts), spans)], names=["name", "body", "early"])
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) for every row of ``docs``.
 
@@ -216,19 +262,18 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     gives an empty result.
     """
     rows = numbered(docs)
-    marks = earlier_windows(spark, rows, length)
+    spans = earlier_windows(spark, rows, length)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for name, text, found in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["marks"].to_pylist(), strict=True):
+            for name, text, found in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
                 words = text.encode().split()
                 total = len(words)
                 if found:
                     edge = np.zeros(total + 1, dtype=np.int64)
-                    at = np.concatenate([np.asarray(m["hits"]) + m["s0"] for m in found])
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + length, -1)
+                    np.add.at(edge, [m["first"] for m in found], 1)
+                    np.add.at(edge, [m["last"] + length for m in found], -1)
                     words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 left = b" ".join(words)
                 out.append((name, total, total - len(words), hashlib.sha256(left).hexdigest(), left.decode()))
@@ -237,4 +282,4 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
             yield pa.RecordBatch.from_arrays(cells[: 4 + keep_text], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + keep_text])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return rows.join(marks, "rid", "left").select("doc_id", "text", "marks").mapInArrow(finish, schema)
+    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)
