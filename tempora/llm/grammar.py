@@ -14,7 +14,9 @@ lengths u32, symbols. Shards are rows of a Parquet table in ascending order of d
 
 from __future__ import annotations
 
+import itertools
 import struct
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +36,12 @@ PAIRS_A_ROUND = 2_048
 ROUNDS = 10
 END_ID = 1
 #: Words that a worker keeps encoded; when there are more it starts afresh.
-CACHE = 700_000
+CACHE = 1_000_000
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    bits = key.dtype.itemsize * 8
+    return (key * key.dtype.type(0x9E3779B97F4A7C15 >> (64 - bits) | 1)) >> key.dtype.type(bits - 20)
 
 
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_COUNT, most: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,15 +66,18 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
             rank = np.lexsort((often, -counts[often]))[: min(most, room)]
             often = np.sort(often[rank])
         chosen = ordered[at[often]]
-        where = np.searchsorted(chosen, key)
-        where[where == len(chosen)] = 0
-        hit = chosen[where] == key
-        place = np.flatnonzero(hit)
+        slot = _slot(key)
+        maybe = np.zeros(1 << 20, dtype=bool)
+        maybe[_slot(chosen)] = True
+        place = np.flatnonzero(maybe[slot])
+        where = np.minimum(np.searchsorted(chosen, key[place]), len(chosen) - 1)
+        hit = chosen[where] == key[place]
+        place, where = place[hit], where[hit]
         chain = np.concatenate(([True], np.diff(place) > 1))
         first = place[np.flatnonzero(chain)][np.cumsum(chain) - 1]
-        place = place[(place - first) % 2 == 0]
-        kind = where[place]
-        used, kind = np.unique(kind, return_inverse=True)
+        take = (place - first) % 2 == 0
+        place = place[take]
+        used, kind = np.unique(where[take], return_inverse=True)
         shift = 32 if wide else 16
         left, right = (chosen[used] >> chosen.dtype.type(shift)).astype(np.uint32), (chosen[used] & chosen.dtype.type((1 << shift) - 1)).astype(np.uint32)
         before = len(seq)
@@ -132,6 +142,25 @@ class Shard:
         return self.ids(start, start + int(self.sizes[k]))
 
 
+_LETTER = np.isin(np.arange(256), np.arange(97, 123))
+_MARK = np.array([33 <= i < 127 and not chr(i).isalnum() for i in range(256)])
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, cut again where an ASCII mark follows an ASCII letter: no piece of the tokenizer spans that.
+
+    A letter after a mark is no such place (an apostrophe may belong to the letters after it).
+    """
+    starts, ends, _ = bytesx.words(data, offsets)
+    first = np.zeros(len(data) + 1, dtype=bool)
+    last = np.zeros(len(data) + 1, dtype=bool)
+    cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+    first[starts], first[cut] = True, True
+    last[ends], last[cut] = True, True
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last), np.diff(np.searchsorted(starts, offsets))
+
+
 class WordEncoder:
     """Ids of whole texts through a library tokenizer whose pieces never span white space.
 
@@ -147,6 +176,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.closes = np.zeros(self.base, dtype=bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.closes[i] = token.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
@@ -156,21 +188,49 @@ class WordEncoder:
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids in each). Words of letters alone go to the library as one line.
+
+        Such a word is one piece, and a piece's last id is the only one that ends a word. Where the ends
+        don't add up (the library knows other letters), each word goes on its own.
+        """
+        line = [k for k, t in enumerate(texts) if t.isalpha() and (t.isascii() or unicodedata.is_normalized("NFC", t))]
+        if line:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[k] for k in line)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(line) or ends[-1] != len(ids):
+                line = []
+        rest = sorted(set(range(len(texts))).difference(line))
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)] if rest else []
+        size = np.zeros(len(texts), np.int64)
+        if line:
+            size[line] = np.diff(np.concatenate(([0], ends)))
+        size[rest] = [len(x) for x in lists]
+        start = np.concatenate(([0], np.cumsum(size)))[:-1]
+        flat = np.zeros(int(size.sum()), np.uint32)
+        if line:
+            flat[bytesx.ragged(start[line], size[line])] = ids
+        if rest:
+            flat[bytesx.ragged(start[rest], size[rest])] = list(itertools.chain.from_iterable(lists))
+        return flat, size
+
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.known)
-            if k == len(self.start):
-                self.start, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.known[h] = k
-            self.start[k], self.count[k] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        flat, size = self._encode(texts)
+        k = len(self.known)
+        while k + len(texts) > len(self.start):
+            self.start, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.known.update(zip(hashes, range(k, k + len(texts)), strict=True))
+        self.start[k : k + len(texts)] = self.used + np.concatenate(([0], np.cumsum(size)))[:-1]
+        self.count[k : k + len(texts)] = size
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after another, ids in each), without end ids."""
-        starts, ends, counts = bytesx.words(data, offsets)
+        data = bytesx.lower(data)  # the tokenizer lowers all letters itself
+        starts, ends, counts = _pieces(data, offsets)
         if len(self.known) > CACHE:
             self.forget()
         uniq, first, back = np.unique(bytesx.Rolling(data)(starts, ends), return_index=True, return_inverse=True)
