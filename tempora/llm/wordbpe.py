@@ -302,7 +302,12 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str, pattern: str,
     replies = (
         words.unionByName(asks).repartition(tasks, "block").sortWithinPartitions("block", F.col("bundle").asc_nulls_first())
         .mapInArrow(answer, "bundle long, block int, counts binary, ids binary")
-        .select("bundle", "block", "counts", "ids", none("binary").alias("z"), none("array<long>").alias("sizes"), none("array<long>").alias("names"))
+    )
+    # Written here, so that the requests' and the vocabulary's shuffle files are gone when the texts move.
+    answered = stash(spark, replies, "replies")
+    vocab.drop()
+    replies = (
+        answered.df.select("bundle", "block", "counts", "ids", none("binary").alias("z"), none("array<long>").alias("sizes"), none("array<long>").alias("names"))
     )
     texts = placed.mapInArrow(squeeze, "bundle long, block int, z binary, sizes array<long>, names array<long>").select(
         "bundle", "block", none("binary").alias("counts"), none("binary").alias("ids"), "z", "sizes", "names"
