@@ -8,7 +8,8 @@ formed that size-derived bounds leave open:
   t share a column there. The order puts n-grams that many documents hold last (counted over all
   documents; which of them are listed only changes the order, never the result).
 * Column by column, entries are bounded by sizes, by the places of the shared column in both rows, and
-  by the difference of two 512-bit parity sketches, which never exceeds the sets' own difference.
+  by the differences of two sketches (64 bucket counts and 512 bucket parities), which never exceed the
+  sets' own difference.
 * What is left is multiplied out on whole sets, and overlaps are counted exactly.
 
 A column that m rows share is not squared. First its most central row meets the others (m - 1 entries).
@@ -39,6 +40,19 @@ LISTED, FREQUENT = 65_536, 16
 BLOCK = 1_024
 FOREST_ROUNDS = 3
 _COUNTERS = 1 << 22
+SKETCH = 128
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    _, _, data, _ = next(bytesx.slices(column, 1 << 40), (0, 0, np.zeros(0, np.uint8), None))
+    return data.reshape(-1, SKETCH)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At most the difference of the sets, for each pair of sketches."""
+    counts = np.abs(x[:, :64].astype(np.int16) - y[:, :64]).sum(axis=1)
+    parity = np.bitwise_count(np.ascontiguousarray(x[:, 64:]).view(np.uint64) ^ np.ascontiguousarray(y[:, 64:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return np.maximum(counts, parity)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -96,7 +110,7 @@ def frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[by], place[by]
 
 
-ROW = "rid long, doc_id long, n int, k1 long, k2 long, prefix array<long>, sketch array<long>"
+ROW = "rid long, doc_id long, n int, k1 long, k2 long, prefix array<long>, sketch binary"
 
 
 def incidence(spark: SparkSession, rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -113,7 +127,8 @@ def incidence(spark: SparkSession, rows: DataFrame, words: int, percent: int) ->
                     n = len(g)
                     sizes.append(n)
                     keys.append((int(np.add.reduce(bytesx.mix(g))), int(np.add.reduce(bytesx.mix(g ^ bytesx.M1)))))
-                    sketch.append(np.packbits(np.bincount((g & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64))
+                    bucket = np.bincount((g & np.uint64(511)).astype(np.int64), minlength=512)
+                    sketch.append(np.concatenate((np.minimum(bucket.reshape(64, 8).sum(axis=1), 255).astype(np.uint8), np.packbits(bucket.astype(np.uint8) & 1))))
                     p = n - -(-percent * n // 100) + 1 if n else 0
                     if len(often) and n:
                         at = np.minimum(np.searchsorted(often, g), len(often) - 1)
@@ -126,7 +141,7 @@ def incidence(spark: SparkSession, rows: DataFrame, words: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([
                     rid[i:j], ids[i:j], pa.array(np.array(sizes, np.int32)), bytesx.longs(k[:, 0]), bytesx.longs(k[:, 1]),
                     pa.ListArray.from_arrays(pa.array(ends), bytesx.longs(np.concatenate(prefix))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * 8), pa.array(np.concatenate(sketch))),
+                    bytesx.binaries(np.concatenate(sketch), np.arange(j - i + 1) * SKETCH),
                 ], names=["rid", "doc_id", "n", "k1", "k2", "prefix", "sketch"])
 
     return rows.mapInArrow(run, ROW)
@@ -169,42 +184,53 @@ def _verified(spark: SparkSession, rows: DataFrame, pairs: DataFrame, words: int
     return out
 
 
-def _open_pairs(rows: Iterator[dict], percent: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one column's block in different components that the bounds leave open."""
-    rows = list(rows)
-    x = [r for r in rows if r["side"] != 1]
-    y = [r for r in rows if r["side"] != 0]
-    if not x or not y:
-        return []
-    n, m = (np.array([r["n"] for r in s]) for s in (x, y))
-    i, j = (np.array([r["pos"] for r in s]) for s in (x, y))
-    cx, cy = (np.array([r["root"] for r in s]) for s in (x, y))
-    kx, ky = (np.array([r["sketch"] for r in s], dtype=np.int64) for s in (x, y))
-    total = n[:, None] + m[None, :]
-    least = -(-percent * total // (100 + percent))
-    ok = (cx[:, None] != cy[None, :]) & (np.minimum((n - i)[:, None], (m - j)[None, :]) >= least)
-    away = np.zeros(ok.shape, dtype=np.int32)
-    for w in range(kx.shape[1]):
-        away += np.bitwise_count(kx[:, w][:, None] ^ ky[:, w][None, :])
-    ok &= away <= total - 2 * least
-    at, to = np.nonzero(ok)
-    if not forest:
-        return [(x[p]["rid"], y[q]["rid"]) for p, q in zip(at.tolist(), to.tolist(), strict=True)]
-    parent: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while parent.get(v, v) != v:
-            parent[v] = parent.get(parent[v], parent[v])
-            v = parent[v]
-        return v
-
-    out = []
-    for p, q in zip(at.tolist(), to.tolist(), strict=True):
-        u, v = find(int(cx[p])), find(int(cy[q]))
-        if u != v:
-            parent[u] = v
-            out.append((x[p]["rid"], y[q]["rid"]))
-    return out
+def _open_pairs(t: pa.Table, percent: int, forest: bool) -> pa.RecordBatch:
+    """Pairs within whole (column, block, block) groups, in different components, that the bounds leave open.
+
+    Row i meets row i + d of its group for d = 1, 2, ...: all groups at once, each as long as it has such rows.
+    """
+    gram, p, q, rid, n, pos, root, side = (t[k].to_numpy() for k in ("gram", "p", "q", "rid", "n", "pos", "root", "side"))
+    sketch = _sketches(t["sketch"].combine_chunks())
+    new = np.ones(len(gram), dtype=bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+    at = np.flatnonzero(new)
+    end = np.repeat(np.concatenate((at[1:], [len(gram)])), np.diff(np.concatenate((at, [len(gram)]))))
+    row = np.arange(len(gram))
+    found: list[np.ndarray] = []
+    d = 1
+    while len(row := row[row + d < end[row]]):
+        for k in range(0, len(row), 200_000):
+            i = row[k : k + 200_000]
+            j = i + d
+            total = n[i].astype(np.int64) + n[j]
+            least = -(-percent * total // (100 + percent))
+            ok = (root[i] != root[j]) & ((side[i] == 2) | (side[i] != side[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
+            i, j, most = i[ok], j[ok], (total - 2 * least)[ok]
+            if len(i):
+                ok = _apart(sketch[i], sketch[j]) <= most
+                found.append(np.column_stack((i[ok], j[ok])))
+        d += 1
+    pair = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    if forest and len(pair):
+        ends = np.sort(root[pair], axis=1)
+        _, first = np.unique(ends, axis=0, return_index=True)
+        parent: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while parent.get(v, v) != v:
+                parent[v] = parent.get(parent[v], parent[v])
+                v = parent[v]
+            return v
+
+        keep = []
+        for k, (u, v) in zip(first.tolist(), ends[first].tolist(), strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                parent[u] = v
+                keep.append(k)
+        pair = pair[keep]
+    a, b = rid[pair[:, 0]], rid[pair[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -213,8 +239,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
     Two rows link when 100 * overlap >= percent * union of their n-gram sets. component_id is the least
     doc_id reachable, the row's own included; n_links counts the different sets found linked to the row's
     own by the joins above (a spanning part of all links where a group is large). Rows without words link
-    with nothing. group_id tells components apart where ids are null or repeated (null without words). Null ids are left out of the least (null if a component has no other). Repeated rows
-    are one class. An empty table gives an empty result.
+    with nothing. group_id tells components apart where ids are null or repeated (null without words). Null
+    ids are left out of the least (null if a component has no other). Repeated rows are one class. An empty
+    table gives an empty result.
     """
     rows = numbered(docs)
     table = stash(spark, incidence(spark, rows, words, percent), "incidence")
@@ -236,13 +263,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
     pairs = bounded.select(
         F.least("rid", "c.rid").alias("a"), F.greatest("rid", "c.rid").alias("b"), (F.col("n") + F.col("c.n") - 2 * least).alias("most")
     ).distinct()
-    away = sum((F.bit_count(F.col("x")[w].bitwiseXOR(F.col("y")[w])) for w in range(8)), F.lit(0))
-    near = (
-        pairs.join(sketches.select(F.col("rid").alias("a"), F.col("sketch").alias("x")), "a")
-        .join(sketches.select(F.col("rid").alias("b"), F.col("sketch").alias("y")), "b")
-        .where(away <= F.col("most"))
-        .select("a", "b")
+    met = pairs.join(sketches.select(F.col("rid").alias("a"), F.col("sketch").alias("x")), "a").join(
+        sketches.select(F.col("rid").alias("b"), F.col("sketch").alias("y")), "b"
     )
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = _apart(_sketches(b["x"]), _sketches(b["y"])) <= b["most"].to_numpy()
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(near))
+
+    near = met.select("a", "b", F.col("most").cast("long").alias("most"), "x", "y").mapInArrow(close, "a long, b long")
     links = [_verified(spark, rows, near, words, percent)]
     roots = components(spark, links[0].df)
     for turn in range(FOREST_ROUNDS + 1):
@@ -295,24 +325,23 @@ def _between(columns: DataFrame, sketches: DataFrame, roots: DataFrame, percent:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One (column, block, block) after another, from a stream sorted by them."""
-        held: list[dict] = []
-        key = None
-        found: list[tuple[int, int]] = []
+        """Whole groups from a stream sorted by them; a group has 2 * BLOCK rows or so."""
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for r in b.to_pylist():
-                if (r["gram"], r["p"], r["q"]) != key:
-                    found += _open_pairs(held, percent, forest)
-                    held, key = [], (r["gram"], r["p"], r["q"])
-                    if len(found) > 10_000:
-                        yield pairs(found)
-                        found = []
-                held.append(r)
-        found += _open_pairs(held, percent, forest)
-        yield pairs(found)
-
-    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if not b.num_rows:
+                continue
+            key = np.column_stack([b[k].to_numpy() for k in ("gram", "p", "q")])
+            at = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
+            same = not held or tuple(held[-1][k][held[-1].num_rows - 1].as_py() for k in ("gram", "p", "q")) == tuple(key[0].tolist())
+            if held and not same:
+                yield _open_pairs(pa.Table.from_batches(held), percent, forest)
+                held = []
+            if at:
+                held.append(b.slice(0, at))
+                yield _open_pairs(pa.Table.from_batches(held), percent, forest)
+                held = []
+            held.append(b.slice(at))
+        if held:
+            yield _open_pairs(pa.Table.from_batches(held), percent, forest)
 
     return dealt.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q").mapInArrow(run, "a long, b long").distinct()

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,12 +44,17 @@ class Stash:
         self.spark = spark
         self.path = f"{shared_root(spark)}/tempora-{name}-{uuid.uuid4().hex[:12]}"
         schema = df.schema
-        before = spark.conf.get(_CLEANUP)
-        spark.conf.set(_CLEANUP, "true")  # this job's shuffle files go when the table is written
+        # This job's shuffle files go when the table is written; rows with long values reach Python few at a time.
+        rows = int(spark.conf.get(_BATCH))
+        ours = {_CLEANUP: "true", _BATCH: str(min(BATCH_ROWS, rows) if rows > 0 else BATCH_ROWS)}
+        before = {k: spark.conf.get(k) for k in ours}
         try:
+            for k, v in ours.items():
+                spark.conf.set(k, v)
             df.write.parquet(self.path)
         finally:
-            spark.conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                spark.conf.set(k, v)
         _fs_path(spark, self.path, on_exit=True)
         self.df = spark.read.schema(schema).parquet(self.path)
 
