@@ -29,9 +29,9 @@ SAMPLE = 8_000
 LEXICON = 48
 #: Least labelled documents of the rarer domain that hold a lexicon word.
 SUPPORT = 5
-STEPS = 25
+STEPS = 60
 STEP, PULL = 0.9, 1e-3
-TOLERANCE = 1e-4
+TOLERANCE = 1e-6
 SNAP = 0.02
 #: A domain is a pair of labels (quality, toxic).
 DOMAINS = {"clean": (1, 0), "toxic": (1, 1), "low": (0, 0), "low_toxic": (0, 1)}
