@@ -225,7 +225,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str, pattern: str,
                 want = np.frombuffer(asked, np.uint64)
                 where = np.minimum(np.searchsorted(h, want), max(len(h) - 1, 0))
                 many = np.where(h[where] == want, size[where], 0) if len(h) else np.zeros(len(want), np.int64)
-                out[0].append((many // itemsize).astype("<u2").tobytes())
+                out[0].append((many // itemsize).astype("<u4").tobytes())
                 out[1].append(data[bytesx.ragged(start[where], many)].tobytes() if len(h) else b"")
             yield pa.RecordBatch.from_arrays([b["bundle"], b["block"], pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["bundle", "block", "counts", "ids"])
 
@@ -256,7 +256,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str, pattern: str,
             yield from finish(ranks, text, counts, ids)
 
     def finish(ranks: Ranks, text: dict, counts: list[bytes], ids: list[bytes]) -> Iterator[pa.RecordBatch]:
-        many = np.frombuffer(b"".join(counts), "<u2").astype(np.int64)
+        many = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
         flat = np.frombuffer(b"".join(ids), ranks.kind).astype(np.uint32)
         begin = np.concatenate(([0], np.cumsum(many)))[:-1]
         offsets = np.concatenate(([0], np.cumsum(text["sizes"]))).astype(np.int64)

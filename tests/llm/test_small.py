@@ -204,6 +204,19 @@ def test_wordbpe(spark, docs, pairs):
     _same(got, want)
 
 
+def test_wordbpe_long_word(spark, tmp_path):
+    """Words of more than 65,536 ids, beside others of their bundle."""
+    rng = random.Random(12)
+    long = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(40_000))
+    texts = [(1, "a word before"), (2, long), (3, f"twice {long} and after"), (4, "it's after")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    ranks = wordbpe.Ranks(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    want = [(i, ranks.encoding.encode_ordinary(t)) for i, t in texts]
+    assert len(want[1][1]) > 65_536
+    got = wordbpe.encode_texts(spark, spark.read.parquet(str(tmp_path / "d")), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).collect()
+    _same([tuple(r)[:3] for r in got], [(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for i, ids in want])
+
+
 def test_media(spark, docs, pairs):
     got = media.read(media.store(spark, docs).df).collect()
     want = Counter()
