@@ -17,6 +17,9 @@ Rows that are linked by then need no further entry between them. For columns who
 several components, blocks of 1,024 by 1,024 rows are bounded in memory, and of the pairs that pass
 a block gives a spanning forest over components; what fails the count is refuted, and the last round
 gives every pair left. So no link between different sets is lost, and no group's pairs are all emitted.
+
+That gives components, not every link. Links lie within components, so each set's links are counted over the
+blocks of its component's own product, on whole sets; a block emits one number for each row, no pairs.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ PERCENT = 90
 #: N-grams listed as frequent, at most, and the documents of one task that make one a candidate.
 LISTED, FREQUENT = 65_536, 16
 BLOCK = 1_024
+#: N-grams of one block where links are counted, and entries of the dense stripes it is multiplied out by.
+BLOCK_GRAMS, STRIPE = 1_000_000, 4_000_000
 FOREST_ROUNDS = 3
 _COUNTERS = 1 << 22
 SKETCH = 128
@@ -233,12 +238,92 @@ def _open_pairs(t: pa.Table, percent: int, forest: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _linked(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rid, number of links to rows of the other side) within one (component, block, block) group."""
+    rid, side = t["rid"].to_numpy(), t["side"].to_numpy()
+    _, _, data, offsets = next(bytesx.slices(t["members"].combine_chunks(), 1 << 40))
+    size = np.diff(offsets) // 8
+    _, col, times = np.unique(data.view(np.uint64), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(size)), size), times[col] > 1
+    col, row = (np.cumsum(times > 1) - 1)[col[shared]], row[shared]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    both = np.zeros((len(left), len(right)), np.int64)
+    width = max(1, STRIPE // len(size))
+    for c in range(0, int((times > 1).sum()), width):
+        i, j = np.searchsorted(col, [c, c + width])
+        stripe = np.zeros((len(size), min(width, int(col[j - 1]) - c + 1)), np.float32)
+        stripe[row[i:j], col[i:j] - c] = 1
+        both += (stripe[left] @ stripe[right].T).astype(np.int64)
+    link = (both > 0) & (100 * both >= percent * (size[left][:, None] + size[right] - both))
+    link &= rid[left][:, None] != rid[right]
+    links = np.zeros(len(size), np.int64)
+    links[left] = link.sum(axis=1)
+    if side[0] != 2:
+        links[right] = link.sum(axis=0)
+    return rid, links
+
+
+def _degrees(spark: SparkSession, rows: DataFrame, sizes: DataFrame, roots: DataFrame, words: int, percent: int) -> Stash:
+    """(rid, links): the number of other rows that each row of a component links to."""
+    within = roots.select(F.col("node").alias("rid"), "root").join(sizes, "rid")
+    of = within.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
+    placed = within.join(
+        of.select("root", "rows", F.ceil(F.greatest(F.col("rows") / F.lit(BLOCK), F.col("size") / F.lit(BLOCK_GRAMS))).cast("int").alias("blocks")), "root"
+    )
+    held = stash(spark, placed.select("rid", "root", "rows", "blocks"), "members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offsets in bytesx.slices(b["text"]):
+                found = [g.tobytes() for g in grams(data, offsets, words)]
+                yield pa.RecordBatch.from_arrays([*(b[k][i:j] for k in ("rid", "root", "blocks")), pa.array(found, pa.binary())], names=["rid", "root", "blocks", "members"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups from a stream sorted by them."""
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.column_stack([b[k].to_numpy() for k in ("root", "p", "q")])
+            at = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            out = []
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                now = tuple(key[i].tolist())
+                if held and now != last:
+                    out.append(_linked(pa.Table.from_batches(held), percent))
+                    held = []
+                held.append(b.slice(i, j - i))
+                last = now
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["rid", "links"])
+        if held:
+            rid, links = _linked(pa.Table.from_batches(held), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(links)], names=["rid", "links"])
+
+    # Two rows alone in a component are one link; where there are more, each row goes to every pair of blocks that holds its own.
+    whole = with_text(rows, held.df.where("rows > 2").select("rid", "root", "blocks")).select("rid", "root", "blocks", "text")
+    whole = whole.mapInArrow(sets, "rid long, root long, blocks int, members binary")
+    own = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    dealt = whole.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rid",
+        F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"), "members",
+    )
+    part = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(count, "rid long, links long")
+    pairs = held.df.where("rows = 2").select("rid", F.lit(1).cast("long").alias("links"))
+    out = stash(spark, part.union(pairs).groupBy("rid").agg(F.sum("links").alias("links")), "degrees")
+    held.drop()
+    return out
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(rid, doc_id, n_shingles, n_links, component_id, group_id) for every row; ``rid`` is its place in the input.
 
     Two rows link when 100 * overlap >= percent * union of their n-gram sets. component_id is the least
-    doc_id reachable, the row's own included; n_links counts the different sets found linked to the row's
-    own by the joins above (a spanning part of all links where a group is large). Rows without words link
+    doc_id reachable, the row's own included; n_links counts all different sets that link to the row's
+    own (copies of one set count once). Rows without words link
     with nothing. group_id tells components apart where ids are null or repeated (null without words). Null
     ids are left out of the least (null if a component has no other). Repeated rows are one class. An empty
     table gives an empty result.
@@ -293,11 +378,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
         roots = components(spark, every)
         if turn == FOREST_ROUNDS:
             break
-    every = links[0].df
-    for more in links[1:]:
-        every = every.union(more.df)
-    degree = every.select(F.col("a").alias("rid")).union(every.select("b")).groupBy("rid").agg(F.count("*").alias("links"))
-    joined = classes.df.join(roots.df.withColumnRenamed("node", "rid"), "rid", "left").join(degree, "rid", "left")
+    for t in (columns, *links):
+        t.drop()
+    degree = _degrees(spark, rows, everything.select("rid", "n"), roots.df, words, percent)
+    joined = classes.df.join(roots.df.withColumnRenamed("node", "rid"), "rid", "left").join(degree.df, "rid", "left")
     joined = joined.withColumn("root", F.coalesce("root", "rid"))
     low = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stash(spark, joined.join(low, "root").select("k1", "k2", F.coalesce("links", F.lit(0)).alias("n_links"), "component_id", F.col("root").alias("group_id")), "components")
@@ -306,7 +390,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "group_id",
     ), "result")
-    for t in (table, classes, columns, named, roots, *links):
+    for t in (table, classes, named, roots, degree):
         t.drop()
     return result.df
 

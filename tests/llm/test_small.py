@@ -162,6 +162,33 @@ def test_ngram_hub_missing(spark, tmp_path):
     test_ngram(spark, spark.read.parquet(str(tmp_path / "d")), texts, 3, 90)
 
 
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 16, "STRIPE": 900}, {"BLOCK_GRAMS": 3_000}])
+def test_ngram_links(spark, tmp_path, monkeypatch, limits):
+    """All links count: those between texts that a third has joined too, and over several blocks."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram, name, value)
+    rng = random.Random(9)
+    texts = []
+    for copies in (3, 2, 60):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(160)]
+        for k in range(copies):
+            w = list(base)
+            for p in rng.sample(range(160), min(k, rng.choice([1, 2, 3]))):
+                w[p] = f"v{rng.randint(0, 10**6)}"
+            texts.append(" ".join(w))
+    texts += [texts[1], texts[1], "alone", "", texts[0].upper()]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append(frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset())
+    near = lambda a, b: a != b and 100 * len(a & b) >= 90 * len(a | b)
+    want = {s: sum(near(s, o) for o in set(sets)) for s in sets}
+    assert [want[s] for s in sets[:5]] == [2, 2, 2, 1, 1]
+    got = ngram.near_duplicates(spark, spark.read.parquet(str(tmp_path / "d"))).select("doc_id", "n_links").collect()
+    _same(got, [(k, want[s]) for k, s in enumerate(sets)])
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(50, 51), (52, 51), (7, 7), (60, 61), (60, 61)]
     got = dict(components.components(spark, spark.createDataFrame(edges, "a long, b long")).df.collect())
