@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2_000_000
+SLICE = 500_000
+#: Blocks that are mixed at once.
+BLOCKS = 200_000
 #: ASCII white space: the bytes that part words.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -19,23 +21,10 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RNG = np.random.default_rng(0x5EED)
-_TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: The lowest k bytes of a word, k = 0 to 8.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64, and of its inverse, for n places at least."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE + 4096)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _powers[i] = p
-    return _powers[0], _powers[1]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -71,29 +60,88 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-class Rolling:
-    """Hashes of any runs of a byte array, equal for equal runs wherever they lie."""
+def _tiled(starts: np.ndarray, size: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of ``unit`` places that tile each run, the last one moved back to end with it: places, numbers, first block of each."""
+    n = -(-size // unit)
+    number = ragged(np.zeros(len(n), np.int64), n)
+    at = np.repeat(starts, n) + np.minimum(number * unit, np.repeat(size - unit, n))
+    return at, number, np.concatenate(([0], np.cumsum(n)[:-1]))
+
+
+def _portions(runs: np.ndarray, size: np.ndarray, unit: int) -> Iterator[np.ndarray]:
+    """``runs`` in portions of about BLOCKS blocks each."""
+    if len(runs):
+        total = np.cumsum(size[runs] // unit + 1)
+        yield from np.split(runs, np.searchsorted(total, np.arange(BLOCKS, int(total[-1]), BLOCKS)))
+
+
+class Runs:
+    """Digests of any runs of a byte array, equal for equal runs wherever they lie.
+
+    A run is cut into words of eight bytes. Each is mixed with its number in the run and the mixed words
+    are added; a run of eight bytes or fewer is its own bytes, mixed with its length. Nothing in it is
+    linear in the bytes, and digests of different salts are independent.
+    """
 
     def __init__(self, data: np.ndarray, salt: int = 0):
-        self.pow, self.inv = _grow(len(data) + 1)
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        #: The eight bytes from each place on, zeros beyond the end.
+        self.eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)).copy()
         self.salt = np.uint64(salt)
-        table = _TABLE if not salt else mix(_TABLE + self.salt) | np.uint64(1)
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(table[data] * self.pow[: len(data)], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.inv[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * M1)
-
-
-class Sequence(Rolling):
-    """The same over an array of 64-bit symbols."""
+        size = ends - starts
+        h = mix((self.eight[starts] & _LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * M1 + self.salt)
+        for long in _portions(np.flatnonzero(size > 8), size, 8):
+            at, number, first = _tiled(starts[long] + 8, size[long] - 8, 8)
+            v = mix(self.eight[at] ^ (number.astype(np.uint64) * _STEP + self.salt + M2))
+            h[long] = mix(h[long] + np.add.reduceat(v, first))
+        return h
+
+    def grams(self, width: int) -> np.ndarray:
+        """Digests of the ``width`` bytes (9 to 16) from each place on that has so many."""
+        n = len(self.eight) - width
+        return mix(self.eight[:n] * M1 + self.eight[width - 8 : width - 8 + n] + self.salt)
+
+    def equal(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the runs of ``size`` bytes from ``a`` and from ``b`` on hold the same bytes."""
+        low = _LOW[np.minimum(size, 8)]
+        ok = (self.eight[a] & low) == (self.eight[b] & low)
+        for long in _portions(np.flatnonzero(ok & (size > 8)), size, 8):
+            at, _, first = _tiled(a[long], size[long], 8)
+            n = np.diff(np.concatenate((first, [len(at)])))
+            ok[long] = np.logical_and.reduceat(self.eight[at] == self.eight[at + np.repeat(b[long] - a[long], n)], first)
+        return ok
+
+
+class Sequence:
+    """The same over an array of 64-bit symbols: each level mixes pairs of neighbouring blocks into one."""
 
     def __init__(self, symbols: np.ndarray, salt: int = 0):
-        self.pow, self.inv = _grow(len(symbols) + 1)
-        self.salt = np.uint64(salt)
-        self.sums = np.zeros(len(symbols) + 1, dtype=np.uint64)
-        np.cumsum(mix(symbols + self.salt) * self.pow[: len(symbols)], out=self.sums[1:])
+        self.one = mix(symbols + np.uint64(salt))
+        self.many = self.one
+        for half in (1, 2, 4):
+            beside = np.zeros_like(self.many)
+            beside[:-half or None] = self.many[half:]
+            self.many = mix(self.many * M1 + beside)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        h = np.zeros(len(size), dtype=np.uint64)
+        for unit, level, mine in ((1, self.one, np.flatnonzero((size > 0) & (size < 8))), (8, self.many, np.flatnonzero(size >= 8))):
+            for mine in _portions(mine, size, unit):
+                at, number, first = _tiled(starts[mine], size[mine], unit)
+                h[mine] = np.add.reduceat(mix(level[at] ^ (number.astype(np.uint64) * _STEP)), first)
+        return mix(h + size.astype(np.uint64) * M1)
+
+
+def chained(symbols: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Digests of ``width`` symbols (at least one) from each start on."""
+    h = mix(symbols[starts])
+    for k in range(1, width):
+        h = mix(h * M1 + symbols[starts + k])
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 """Token ids in a file format with Re-Pair grammar compression, one grammar for each shard.
 
 Re-Pair: frequent pairs of neighbouring symbols are replaced by new symbols (nonterminals), again
-and again, until no pair is frequent. Here each round replaces many pairs at once; where
+and again, until no pair comes LEAST_COUNT times. Here each round replaces many pairs at once; where
 occurrences overlap, every other one of a chain is taken, from the left. A shard stores the rules,
 the expansion length of every nonterminal, the final symbol sequence and the documents' lengths.
 The lengths give each symbol's place among the ids, so any range of ids is decoded by expanding
@@ -32,11 +32,11 @@ MAGIC = b"RPG1"
 _HEAD = "<4sIIIIQQ"
 SHARD_IDS = 1_000_000
 LEAST_COUNT = 12
-PAIRS_A_ROUND = 2_048
-ROUNDS = 10
+#: A round takes pairs down to this part of the highest count.
+SHARE = 8
 END_ID = 1
 #: Words that a worker keeps encoded; when there are more it starts afresh.
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -44,32 +44,28 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return (key * key.dtype.type(0x9E3779B97F4A7C15 >> (64 - bits) | 1)) >> key.dtype.type(bits - 20)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_COUNT, most: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules of shape (r, 2), expansion lengths of the rules) of ids below ``base``."""
+def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules of shape (r, 2), expansion lengths of the rules) of ids below ``base``.
+
+    Each round replaces the pairs that come at least a SHARE-th as often as the most frequent one, until
+    no pair comes ``least`` times.
+    """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(base, dtype=np.uint32)
-    limit = max(65_536, base)
-    for _ in range(rounds):
-        room = limit - len(lengths)
-        if len(seq) < 2 * least or room <= 0:
-            break
+    while len(seq) >= 2:
         wide = len(lengths) > 65_536
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:] if wide else (seq[:-1] << np.uint32(16)) | seq[1:]
         ordered = np.sort(key)
         at = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
         counts = np.diff(np.concatenate((at, [len(ordered)])))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+        top = int(counts.max())
+        if top < least:
             break
-        if len(often) > min(most, room):
-            rank = np.lexsort((often, -counts[often]))[: min(most, room)]
-            often = np.sort(often[rank])
-        chosen = ordered[at[often]]
-        slot = _slot(key)
+        chosen = ordered[at[np.flatnonzero(counts >= max(least, top // SHARE))]]
         maybe = np.zeros(1 << 20, dtype=bool)
         maybe[_slot(chosen)] = True
-        place = np.flatnonzero(maybe[slot])
+        place = np.flatnonzero(maybe[_slot(key)])
         where = np.minimum(np.searchsorted(chosen, key[place]), len(chosen) - 1)
         hit = chosen[where] == key[place]
         place, where = place[hit], where[hit]
@@ -80,18 +76,26 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         used, kind = np.unique(where[take], return_inverse=True)
         shift = 32 if wide else 16
         left, right = (chosen[used] >> chosen.dtype.type(shift)).astype(np.uint32), (chosen[used] & chosen.dtype.type((1 << shift) - 1)).astype(np.uint32)
-        before = len(seq)
         seq[place] = (len(lengths) + kind).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[place + 1] = False
         seq = seq[keep]
         rules.append(np.column_stack((left, right)))
         lengths = np.concatenate((lengths, lengths[left] + lengths[right]))
-        if before - len(seq) < before // 100:
-            break
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), lengths[base:]
 
 
+def _narrow(symbols: np.ndarray, width: int) -> bytes:
+    """Little-endian unsigned integers of ``width`` bytes."""
+    return np.ascontiguousarray(symbols.astype("<u4").reshape(-1, 1).view(np.uint8)[:, :width]).tobytes()
+
+
+def _widened(blob: bytes, count: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((count, 4), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8, count * width, at).reshape(count, width)
+    return out.view("<u4").ravel()
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for."""
     seq = seq.astype(np.int64)
@@ -109,9 +113,9 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 
 def pack(ids: np.ndarray, sizes: np.ndarray, base: int) -> bytes:
     seq, rules, lengths = compress(ids, base)
-    kind = np.dtype("<u2") if base + len(rules) <= 65_536 else np.dtype("<u4")
-    head = struct.pack(_HEAD, MAGIC, len(sizes), len(rules), base, kind.itemsize, len(seq), len(ids))
-    return b"".join((head, sizes.astype("<u4").tobytes(), rules.astype(kind).tobytes(), lengths.astype("<u4").tobytes(), seq.astype(kind).tobytes()))
+    width = next(w for w in (2, 3, 4) if base + len(rules) <= 1 << 8 * w)
+    head = struct.pack(_HEAD, MAGIC, len(sizes), len(rules), base, width, len(seq), len(ids))
+    return b"".join((head, sizes.astype("<u4").tobytes(), _narrow(rules, width), lengths.astype("<u4").tobytes(), _narrow(seq, width)))
 
 
 class Shard:
@@ -121,11 +125,11 @@ class Shard:
         magic, docs, rules, self.base, width, symbols, self.n = struct.unpack_from(_HEAD, blob)
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
-        kind, at = f"<u{width}", struct.calcsize(_HEAD)
+        at = struct.calcsize(_HEAD)
         parts = []
-        for dtype, count in (("<u4", docs), (kind, 2 * rules), ("<u4", rules), (kind, symbols)):
-            parts.append(np.frombuffer(blob, dtype, count, at))
-            at += parts[-1].nbytes
+        for w, count in ((4, docs), (width, 2 * rules), (4, rules), (width, symbols)):
+            parts.append(_widened(blob, count, w, at))
+            at += w * count
         self.sizes, self.rules, self.lengths, self.symbols = parts[0], parts[1].reshape(-1, 2), parts[2], parts[3]
         size = np.concatenate((np.ones(self.base, np.int64), self.lengths.astype(np.int64)))[self.symbols]
         self.ends = np.cumsum(size)
@@ -142,6 +146,17 @@ class Shard:
         return self.ids(start, start + int(self.sizes[k]))
 
 
+#: The way of cutting texts that ``_pieces`` and ``WordEncoder._encode`` rest on, as tokenizer files state it.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "end_of_word_suffix": "</w>",
+}
 _LETTER = np.isin(np.arange(256), np.arange(97, 123))
 _MARK = np.array([33 <= i < 127 and not chr(i).isalnum() for i in range(256)])
 
@@ -162,17 +177,24 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class WordEncoder:
-    """Ids of whole texts through a library tokenizer whose pieces never span white space.
+    """Ids of whole texts through a library tokenizer.
 
-    Each distinct word is encoded once while the worker remembers it.
+    Where the file cuts texts as KNOWN says, no piece spans white space, and each distinct word is encoded once
+    while the worker remembers it. Texts go to the library whole with any other file.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        stated = {"normalizer": file.get("normalizer"), "pre_tokenizer": file.get("pre_tokenizer"), "end_of_word_suffix": file["model"].get("end_of_word_suffix")}
+        self.by_word = stated == KNOWN and file["model"].get("dropout") is None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -182,7 +204,7 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.start = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
@@ -214,14 +236,14 @@ class WordEncoder:
             flat[bytesx.ragged(start[rest], size[rest])] = list(itertools.chain.from_iterable(lists))
         return flat, size
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        flat, size = self._encode(texts)
+    def _learn(self, texts: list[bytes]) -> None:
+        flat, size = self._encode([t.decode() for t in texts])
         k = len(self.known)
         while k + len(texts) > len(self.start):
             self.start, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.known.update(zip(hashes, range(k, k + len(texts)), strict=True))
+        self.known.update(zip(texts, range(k, k + len(texts)), strict=True))
         self.start[k : k + len(texts)] = self.used + np.concatenate(([0], np.cumsum(size)))[:-1]
         self.count[k : k + len(texts)] = size
         self.flat[self.used : self.used + len(flat)] = flat
@@ -229,18 +251,30 @@ class WordEncoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after another, ids in each), without end ids."""
+        if not self.by_word:
+            raw = data.tobytes()
+            texts = [raw[i:j].decode() for i, j in itertools.pairwise(offsets.tolist())]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([x for ids in lists for x in ids], dtype=np.uint32), np.array([len(x) for x in lists], dtype=np.int64)
         data = bytesx.lower(data)  # the tokenizer lowers all letters itself
         starts, ends, counts = _pieces(data, offsets)
         if len(self.known) > CACHE:
             self.forget()
-        uniq, first, back = np.unique(bytesx.Rolling(data)(starts, ends), return_index=True, return_inverse=True)
-        keys = uniq.tolist()
-        place = [self.known.get(h, -1) for h in keys]
+        runs, size = bytesx.Runs(data), ends - starts
+        _, first, back = np.unique(runs(starts, ends), return_index=True, return_inverse=True)
+        # Words of one digest that are not one word go on their own.
+        rep = first[back]
+        same = size == size[rep]
+        same[same] = runs.equal(starts[same], starts[rep[same]], size[same])
+        odd = np.flatnonzero(~same)
+        back[odd] = len(first) + np.arange(len(odd))
+        first = np.concatenate((first, odd))
+        raw = data.tobytes()
+        keys = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        place = [self.known.get(k, -1) for k in keys]
         new = [i for i, p in enumerate(place) if p < 0]
-        raw = data.tobytes() if new else b""
         for at in range(0, len(new), 4_096):
-            some = new[at : at + 4_096]
-            self._learn([keys[i] for i in some], [raw[starts[first[i]] : ends[first[i]]].decode() for i in some])
+            self._learn([keys[i] for i in new[at : at + 4_096]])
         for i in new:
             place[i] = self.known[keys[i]]
         word = np.array(place, dtype=np.int64)[back]

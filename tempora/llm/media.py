@@ -5,12 +5,14 @@ Media bytes are cut where a rolling gear hash has zeros in its top bits, so equa
 cut alike wherever they lie. Chunk digests are gathered by Spark joins: the first occurrence of a
 digest owns the bytes, all others refer to it. The store has three kinds of rows:
 
-* packs: media without any shared chunk, many to a compressed row, each with its ordered chunk list;
+* packs: the chunks of media that share none, many to a compressed row, with each chunk's digest and size
+  and the ordered chunk list of each of these media;
 * chunks: a digest and its compressed bytes, for media that share a chunk with anything else;
 * entries: the ordered chunk list of such media, one row for each place.
 
-Reading joins entries to chunks by digest, puts the bytes together in order, and verifies length
-and digest of every object against what was written; a mismatch stops the read.
+Every object is read by its chunk list: from its pack, or by a join of entries to chunks by digest. The bytes
+are put together in order, and every pack's chunk and every object is verified against the digest that was written;
+a mismatch stops the read.
 
 Nothing is collected to the driver, and bytes move once to be stored and, for shared media only,
 once more to be read.
@@ -28,12 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.scratch import stash
+from tempora.llm.scratch import bundles, settled, small_batches, stash
 
 #: Chunk sizes in bytes: a cut needs CUT_BITS zero bits, after at least LEAST and at most MOST bytes.
 LEAST, CUT_BITS, MOST = 512, 11, 8_192
 WINDOW = 32
-BUNDLE = 250
+#: Rows of a bundle, and bytes of text that end one.
+BUNDLE, BUNDLE_BYTES = 250, 4_000_000
 LEVEL = 6
 UNIT = 192
 RATE = 16_000
@@ -97,25 +100,6 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole bundles of consecutive rows, whatever the batches' sizes."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids = b["bundle"].to_numpy(zero_copy_only=False)
-        at = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-        for i, j in zip(at[:-1], at[1:], strict=True):
-            if last is not None and ids[i] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(i, j - i))
-            last = ids[i]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _to_media(body: bytes | None) -> tuple[int, bytes]:
     raw = body or b""
     return len(raw), wav(padded(raw))
@@ -128,13 +112,12 @@ def store(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     by its place in the input. An empty table gives an empty store.
     """
     rid = F.monotonically_increasing_id()
-    rows = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
-    rows = rows.withColumn("bundle", F.floor(F.col("rid") / F.lit(BUNDLE)))
+    rows = settled(spark, docs.select(id_col, text_col)).select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
 
     def digests(batches):
-        for b in batches:
+        for bundle, t in bundles(batches, BUNDLE, BUNDLE_BYTES, "body", "rid"):
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for bundle, r, body in zip(b["bundle"].to_pylist(), b["rid"].to_pylist(), b["body"], strict=True):
+            for r, body in zip(t["rid"].to_pylist(), t["body"], strict=True):
                 _, media = _to_media(body.as_py())
                 at = 0
                 for k, end in enumerate(cuts(media)):
@@ -145,26 +128,26 @@ def store(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["bundle", "rid", "idx", "digest"]
             )
 
-    found = rows.select("bundle", "rid", "body").mapInArrow(digests, "bundle long, rid long, idx int, digest binary")
+    found = rows.select("rid", "body").mapInArrow(digests, "bundle long, rid long, idx int, digest binary")
     seen = stash(spark, found, "digests")
     owner = seen.df.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "idx")).alias("own")).where("n > 1")
     shared = (
         seen.df.join(owner, "digest")
         .groupBy("bundle")
         .agg(F.collect_list(F.struct("rid", "idx", (F.struct("rid", "idx") == F.col("own")).alias("owns"))).alias("shared"))
-    )  # a bundle has BUNDLE rows, so its list is bounded by their length
+    )  # a bundle has BUNDLE rows or BUNDLE_BYTES, which bounds its list
 
     def pack(batches):
         z = zstandard.ZstdCompressor(level=LEVEL)
-        for t in _bundled(batches):
+        for bundle, t in bundles(batches, BUNDLE, BUNDLE_BYTES, "body", "rid"):
             ids, names, bodies = t["rid"].to_pylist(), t["doc_id"].to_pylist(), t["body"].to_pylist()
             sizes = [len(x or b"") for x in bodies]
             yield pa.RecordBatch.from_pydict({
-                "bundle": pa.array([t["bundle"][0].as_py()], pa.int64()), "rids": pa.array([ids], pa.list_(pa.int64())), "doc_ids": pa.array([names], pa.list_(pa.int64())),
+                "bundle": pa.array([bundle], pa.int64()), "rids": pa.array([ids], pa.list_(pa.int64())), "doc_ids": pa.array([names], pa.list_(pa.int64())),
                 "sizes": pa.array([sizes], pa.list_(pa.int64())), "z": pa.array([z.compress(b"".join(x or b"" for x in bodies))], pa.binary()),
             })
 
-    bundles = rows.mapInArrow(pack, "bundle long, rids array<long>, doc_ids array<long>, sizes array<long>, z binary")
+    packed = rows.mapInArrow(pack, "bundle long, rids array<long>, doc_ids array<long>, sizes array<long>, z binary")
 
     def write(batches):
         z, back = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
@@ -175,7 +158,7 @@ def store(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                     marks.setdefault(s["rid"], {})[s["idx"]] = s["owns"]
                 blob, at = back.decompress(row["z"], max_output_size=max(1, sum(row["sizes"]))), 0
                 out: list[dict] = []
-                packed: list[bytes] = []
+                chunks: list[bytes] = []
                 lists: list[dict] = []
                 for r, name, size in zip(row["rids"], row["doc_ids"], row["sizes"], strict=True):
                     n, media = _to_media(blob[at : at + size])
@@ -183,8 +166,9 @@ def store(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                     whole = hashlib.sha256(media).digest()
                     own = marks.get(r)
                     if own is None:
-                        packed.append(media)
-                        lists.append({"rid": r, "doc_id": name, "n_bytes": n, "sha": whole, "ends": cuts(media)})
+                        ends = cuts(media)
+                        lists.append({"rid": r, "doc_id": name, "n_bytes": n, "sha": whole, "chunks": range(len(chunks), len(chunks) + len(ends))})
+                        chunks += [media[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
                         continue
                     start = 0
                     for k, end in enumerate(cuts(media)):
@@ -193,11 +177,14 @@ def store(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                         if own.get(k, True):
                             out.append({"kind": 1, "digest": d, "bytes": z.compress(media[start:end])})
                         start = end
-                if packed:
-                    out.append({"kind": 0, "rid": row["bundle"], "bytes": z.compress(b"".join(packed)), "list": lists})
+                if chunks:
+                    out.append({
+                        "kind": 0, "rid": row["bundle"], "digest": b"".join(map(digest, chunks)), "sizes": list(map(len, chunks)),
+                        "bytes": z.compress(b"".join(chunks)), "list": lists,
+                    })
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
-    stored = bundles.join(shared, "bundle", "left").mapInArrow(write, STORE)
+    stored = packed.join(shared, "bundle", "left").mapInArrow(write, STORE)
     table = stash(spark, stored, "media")
     seen.drop()
     return table
@@ -205,12 +192,12 @@ def store(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
 STORE = (
     "kind int, rid long, doc_id long, n_bytes long, sha binary, idx int, digest binary, bytes binary, "
-    "list array<struct<rid:long,doc_id:long,n_bytes:long,sha:binary,ends:array<int>>>"
+    "sizes array<int>, list array<struct<rid:long,doc_id:long,n_bytes:long,sha:binary,chunks:array<int>>>"
 )
 _ARROW = pa.schema([
     ("kind", pa.int32()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("idx", pa.int32()),
-    ("digest", pa.binary()), ("bytes", pa.binary()),
-    ("list", pa.list_(pa.struct([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("ends", pa.list_(pa.int32()))]))),
+    ("digest", pa.binary()), ("bytes", pa.binary()), ("sizes", pa.list_(pa.int32())),
+    ("list", pa.list_(pa.struct([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("chunks", pa.list_(pa.int32()))]))),
 ])
 
 READ = (
@@ -240,15 +227,20 @@ _READ = pa.schema([
 def read(stored: DataFrame, facts: Callable[..., dict] = _facts) -> DataFrame:
     """One row for each stored object, with what ``facts`` says of the verified bytes."""
 
+    small_batches(stored.sparkSession)
+
     def packs(batches):
         z = zstandard.ZstdDecompressor()
         for b in batches:
             for row in b.to_pylist():
-                blob, at, out = z.decompress(row["bytes"], max_output_size=1 << 31), 0, []
-                for e in row["list"]:
-                    size = e["ends"][-1]
-                    out.append(facts(e["doc_id"], e["n_bytes"], blob[at : at + size], e["sha"], len(e["ends"])))
+                blob, at, chunks, out = z.decompress(row["bytes"], max_output_size=max(1, sum(row["sizes"]))), 0, [], []
+                for size in row["sizes"]:
+                    chunks.append(blob[at : at + size])
                     at += size
+                if b"".join(map(digest, chunks)) != row["digest"]:
+                    raise ValueError(f"chunks of pack {row['rid']} differ from what was written")
+                for e in row["list"]:
+                    out.append(facts(e["doc_id"], e["n_bytes"], b"".join(chunks[k] for k in e["chunks"]), e["sha"], len(e["chunks"])))
                 yield pa.RecordBatch.from_pylist(out, schema=_READ)
 
     def joined(batches):
@@ -261,7 +253,7 @@ def read(stored: DataFrame, facts: Callable[..., dict] = _facts) -> DataFrame:
                 out.append(facts(row["doc_id"], row["n_bytes"], media, row["sha"], len(parts)))
             yield pa.RecordBatch.from_pylist(out, schema=_READ)
 
-    alone = stored.where("kind = 0").select("bytes", "list").mapInArrow(packs, READ)
+    alone = stored.where("kind = 0").select("rid", "digest", "bytes", "sizes", "list").mapInArrow(packs, READ)
     entries = stored.where("kind = 2").select("rid", "doc_id", "n_bytes", "sha", "idx", "digest")
     chunks = stored.where("kind = 1").select("digest", "bytes")
     media = entries.join(chunks, "digest").groupBy("rid").agg(

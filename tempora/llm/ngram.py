@@ -67,15 +67,14 @@ def grams(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndar
     """
     small = bytesx.lower(data)
     starts, ends, counts = bytesx.words(small, offsets)
-    roll = bytesx.Sequence(bytesx.Rolling(small)(starts, ends))
-    at = np.arange(max(0, len(starts) - words + 1))
-    every = roll(at, at + words)
+    named = bytesx.Runs(small)(starts, ends)
+    every = bytesx.chained(named, np.arange(max(0, len(starts) - words + 1)), words)
     begin = np.concatenate(([0], np.cumsum(counts)))
     for i, n in zip(begin[:-1].tolist(), counts.tolist(), strict=True):
         if n >= words:
             yield np.unique(every[i : i + n - words + 1])
         elif n:
-            yield roll(np.array([i]), np.array([i + n]))
+            yield bytesx.chained(named, np.array([i]), n)
         else:
             yield np.zeros(0, np.uint64)
 

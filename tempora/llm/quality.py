@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import bytesx
+from tempora.llm.scratch import small_batches
 
 HASH_BITS = 14
 FACTORS = 8
@@ -53,7 +54,7 @@ def features(text: pa.Array, stated: np.ndarray) -> Iterator[tuple[int, int, np.
         n = j - i
         small = bytesx.lower(data)
         starts, ends, counts = bytesx.words(data, offsets)
-        h = bytesx.Rolling(small)(starts, ends)
+        h = bytesx.Runs(small)(starts, ends)
         doc = np.repeat(np.arange(n), counts)
         column = (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)
         key, times = np.unique(doc * (1 << HASH_BITS) + column, return_counts=True)
@@ -197,8 +198,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 def score(spark: SparkSession, docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text; null and empty texts have one too.
 
-    A column that already has that name is an error of the caller: choose another name.
+    A column of that name is replaced. Other columns may have any names.
     """
+    small_batches(spark)
+    docs = docs.drop(column)
     model = spark.sparkContext.broadcast(machine)
     stated = "n_chars" if "n_chars" in docs.columns else None
 

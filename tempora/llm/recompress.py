@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import bytesx
-from tempora.llm.occurrences import numbered, repeated, with_text
+from tempora.llm.occurrences import NONE, collapsed, numbered, repeated, with_text
 from tempora.llm.scratch import stash
 
 LENGTH = 50
@@ -95,12 +95,12 @@ def levels(words: np.ndarray, offsets: np.ndarray, length: int, rounds: int = LE
 
 
 def stretches(words: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, first start, number of starts, anchor name, body digest) of every stretch."""
+    """(document, first start, number of starts, anchor name, body digest, times in a row) of every stretch."""
     sizes = np.diff(offsets)
     whole = sizes >= length
     starts = bytesx.ragged(offsets[:-1][whole], sizes[whole] - length + 1)
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return NONE
     n = len(words)
     anchor = np.zeros(n, dtype=np.uint64)
     spot = np.zeros(n, dtype=np.int64)
@@ -137,13 +137,13 @@ def stretches(words: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     s0 = starts[first]
     body = bytesx.Sequence(words, salt=0xB0D2)(s0, s0 + count + length - 1)
     doc = np.searchsorted(offsets, s0, side="right") - 1
-    return doc, s0 - offsets[doc], count, name[first], body
+    return collapsed(doc, s0 - offsets[doc], count, name[first], body)
 
 
 def _names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(digests of the words, word offsets of the documents)."""
     starts, ends, counts = bytesx.words(data, offsets)
-    return bytesx.Rolling(data)(starts, ends), np.concatenate(([0], np.cumsum(counts)))
+    return bytesx.Runs(data)(starts, ends), np.concatenate(([0], np.cumsum(counts)))
 
 
 def earlier_windows(spark: SparkSession, rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -157,12 +157,13 @@ def earlier_windows(spark: SparkSession, rows: DataFrame, length: int = LENGTH)
         for b in batches:
             rid, ids = b["rid"].to_numpy(), b["doc_id"].fill_null(LAST).to_numpy()
             for i, _, data, offsets in bytesx.slices(b["text"]):
-                doc, s0, n, name, body = stretches(*_names(data, offsets), length)
+                doc, s0, n, name, body, times = stretches(*_names(data, offsets), length)
                 yield pa.RecordBatch.from_arrays([
-                    bytesx.longs(name), bytesx.longs(body), pa.array(rid[i + doc]), pa.array(ids[i + doc]), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32))
-                ], names=["name", "body", "rid", "doc", "s0", "n"])
+                    bytesx.longs(name), bytesx.longs(body), pa.array(rid[i + doc]), pa.array(ids[i + doc]), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32)),
+                    pa.array(times.astype(np.int32)),
+                ], names=["name", "body", "rid", "doc", "s0", "n", "times"])
 
-    kept = repeated(spark, rows.select("rid", "doc_id", "text").mapInArrow(cut, "name long, body long, rid long, doc long, s0 int, n int"), "words")
+    kept = repeated(spark, rows.select("rid", "doc_id", "text").mapInArrow(cut, "name long, body long, rid long, doc long, s0 int, n int, times int"), "words")
     classes = kept.df.groupBy("name", "body").agg(F.min("doc").alias("least"), F.min(F.struct("rid", "s0", "n")).alias("at"))
     variety = classes.groupBy("name").agg(F.count("*").alias("kinds"))
     chosen = stash(spark, classes.join(variety, "name"), "classes")
@@ -219,10 +220,12 @@ def earlier_windows(spark: SparkSession, rows: DataFrame, length: int = LENGTH)
     partly = judged[0].df
     for more in judged[1:]:
         partly = partly.union(more.df)
-    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - 1).alias("last")))
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") * F.col("times") - 1).alias("last")))
     later = kept.df.join(chosen.df.select("name", "body", "least"), ["name", "body"]).where("doc > least").select("rid", "s0", whole.alias("hits"))
     least = chosen.df.select("name", "body", F.col("least").alias("doc"))
-    firsts = kept.df.join(partly.where(F.size("early") > 0), ["name", "body"]).join(least, ["name", "body", "doc"]).select("rid", "s0", F.col("early").alias("hits"))
+    shift = lambda h, k: F.struct((h["first"] + k * F.col("n")).alias("first"), (h["last"] + k * F.col("n")).alias("last"))
+    again = F.flatten(F.transform(F.sequence(F.lit(0), F.col("times") - 1), lambda k: F.transform("early", lambda h: shift(h, k))))
+    firsts = kept.df.join(partly.where(F.size("early") > 0), ["name", "body"]).join(least, ["name", "body", "doc"]).select("rid", "s0", again.alias("hits"))
     moved = F.transform("hits", lambda h: F.struct((h["first"] + F.col("s0")).alias("first"), (h["last"] + F.col("s0")).alias("last")))
     spans = later.union(firsts).select("rid", moved.alias("spans")).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = stash(spark, spans, "spans")

@@ -21,9 +21,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempora.llm.scratch import settled
+
 SHARDS = 24
 ROWS_PER_PART = 2_000
-MAX_PARTS = 4_096  # bounds the matrix on the driver and the broadcast plan: 98,304 rows at most
+MAX_PARTS = 4_096  # bounds the matrix on the driver and the broadcast plan (98,304 rows at most); parts grow beyond it
 CELL_ROWS = 2_000
 SEED = 20_240_517
 
@@ -63,8 +65,11 @@ def shard_rows(
     ``key`` names the columns that tell rows apart. Rows that agree in all of them are copies
     of one another: they get different slots, and which copy gets which is immaterial, so that
     a repeated task gives the same table. Null keys are values like any other. An empty table
-    gives an empty table. The columns shard, slot, ``_part``, ``_pos``, ``_cell`` and ``_at`` must not occur.
+    gives an empty table. Columns named shard or slot are replaced, others may have any names.
     """
+    others = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    rows = settled(spark, rows).select(F.struct("*").alias("_row"))
+    key = [f"_row.`{k}`" for k in key]
     n = rows.count()
     parts = min(MAX_PARTS, max(1, -(-n // rows_per_part)))
     # Copies of one row hash alike; a salt that counts them would need an exchange, so parts
@@ -107,5 +112,5 @@ def shard_rows(
         mixed.withColumn("_n", F.row_number().over(within) - F.lit(1))
         .join(starts, ["shard", "_cell"])
         .withColumn("slot", (F.col("_start") + F.col("_n")).cast("long"))
-        .drop("_pos", "_at", "_cell", "_n", "_start")
+        .select(*[F.col(f"_row.`{c}`") for c in others], "shard", "slot")
     )

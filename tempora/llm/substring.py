@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import bytesx, suffixes
-from tempora.llm.occurrences import numbered, repeated, with_text
-from tempora.llm.scratch import stash
+from tempora.llm.occurrences import NONE, collapsed, numbered, repeated, with_text
+from tempora.llm.scratch import fresh, settled, stash
 
 LENGTH = 200
 GRAM = 16
@@ -34,14 +34,12 @@ RANGE = 200_000
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(document, first start, number of starts, name, body digest) of every stretch of the documents."""
+    """(document, first start, number of starts, name, body digest, times in a row) of every stretch of the documents."""
     n = len(data)
     if n < length or length < gram:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    roll = bytesx.Rolling(data)
-    at = np.arange(n - gram + 1)
-    names = roll(at, at + gram)
-    value = (names & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+        return NONE
+    names = bytesx.Runs(data).grams(gram)
+    value = (names & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(names), dtype=np.uint64)
     width, have, low = length - gram + 1, 1, value
     while 2 * have <= width:
         low = np.minimum(low[:-have], low[have:])
@@ -53,16 +51,16 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GR
     whole = sizes >= length
     starts = bytesx.ragged(offsets[:-1][whole], sizes[whole] - length + 1)
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return NONE
     pick = chosen[starts]
     new = np.ones(len(starts), dtype=bool)
     new[1:] = pick[1:] != pick[:-1]
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate((first, [len(starts)])))
     s0 = starts[first]
-    body = bytesx.Rolling(data, salt=0xB0D1)(s0, s0 + count + length - 1)
+    body = bytesx.Runs(data, salt=0xB0D1)(s0, s0 + count + length - 1)
     doc = np.searchsorted(offsets, s0, side="right") - 1
-    return doc, s0 - offsets[doc], count, names[pick[first]], body
+    return collapsed(doc, s0 - offsets[doc], count, names[pick[first]], body)
 
 
 def _repeats(regions: list[bytes], counts: np.ndarray, times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +113,13 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = LENGTH) -
         for b in batches:
             rid = b["rid"].to_numpy()
             for i, _, data, offsets in bytesx.slices(b["text"]):
-                doc, s0, n, name, body = stretches(data, offsets, length)
+                doc, s0, n, name, body, times = stretches(data, offsets, length)
                 yield pa.RecordBatch.from_arrays([
-                    bytesx.longs(name), bytesx.longs(body), pa.array(rid[i + doc]), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32))
-                ], names=["name", "body", "rid", "s0", "n"])
+                    bytesx.longs(name), bytesx.longs(body), pa.array(rid[i + doc]), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(times.astype(np.int32)),
+                ], names=["name", "body", "rid", "s0", "n", "times"])
 
-    kept = repeated(spark, rows.select("rid", "text").mapInArrow(cut, "name long, body long, rid long, s0 int, n int"), "bytes")
-    classes = kept.df.groupBy("name", "body").agg(F.count("*").alias("times"), F.min(F.struct("rid", "s0", "n")).alias("at"))
+    kept = repeated(spark, rows.select("rid", "text").mapInArrow(cut, "name long, body long, rid long, s0 int, n int, times int"), "bytes")
+    classes = kept.df.groupBy("name", "body").agg(F.sum("times").alias("times"), F.min(F.struct("rid", "s0", "n")).alias("at"))
     variety = classes.groupBy("name").agg(F.count("*").alias("kinds"))
     classes = (
         classes.join(variety, "name")
@@ -164,7 +162,7 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = LENGTH) -
             size = np.array([len(texts[i]) for i in mine])
             begin = np.concatenate(([0], np.cumsum(size)))[:-1]
             at = bytesx.ragged(begin, n[mine].astype(np.int64))
-            digest = bytesx.Rolling(raw, salt=0xD16E57)(at, at + length)
+            digest = bytesx.Runs(raw, salt=0xD16E57)(at, at + length)
             owner = np.repeat(mine, n[mine])
             place = at - np.repeat(begin, n[mine])
             loud = np.array([(o, p) in known for o, p in zip(owner.tolist(), place.tolist(), strict=True)], dtype=bool)
@@ -199,11 +197,13 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = LENGTH) -
     found = stash(spark, regions.withColumn("shard", shard).groupBy("shard").applyInArrow(search, "name long, body long, first int, last int, range int, digests binary, places binary"), "found")
     across = found.df.where("range is not null").groupBy("name", "range").applyInArrow(merge, "name long, body long, first int, last int")
     repeats = found.df.where("range is null").select("name", "body", "first", "last").unionByName(across)
+    # Every window of a stretch that comes several times in a row repeats.
+    last = F.col("s0") + F.when(F.col("times") > 1, F.col("times") * F.col("n") - 1).otherwise(F.col("last"))
     spans = (
-        kept.df.select("name", "body", "rid", "s0")
+        kept.df.select("name", "body", "rid", "s0", "n", "times")
         .join(repeats, ["name", "body"])
         .groupBy("rid")
-        .agg(F.collect_list(F.struct((F.col("s0") + F.col("first")).alias("first"), (F.col("s0") + F.col("last")).alias("last"))).alias("spans"))
+        .agg(F.collect_list(F.struct((F.col("s0") + F.col("first")).alias("first"), last.alias("last"))).alias("spans"))
     )
     out = stash(spark, spans, "spans")
     for t in (kept, chosen, found):
@@ -266,18 +266,20 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
     """``docs``, every column kept, with repeated strings cut out of ``text`` (whole signs only).
 
     n_chars, if there is such a column, becomes the new text's length where anything was cut. Null texts stay
-    null, and a row of which nothing is left has the empty text. The columns _rid and _spans must not occur.
+    null, and a row of which nothing is left has the empty text. Other columns may have any names.
     """
+    docs = settled(spark, docs)
     spans = repeated_spans(spark, numbered(docs), length)
 
     names = docs.columns
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(spans.select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")), "_rid", "left")
+    rid, cut = fresh(names, "rid"), fresh(names, "spans")
+    rows = docs.withColumn(rid, F.monotonically_increasing_id()).join(spans.select(F.col("rid").alias(rid), F.col("spans").alias(cut)), rid, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = []
             changed = []
-            for t, f in zip(b["text"].to_pylist(), b["_spans"].to_pylist(), strict=True):
+            for t, f in zip(b["text"].to_pylist(), b[cut].to_pylist(), strict=True):
                 changed.append(bool(t and f))
                 if t and f:
                     raw = t.encode()
@@ -294,4 +296,4 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH)
                     cells.append(b[name])
             yield pa.RecordBatch.from_arrays(cells, names=names)
 
-    return rows.select(*names, "_spans").mapInArrow(run, docs.schema)
+    return rows.select(*names, cut).mapInArrow(run, docs.schema)

@@ -14,8 +14,8 @@ are the ids of its words, one after another.
 4. Decoding joins ids to the token-byte table, which has one row for each token, and checks that
    the bytes are the text's.
 
-Words with one 64-bit hash are told apart: such a word has an empty entry in the vocabulary, and the
-bundle encodes it itself. Documents move once, compressed; frequent words never gather anywhere,
+Words with one 64-bit digest are told apart: such a word has an empty entry in the vocabulary, and the
+bundle encodes it itself; so does a bundle with any word that the ids it got do not spell. Documents move once, compressed; frequent words never gather anywhere,
 since a task and a bundle name each word once.
 """
 
@@ -32,9 +32,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import bytesx
-from tempora.llm.scratch import stash
+from tempora.llm.scratch import bundles, settled, small_batches, stash
 
-BUNDLE = 4_000
+#: Rows of a bundle, and bytes of text that end one.
+BUNDLE, BUNDLE_BYTES = 4_000, 16_000_000
 WORDS_PER_BLOCK = 50_000
 LEVEL = 6
 #: Distinct word hashes that a task remembers before it may name a word again.
@@ -112,9 +113,10 @@ def vocabulary(spark: SparkSession, docs: DataFrame, path: str, pattern: str):
         seen = np.zeros(0, np.uint64)
         fresh: list[np.ndarray] = []
         for b in batches:
-            for _, _, data, offsets in bytesx.slices(b["text"], 8_000_000):
+            for _, _, data, offsets in bytesx.slices(b["text"], 2_000_000):
                 starts, ends, _ = pieces(data, offsets)
-                h, first = np.unique(bytesx.Rolling(data)(starts, ends), return_index=True)
+                # By another digest than the vocabulary's: words that one of them takes for each other differ in the other.
+                h, first = np.unique(bytesx.Runs(data, salt=0x3D)(starts, ends), return_index=True)
                 new = np.ones(len(h), dtype=bool)
                 for known in (seen, *fresh):
                     if len(known):
@@ -138,7 +140,7 @@ def vocabulary(spark: SparkSession, docs: DataFrame, path: str, pattern: str):
             size = np.array([len(x) for x in ids], dtype=np.int64)
             flat = np.array([i for x in ids for i in x], dtype=ranks.kind)
             _, _, data, offsets = next(bytesx.slices(b["word"], 1 << 40), (0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
-            h = bytesx.Rolling(data)(offsets[:-1], offsets[1:])
+            h = bytesx.Runs(data)(offsets[:-1], offsets[1:])
             yield pa.RecordBatch.from_arrays(
                 [bytesx.longs(h), bytesx.binaries(flat.view(np.uint8), np.concatenate(([0], np.cumsum(size))) * ranks.kind.itemsize)], names=["h", "ids"]
             )
@@ -164,28 +166,21 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str, pattern: str,
     a row is known by its place in the input. An empty table gives an empty result. With ``keep_ids``
     the ids come too, as little-endian unsigned 32-bit integers.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    small_batches(spark)
+    rows = settled(spark, docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     vocab = vocabulary(spark, rows, path, pattern)
     blocks = max(8, -(-vocab.df.count() // words_per_block))
     itemsize = _ranks(path, pattern).kind.itemsize
-    placed = rows.withColumn("bundle", F.floor(F.monotonically_increasing_id() / F.lit(bundle)))
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-        held, last = [], None
-        for k, b in _runs(batches, "bundle"):
-            if last is not None and k != last:
-                yield last, pa.Table.from_batches(held)
-                held = []
-            held.append(b)
-            last = k
-        if held:
-            yield last, pa.Table.from_batches(held)
+        return bundles(batches, bundle, BUNDLE_BYTES, "text", "place")
 
     def hashes(text: pa.Array) -> np.ndarray:
         found = []
         for _, _, data, offsets in bytesx.slices(text):
             starts, ends, _ = pieces(data, offsets)
-            found.append(np.unique(bytesx.Rolling(data)(starts, ends)))
+            found.append(np.unique(bytesx.Runs(data)(starts, ends)))
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +250,10 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str, pattern: str,
         if last is not None:
             yield from finish(ranks, text, counts, ids)
 
+    def spelt(size: np.ndarray, width: np.ndarray, plain: np.ndarray, ends: np.ndarray, data: np.ndarray) -> bool:
+        """Whether the ids of each word, ``size`` of them, decode to that word."""
+        return np.array_equal(np.concatenate(([0], np.cumsum(width)))[np.cumsum(size)], ends) and np.array_equal(plain, data)
+
     def finish(ranks: Ranks, text: dict, counts: list[bytes], ids: list[bytes]) -> Iterator[pa.RecordBatch]:
         many = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
         flat = np.frombuffer(b"".join(ids), ranks.kind).astype(np.uint32)
@@ -266,23 +265,27 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str, pattern: str,
         found = []
         for _, _, data, cut in parts:
             starts, ends, per = pieces(data, cut)
-            found.append((bytesx.Rolling(data)(starts, ends), starts, ends, per))
+            found.append((bytesx.Runs(data)(starts, ends), starts, ends, per))
         # the order in which ``ask`` listed them
         asked = np.unique(np.concatenate([np.unique(f[0]) for f in found])) if found else np.zeros(0, np.uint64)
         for (i, j, data, cut), (h, starts, ends, per) in zip(parts, found, strict=True):
             where = np.searchsorted(asked, h)
             size = many[where]
-            if (size == 0).any():
-                local = [ranks.encode(data[s:e].tobytes()) if n == 0 else flat[begin[w] : begin[w] + n] for s, e, w, n in zip(starts, ends, where, size, strict=True)]
+            out = flat[bytesx.ragged(begin[where], size)]
+            plain, width = ranks.decode(out)
+            if not spelt(size, width, plain, ends, data):
+                # A word whose digest another word has too: every word that its ids do not spell is encoded here.
+                local = []
+                for s, e, w, n in zip(starts.tolist(), ends.tolist(), where.tolist(), size.tolist(), strict=True):
+                    ids, word = flat[begin[w] : begin[w] + n], data[s:e]
+                    local.append(ids if np.array_equal(ranks.decode(ids)[0], word) else np.array(ranks.encode(word.tobytes()), dtype=np.uint32))
                 size = np.array([len(x) for x in local], dtype=np.int64)
-                out = np.concatenate([np.asarray(x, dtype=np.uint32) for x in local])
-            else:
-                out = flat[bytesx.ragged(begin[where], size)]
+                out = np.concatenate(local)
+                plain, width = ranks.decode(out)
+                if not spelt(size, width, plain, ends, data):
+                    raise ValueError("decoded ids differ from the text")
             at = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(per)))]
-            plain, width = ranks.decode(out)
             ends_of = np.concatenate(([0], np.cumsum(width)))[at]
-            if len(plain) != len(data) or not np.array_equal(plain, data) or not np.array_equal(ends_of, cut):
-                raise ValueError("decoded ids differ from the text")
             raw, plain = out.astype("<u4").tobytes(), plain.tobytes()
             cells = [
                 pa.array(text["names"][i:j], pa.int64()), pa.array(np.diff(at)),
@@ -295,7 +298,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str, pattern: str,
 
     none = lambda kind: F.lit(None).cast(kind)
     words = vocab.df.select(_block(F.col("h"), blocks).alias("block"), "h", "ids", none("long").alias("bundle"), none("binary").alias("asked"))
-    asks = placed.select("bundle", "text").mapInArrow(ask, "block int, bundle long, asked binary").select(
+    asks = placed.select("place", "text").mapInArrow(ask, "block int, bundle long, asked binary").select(
         "block", none("long").alias("h"), none("binary").alias("ids"), "bundle", "asked"
     )
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)

@@ -104,9 +104,7 @@ def test_substring_texts(spark, docs):
     assert all((r["text"] is None) or r["text"].encode() for r in out.where("length(text) > 0").collect())
 
 
-@pytest.mark.parametrize("hot", [2_048, 1])
-def test_recompress(spark, docs, pairs, monkeypatch, hot):
-    monkeypatch.setattr(recompress, "HOT", hot)
+def _brute_words(pairs):
     words = [(t or "").encode().split() for _, t in pairs]
     first = {}
     for (i, _), w in zip(pairs, words, strict=True):
@@ -120,7 +118,13 @@ def test_recompress(spark, docs, pairs, monkeypatch, hot):
                 gone[s : s + 50] = [True] * 50
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((i, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
-    _same(recompress.remove_repeats(spark, docs).collect(), want)
+    return want
+
+
+@pytest.mark.parametrize("hot", [2_048, 1])
+def test_recompress(spark, docs, pairs, monkeypatch, hot):
+    monkeypatch.setattr(recompress, "HOT", hot)
+    _same(recompress.remove_repeats(spark, docs).collect(), _brute_words(pairs))
 
 
 @pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
@@ -350,5 +354,67 @@ def test_empty(spark, empty):
 
 def test_hashes_depend_on_content_alone():
     data = np.frombuffer(b"abcabcab", np.uint8)
-    h = bytesx.Rolling(data)(np.array([0, 3, 0]), np.array([3, 6, 4]))
+    h = bytesx.Runs(data)(np.array([0, 3, 0]), np.array([3, 6, 4]))
     assert h[0] == h[1] != h[2]
+
+
+def _twins():
+    """A word whose two-letter forms any polynomial digest modulo 2^64 takes for each other."""
+    a = "".join("ab"[k.bit_count() & 1] for k in range(1_024))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_twins_are_told_apart(spark, tmp_path):
+    x, y = _twins()
+    rest = [" ".join(f"{c}{k}" for k in range(60)) for c in "pq"]
+    texts = [(1, x), (2, y), (3, f"{rest[0]} {x} {rest[0][::-1]}"), (4, f"{rest[1]} {y} {rest[1][::-1]}"), (5, " ".join([x, y] * 30)), (6, " ".join([y, x] * 30) + " z")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    _same(substring.remove_repeats(spark, df).collect(), _brute_bytes(texts, 200))
+    _same(recompress.remove_repeats(spark, df).collect(), _brute_words(texts))
+    test_ngram(spark, df, texts, 3, 90)
+    test_grammar(spark, df, texts)
+    ranks = wordbpe.Ranks(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    ids = [(i, np.array(ranks.encoding.encode_ordinary(t), "<u4")) for i, t in texts]
+    got = wordbpe.encode_texts(spark, df, public.path("byte_bpe_50k.tiktoken"), public.PATTERN).collect()
+    _same([tuple(r)[:3] for r in got], [(i, len(v), hashlib.sha256(v.tobytes()).hexdigest()) for i, v in ids])
+
+
+def test_words_of_one_digest_are_told_apart(spark, tmp_path, monkeypatch):
+    """Even where digests meet, here in six bits of them, op2 and op3 give every word its own ids."""
+    call = bytesx.Runs.__call__
+    rng = random.Random(3)
+    texts = [(k, " ".join(f"w{rng.randint(0, 400)}" for _ in range(200))) for k in range(6)]
+    t = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    monkeypatch.setattr(bytesx.Runs, "__call__", lambda self, a, b: call(self, a, b) & np.uint64(63))
+    enc = grammar.WordEncoder(public.path("word_bpe_49k.json"))
+    raw = b"".join(x.encode() for _, x in texts)
+    ids, sizes = enc(np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(x.encode()) for _, x in texts)]))
+    want = [t.encode(x, add_special_tokens=False).ids for _, x in texts]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+
+
+def test_periodic_texts(spark, tmp_path):
+    """Runs of one stretch are one occurrence; what is removed stays the same."""
+    texts = [(1, "a" * 900), (2, "xy" * 400 + "z"), (3, "tell me " * 90), (4, "b" * 150), (5, "a" * 300 + "c" * 250), (0, "me tell " * 60 + "end")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    _same(substring.remove_repeats(spark, df).collect(), _brute_bytes(texts, 200))
+    _same(recompress.remove_repeats(spark, df).collect(), _brute_words(texts))
+
+
+def test_inputs_that_are_no_files(spark, docs, pairs):
+    """Rows of a shuffled input have one place whenever they are read."""
+    df = docs.join(docs.select("doc_id").distinct(), "doc_id").select(docs.columns)
+    _same(substring.remove_repeats(spark, df).collect(), _brute_bytes(pairs, 200))
+
+
+def test_without_shared_folder(spark, monkeypatch):
+    from tempora.llm import scratch
+
+    class Far:
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(ValueError, match="share"):
+        scratch.shared_root(Far)
