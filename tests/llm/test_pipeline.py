@@ -109,3 +109,28 @@ def test_stages(spark, corpus, tmp_path):
         raw = np.array(ranks.encoding.encode_ordinary(r["text"] or ""), "<u4").tobytes()
         want[r["doc_id"], len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()] += 1
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows[5]) == want
+
+
+def test_run(spark, corpus):
+    """run() gives what its stages give one after another, whatever its columns are called."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, corpus)
+    key = lambda r: (r["doc_id"], r["n_tokens"], r["ids_sha256"])
+    assert Counter(map(key, cp.run(spark, corpus).collect())) == Counter(map(key, docs.collect()))
+
+
+def test_clashing_names_and_no_rows(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    clash = docs.selectExpr("*", *[f"'{k}' as {k}" for k in ("rid", "score", "spans", "copies", "rate", "n_tokens", "posterior", "row", "root", "place", "n")])
+    clash.write.parquet(str(tmp_path / "c"))
+    clash.limit(0).write.parquet(str(tmp_path / "e"))
+    for name, some in (("c", True), ("e", False)):
+        for k, (_, stage) in enumerate(cp.STAGES):
+            rows = spark.read.parquet(str(tmp_path / name))
+            out = stage(spark, rows, corpus)
+            got = out.collect()
+            assert bool(got) == some
+            if k < 4:
+                assert out.columns == rows.columns
+                assert all(r["rid"] == "rid" and r["rate"] == "rate" and r["row"] == "row" for r in got)
