@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import mixing, ngram, quality, substring, wordbpe
-from tempora.llm.scratch import stash
+from tempora.llm.scratch import fresh, settled, stash
 from tempora.plans.ship import ship
 
 #: Documents that score below this are rejected.
@@ -21,6 +21,8 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 REPEAT_BYTES = 200
 #: Expected tokens of each domain after mixing, as multiples of what the stage is given.
 FACTORS = {"clean": 1.0, "toxic": 0.0, "low": 0.0, "low_toxic": 0.0}
+#: No document comes twice, and one that is most likely clean stays.
+MOST_RATE, PULL = 1.0, 0.1
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ship(spark)
     labels = _labels(spark, sf_dir).select("doc_id", F.col("quality").alias("label"))
     machine = quality.train(spark, docs, labels)
-    return quality.score(spark, docs, machine, "_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+    score = fresh(docs.columns, "score")
+    return quality.score(spark, docs, machine, score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +44,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows without words are in no group and stay.
     """
     ship(spark)
+    docs = settled(spark, docs)
     groups = ngram.near_duplicates(spark, docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
     wordless = groups.where("n_shingles = 0").select("rid")
     first = (
@@ -51,8 +55,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     )
     kept = stash(spark, first.union(wordless), "kept").df
     names = docs.columns
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return rows.join(kept.withColumnRenamed("rid", "_rid"), "_rid", "left_semi").select(*names)
+    rid = fresh(names, "rid")
+    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    return rows.join(kept.withColumnRenamed("rid", rid), rid, "left_semi").select(*names)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +67,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as its rounded rate says; most clean rows once, toxic and low ones hardly ever."""
+    """Each row once or not at all, as its rounded rate says: nearly all clean rows, toxic and low ones hardly ever."""
     ship(spark)
-    mixed = mixing.mix(spark, docs, _labels(spark, sf_dir), factors=FACTORS)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    mixed = mixing.mix(spark, rows, _labels(spark, sf_dir), factors=FACTORS, pull=PULL, most=MOST_RATE)
+    return mixed.where("copies > 0").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
