@@ -8,15 +8,16 @@ formed that size-derived bounds leave open:
   t share a column there. The order puts n-grams that many documents hold last (counted over all
   documents; which of them are listed only changes the order, never the result).
 * Column by column, entries are bounded by sizes, by the places of the shared column in both rows, and
-  by the differences of two sketches (64 bucket counts and 512 bucket parities), which never exceed the
-  sets' own difference.
+  by how much two sketches differ (parities of 256 buckets in every column, then 64 counts and 512 parities once
+  for each pair), which never exceeds the sets' own difference.
 * What is left is multiplied out on whole sets, and overlaps are counted exactly.
 
 A column that m rows share is not squared. First its most central row meets the others (m - 1 entries).
 Rows that are linked by then need no further entry between them. For columns whose rows still lie in
 several components, blocks of 1,024 by 1,024 rows are bounded in memory, and of the pairs that pass
-a block gives a spanning forest over components; what fails the count is refuted, and the last round
-gives every pair left. So no link between different sets is lost, and no group's pairs are all emitted.
+a block gives a spanning forest over components. A column all of whose open pairs were given is done. One that
+kept pairs back comes again, and the last round gives every pair left. So no link between different sets is lost, and
+pairs are given one and all only where forests joined nothing more.
 
 That gives components, not every link. Links lie within components, so each set's links are counted over the
 blocks of its component's own product, on whole sets; a block emits one number for each row, no pairs.
@@ -114,7 +115,9 @@ def frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[by], place[by]
 
 
-ROW = "rid long, doc_id long, n int, k1 long, k2 long, prefix array<long>, sketch binary"
+#: Parities of 256 buckets.
+PARITY = ("s1", "s2", "s3", "s4")
+ROW = "rid long, doc_id long, n int, k1 long, k2 long, prefix array<long>, sketch binary, " + ", ".join(f"{s} long" for s in PARITY)
 
 
 def incidence(spark: SparkSession, rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -142,11 +145,13 @@ def incidence(spark: SparkSession, rows: DataFrame, words: int, percent: int) ->
                     prefix.append(g[:p])
                 k = np.array(keys, dtype=np.uint64).reshape(-1, 2)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
+                whole = np.stack(sketch)[:, 64:]
+                parity = (whole[:, :32] ^ whole[:, 32:]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     rid[i:j], ids[i:j], pa.array(np.array(sizes, np.int32)), bytesx.longs(k[:, 0]), bytesx.longs(k[:, 1]),
                     pa.ListArray.from_arrays(pa.array(ends), bytesx.longs(np.concatenate(prefix))),
-                    bytesx.binaries(np.concatenate(sketch), np.arange(j - i + 1) * SKETCH),
-                ], names=["rid", "doc_id", "n", "k1", "k2", "prefix", "sketch"])
+                    bytesx.binaries(np.concatenate(sketch), np.arange(j - i + 1) * SKETCH), *(pa.array(x) for x in parity.T.copy()),
+                ], names=["rid", "doc_id", "n", "k1", "k2", "prefix", "sketch", *PARITY])
 
     return rows.mapInArrow(run, ROW)
 
@@ -191,10 +196,13 @@ def _verified(spark: SparkSession, rows: DataFrame, pairs: DataFrame, words: int
 def _open_pairs(t: pa.Table, percent: int, forest: bool) -> pa.RecordBatch:
     """Pairs within whole (column, block, block) groups, in different components, that the bounds leave open.
 
+    With ``forest`` one of each pair of components, as few as join them; ``gram`` then names, in rows without a pair,
+    the columns of which pairs were kept back.
+
     Row i meets row i + d of its group for d = 1, 2, ...: all groups at once, each as long as it has such rows.
     """
     gram, p, q, rid, n, pos, root, side = (t[k].to_numpy() for k in ("gram", "p", "q", "rid", "n", "pos", "root", "side"))
-    sketch = _sketches(t["sketch"].combine_chunks())
+    sketch = np.column_stack([t[s].to_numpy() for s in PARITY]).view(np.uint64)
     new = np.ones(len(gram), dtype=bool)
     new[1:] = (gram[1:] != gram[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
     at = np.flatnonzero(new)
@@ -211,12 +219,13 @@ def _open_pairs(t: pa.Table, percent: int, forest: bool) -> pa.RecordBatch:
             ok = (root[i] != root[j]) & ((side[i] == 2) | (side[i] != side[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
             i, j, most = i[ok], j[ok], (total - 2 * least)[ok]
             if len(i):
-                ok = _apart(sketch[i], sketch[j]) <= most
-                found.append(np.column_stack((i[ok], j[ok])))
+                ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= most
+                found.append(np.column_stack((i[ok], j[ok], most[ok])))
         d += 1
-    pair = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    pair = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    held_back = np.zeros(0, np.int64)
     if forest and len(pair):
-        ends = np.sort(root[pair], axis=1)
+        ends = np.sort(root[pair[:, :2]], axis=1)
         _, first = np.unique(ends, axis=0, return_index=True)
         parent: dict[int, int] = {}
 
@@ -232,9 +241,16 @@ def _open_pairs(t: pa.Table, percent: int, forest: bool) -> pa.RecordBatch:
             if u != v:
                 parent[u] = v
                 keep.append(k)
+        back = np.ones(len(pair), dtype=bool)
+        back[keep] = False
+        held_back = np.unique(gram[pair[back, 0]])
         pair = pair[keep]
     a, b = rid[pair[:, 0]], rid[pair[:, 1]]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    n = pa.nulls(len(held_back), pa.int64())
+    return pa.RecordBatch.from_arrays([
+        pa.concat_arrays([pa.array(np.minimum(a, b)), n]), pa.concat_arrays([pa.array(np.maximum(a, b)), n]), pa.concat_arrays([pa.array(pair[:, 2]), n]),
+        pa.concat_arrays([pa.nulls(len(pair), pa.int64()), pa.array(held_back)]),
+    ], names=["a", "b", "most", "gram"])
 
 
 def _linked(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,8 +333,8 @@ def _degrees(spark: SparkSession, rows: DataFrame, sizes: DataFrame, roots: Data
     return out
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(rid, doc_id, n_shingles, n_links, component_id, group_id) for every row; ``rid`` is its place in the input.
+def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
+    """(rid, doc_id, n_shingles[, n_links], component_id, group_id) for every row; ``rid`` is its place in the input.
 
     Two rows link when 100 * overlap >= percent * union of their n-gram sets. component_id is the least
     doc_id reachable, the row's own included; n_links counts all different sets that link to the row's
@@ -334,53 +350,60 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
         spark, everything.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least")), "classes"
     )
     rep = everything.join(classes.df.select("rid"), "rid", "left_semi")
-    entries = rep.select("rid", "n", F.posexplode("prefix").alias("pos", "gram"))
+    entries = rep.select("rid", "n", *PARITY, F.posexplode("prefix").alias("pos", "gram"))
     shared = entries.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
     columns = stash(spark, entries.join(shared, "gram", "left_semi"), "columns")
     sketches = everything.select("rid", "sketch")
 
     # The row in which a shared column comes first holds fewest n-grams of its own: the most central one.
-    centre = columns.df.groupBy("gram").agg(F.min(F.struct("pos", "rid", "n")).alias("c"))
+    centre = columns.df.groupBy("gram").agg(F.min(F.struct("pos", "rid", "n", *PARITY)).alias("c"))
     met = columns.df.join(centre, "gram").where("rid <> c.rid")
     least = _least_overlap(F.col("n"), F.col("c.n"), percent)
     bounded = met.where(F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos")) >= least)
-    pairs = bounded.select(
-        F.least("rid", "c.rid").alias("a"), F.greatest("rid", "c.rid").alias("b"), (F.col("n") + F.col("c.n") - 2 * least).alias("most")
-    ).distinct()
-    met = pairs.join(sketches.select(F.col("rid").alias("a"), F.col("sketch").alias("x")), "a").join(
-        sketches.select(F.col("rid").alias("b"), F.col("sketch").alias("y")), "b"
-    )
+    most = (F.col("n") + F.col("c.n") - 2 * least).cast("long")
+    apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"c.{s}"))) for s in PARITY), F.lit(0))
+    central = bounded.where(apart <= most).select(F.least("rid", "c.rid").alias("a"), F.greatest("rid", "c.rid").alias("b"), most.alias("most")).distinct()
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = _apart(_sketches(b["x"]), _sketches(b["y"])) <= b["most"].to_numpy()
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(near))
 
-    near = met.select("a", "b", F.col("most").cast("long").alias("most"), "x", "y").mapInArrow(close, "a long, b long")
-    links = [_verified(spark, rows, near, words, percent)]
-    roots = components(spark, links[0].df)
+    def linked(pairs: DataFrame) -> Stash:
+        """Of ``pairs`` (a, b, most) those that link: by the whole sketches, then by the whole sets."""
+        met = pairs.join(sketches.select(F.col("rid").alias("a"), F.col("sketch").alias("x")), "a").join(
+            sketches.select(F.col("rid").alias("b"), F.col("sketch").alias("y")), "b"
+        )
+        return _verified(spark, rows, met.select("a", "b", "most", "x", "y").mapInArrow(close, "a long, b long"), words, percent)
+
+    links = linked(central)
+    roots = components(spark, links.df)
+    links.drop()
+    todo, forest = columns, True
     for turn in range(FOREST_ROUNDS + 1):
-        fresh = _verified(spark, rows, _between(columns.df, sketches, roots.df, percent, turn < FOREST_ROUNDS), words, percent)
-        if fresh.df.isEmpty() and turn < FOREST_ROUNDS:
-            fresh.drop()
-            # what a forest offered was refuted; the pairs behind it are asked one and all in the last round
-            fresh = _verified(spark, rows, _between(columns.df, sketches, roots.df, percent, False), words, percent)
-            turn = FOREST_ROUNDS
-        if fresh.df.isEmpty():
-            fresh.drop()
+        forest = forest and turn < FOREST_ROUNDS
+        offers = stash(spark, _between(todo.df, roots.df, percent, forest), "offers")
+        links = linked(offers.df.where("a is not null").select("a", "b", "most").distinct())
+        left = offers.df.where("a is null").select("gram").distinct()
+        # where a forest joined nothing, the pairs it kept back are asked one and all
+        forest = forest and not links.df.isEmpty()
+        if not links.df.isEmpty():
+            more = components(spark, links.df.union(roots.df.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            roots.drop()
+            roots = more
+        over = left.isEmpty()
+        if not over:
+            rest = stash(spark, todo.df.join(left, "gram", "left_semi"), "columns")
+            todo.drop()
+            todo = rest
+        for t in (offers, links):
+            t.drop()
+        if over:
             break
-        links.append(fresh)
-        roots.drop()
-        every = links[0].df
-        for more in links[1:]:
-            every = every.union(more.df)
-        roots = components(spark, every)
-        if turn == FOREST_ROUNDS:
-            break
-    for t in (columns, *links):
-        t.drop()
-    degree = _degrees(spark, rows, everything.select("rid", "n"), roots.df, words, percent)
-    joined = classes.df.join(roots.df.withColumnRenamed("node", "rid"), "rid", "left").join(degree.df, "rid", "left")
+    todo.drop()
+    counted = [_degrees(spark, rows, everything.select("rid", "n"), roots.df, words, percent)] if count_links else []
+    joined = classes.df.join(roots.df.withColumnRenamed("node", "rid"), "rid", "left")
+    joined = joined.join(counted[0].df, "rid", "left") if counted else joined.withColumn("links", F.lit(None).cast("long"))
     joined = joined.withColumn("root", F.coalesce("root", "rid"))
     low = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stash(spark, joined.join(low, "root").select("k1", "k2", F.coalesce("links", F.lit(0)).alias("n_links"), "component_id", F.col("root").alias("group_id")), "components")
@@ -389,21 +412,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "group_id",
     ), "result")
-    for t in (table, classes, named, roots, degree):
+    for t in (table, classes, named, roots, *counted):
         t.drop()
-    return result.df
+    return result.df if counted else result.df.drop("n_links")
 
 
-def _between(columns: DataFrame, sketches: DataFrame, roots: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs of rows that share a column, lie in different components, and pass the bounds."""
+def _between(columns: DataFrame, roots: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of rows that share a column, lie in different components, and pass the bounds (see ``_open_pairs``)."""
     placed = columns.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     split = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low <> high")
-    members = placed.join(split.select("gram", "rows"), "gram").join(sketches, "rid")
+    members = placed.join(split.select("gram", "rows"), "gram")
     blocks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
     # Each row goes to every pair of blocks that holds its own; within its own block it is on both sides.
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "gram", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rid", "n", "pos", "root", "sketch",
+        "gram", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rid", "n", "pos", "root", *PARITY,
         F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
     )
 
@@ -427,4 +450,4 @@ def _between(columns: DataFrame, sketches: DataFrame, roots: DataFrame, percent:
         if held:
             yield _open_pairs(pa.Table.from_batches(held), percent, forest)
 
-    return dealt.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q").mapInArrow(run, "a long, b long, most long, gram long")
