@@ -45,7 +45,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     ship(spark)
     docs = settled(spark, docs)
-    groups = ngram.near_duplicates(spark, docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
+    groups = ngram.near_duplicates(spark, docs, SHINGLE_WORDS, SIMILARITY_PERCENT, count_links=False)
     wordless = groups.where("n_shingles = 0").select("rid")
     first = (
         groups.where("n_shingles > 0")
