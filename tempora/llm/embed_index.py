@@ -3,26 +3,41 @@
 Codes: the mean and an orthogonal rotation are learned (iterative quantisation: alternate between
 signs of the rotated vectors and the rotation that best maps vectors to those signs) on a bounded
 sample; the code of a vector is the sign pattern of its rotated form. Codes are cut into
-substrings, each of which is indexed. By the pigeonhole principle, a code within Hamming radius r
-of the query's agrees with it up to floor(r / m) bits in one of the m substrings at least, so
-probing each substring's table at that radius retrieves every code within r. What is retrieved is
-reranked by the exact inner product of the original vectors.
+m substrings of 16 bits, and each has a table (substring, value) -> rows. By the pigeonhole principle,
+a code within Hamming radius r of the query's agrees with it up to floor(r / m) bits in one of
+them at least (one bit less in the substrings after the first r mod m + 1), so looking up every value
+within that distance retrieves every code within r.
+
+Tables and queries meet by an equi-join on (substring, block of values, part). A block has the values with
+the same high bits; a query is sent only to blocks whose high bits are near enough, and within one it looks up
+the values it probes, nothing else. Parts split a block that has very many rows. Of what probes
+retrieve, codes within r are kept, each from the first substring that finds it, and reranked by the
+exact inner product of the original vectors. Queries that find fewer than k rows are asked again with a
+wider radius, up to all bits, which retrieves every row.
+
+Equal vectors are nearest in the order of their ids, so k + 1 of them stand for all.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempora.llm import bytesx
+from tempora.llm.scratch import Stash, small_batches, stash
+
 SAMPLE = 20_000
 ROUNDS = 30
-BITS = 64
-SUBSTRINGS = 4
-RADIUS = 23
-BLOCK = 4_096
+BITS, WIDTH = 64, 16
+#: Rows of one part of a block of one table, or so.
+PART_ROWS = 16_384
+#: Queries that are probed at once.
+TOGETHER = 32
 
 
 def sound(vector: Column) -> Column:
@@ -59,59 +74,143 @@ def encode(vectors: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarra
 
 def masks(width: int, radius: int) -> list[int]:
     """All words of ``width`` bits with ``radius`` bits set at most."""
-    return [sum(1 << b for b in c) for r in range(radius + 1) for c in itertools.combinations(range(width), r)]
+    return [sum(1 << b for b in c) for r in range(min(radius, width) + 1) for c in itertools.combinations(range(width), r)]
 
 
-def _packed(column, dim: int) -> np.ndarray:
-    import pyarrow as pa
+def radii(radius: int, m: int) -> list[int]:
+    """How far to probe each of m substrings; -1: not at all."""
+    whole, extra = divmod(radius, m)
+    return [whole if s <= extra else whole - 1 for s in range(m)]
+
 
-    return np.asarray(column.combine_chunks().flatten().cast(pa.float64())).reshape(-1, dim)
+def _packed(column, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().cast(pa.float64())).reshape(-1, dim)
 
 
-def _words(codes: np.ndarray) -> np.ndarray:
-    """Packed codes as rows of 16-bit substrings."""
-    return codes.view(np.uint16)
+class Table:
+    """One part of one block of one substring's table: values to rows."""
 
+    def __init__(self, s: int, block: int, high: int, ids: np.ndarray, codes: np.ndarray, reach: int, m: int):
+        self.s, self.block, self.low_bits, self.reach, self.near = s, block, WIDTH - high, reach, radii(reach, m)
+        value = self._sub(codes, s).astype(np.int64)
+        order = np.argsort(value, kind="stable")
+        self.ids, self.codes = ids[order], codes[order]
+        self.at = np.searchsorted(value[order], np.arange((block << self.low_bits), ((block + 1) << self.low_bits) + 1))
+        self.probes = {r: np.array(masks(self.low_bits, r)) for r in range(self.near[s] + 1)}
 
-def probe(
-    queries: np.ndarray, q_codes: np.ndarray, base: np.ndarray, b_codes: np.ndarray, q_ids: np.ndarray, b_ids: np.ndarray,
-    radius: int, k: int,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, base row, score) of each query's k best of this block among what its probes retrieve.
+    @staticmethod
+    def _sub(codes: np.ndarray, s: int) -> np.ndarray:
+        return (codes >> np.uint64(WIDTH * s)) & np.uint64((1 << WIDTH) - 1)
 
-    Probes read whole buckets of each substring's table within floor(radius / m) bits; of what they
-    retrieve, codes within ``radius`` are reranked. The k codes nearest in the block are reranked
-    too, so that a query with few codes within the radius still gets k rows.
-    """
-    m = q_codes.shape[1]
-    near = np.zeros((len(queries), len(base)), dtype=bool)
-    full = np.zeros((len(queries), len(base)), dtype=np.uint8)
-    whole, extra = divmod(radius, m)
-    for s in range(m):
-        values, bucket = np.unique(b_codes[:, s], return_inverse=True)
-        away = np.bitwise_count(q_codes[:, s][:, None] ^ values[None, :])
-        near |= (away <= (whole if s <= extra else whole - 1))[:, bucket]
-        full += away[:, bucket]
-    near &= full <= radius
-    if len(base) > k:
-        kth = np.partition(full, k, axis=1)[:, k]
-        near |= full <= kth[:, None]
-    else:
-        near[:] = True
-    near &= q_ids[:, None] != b_ids[None, :]
-    rough = np.where(near, queries @ base.T, -np.inf)
-    if len(base) > k:
-        floor = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
-        near &= rough >= (floor - 1e-9 * np.maximum(1.0, np.abs(floor)))[:, None]
-    rows, cols = np.nonzero(near)
-    scores = np.concatenate(
-        [(queries[rows[i : i + 65536]] * base[cols[i : i + 65536]]).sum(axis=1) for i in range(0, len(rows), 65536)] or [np.zeros(0)]
-    )
-    order = np.lexsort((b_ids[cols], -scores, rows))
-    rows, cols, scores = rows[order], cols[order], scores[order]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    keep = rank < k
-    return rows[keep], cols[keep], scores[keep]
+    def __call__(self, q_ids: np.ndarray, q_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query id, row id) of codes within reach that no earlier substring retrieves."""
+        out = []
+        value = self._sub(q_codes, self.s).astype(np.int64)
+        left = self.near[self.s] - np.bitwise_count((value >> self.low_bits) ^ self.block).astype(np.int64)
+        for r in np.unique(left[left >= 0]).tolist():
+            mine = np.flatnonzero(left == r)
+            for i in range(0, len(mine), TOGETHER):
+                q = mine[i : i + TOGETHER]
+                probe = (value[q] & ((1 << self.low_bits) - 1))[:, None] ^ self.probes[r][None, :]
+                count = self.at[probe + 1] - self.at[probe]
+                who, which = np.nonzero(count)
+                size = count[who, which]
+                row, who = bytesx.ragged(self.at[probe[who, which]], size), np.repeat(q[who], size)
+                apart = q_codes[who] ^ self.codes[row]
+                ok = (np.bitwise_count(apart) <= self.reach) & (q_ids[who] != self.ids[row])
+                for s in range(self.s):
+                    ok &= np.bitwise_count(self._sub(apart, s)).astype(np.int64) > self.near[s]
+                out.append((q_ids[who[ok]], self.ids[row[ok]]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Pieces with one key of a stream sorted by it."""
+    for b in batches:
+        if b.num_rows:
+            k = np.column_stack([b[x].to_numpy() for x in keys])
+            at = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+            for i, j in itertools.pairwise(at):
+                yield tuple(k[i].tolist()), b.slice(i, j - i)
+
+
+def retrieved(index: DataFrame, asked: DataFrame, reach: int, bits: int, high: int) -> DataFrame:
+    """(query_id, vec_id) of all codes within ``reach`` of each query's code. Both tables are (id, code)."""
+    m = bits // WIDTH
+    near = radii(reach, m)
+    value = lambda s: F.shiftrightunsigned("code", WIDTH * s).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+    block = lambda s: F.shiftright(value(s), WIDTH - high)
+    rows = index.select("id", "code", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), block(s).alias("block")) for s in range(m) if near[s] >= 0])).alias("t")).select("id", "code", "t.*")
+    parts = rows.groupBy("s", "block").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("int").alias("parts"))  # m << high rows at most
+    placed = rows.join(F.broadcast(parts), ["s", "block"]).select("s", "block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "id", "code")
+    turns = [F.transform(F.array(*[F.lit(x) for x in masks(high, near[s])]), _turned(block(s), s)) for s in range(m) if near[s] >= 0]
+    probes = asked.select("id", "code", F.explode(F.flatten(F.array(*turns))).alias("t")).select("id", "code", "t.*").join(F.broadcast(parts), ["s", "block"])
+    sent = probes.select("s", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "code")
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, table = None, [], None
+        for key, b in _sorted_runs(batches, ["s", "block", "part", "kind"]):
+            if key[:3] != last:
+                last, held, table = key[:3], [], None
+            ids, codes = b["id"].to_numpy(), b["code"].to_numpy().view(np.uint64)
+            if key[3] == 0:
+                held.append((ids, codes))
+                continue
+            if table is None and held:
+                table = Table(key[0], key[1], high, *(np.concatenate(x) for x in zip(*held, strict=True)), reach, m)
+            if table is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in table(ids, codes)], names=["query_id", "vec_id"])
+
+    keys = ["s", "block", "part"]
+    return placed.unionByName(sent).repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(look_up, "query_id long, vec_id long")
+
+
+def _turned(block: Column, s: int):
+    return lambda x: F.struct(F.lit(s).alias("s"), block.bitwiseXOR(x).alias("block"))
+
+
+def _reranked(spark: SparkSession, pairs: DataFrame, vectors: DataFrame, asked: DataFrame, k: int, dim: int) -> Stash:
+    """(query_id, vec_id, score): the k best of each query's pairs by the exact inner product."""
+    met = pairs.join(vectors.withColumnRenamed("id", "vec_id"), "vec_id").select("query_id", F.lit(1).alias("kind"), "vec_id", "v")
+    own = asked.select(F.col("id").alias("query_id"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("vec_id"), "v")
+
+    def best_of(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -scores))[:k]
+        return ids[order], scores[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        last, vector, ids, scores = None, None, np.zeros(0, np.int64), np.zeros(0)
+
+        def given() -> pa.RecordBatch:
+            sizes = [len(x[1]) for x in out]
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.repeat([x[0] for x in out], sizes).astype(np.int64)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))
+            ], names=["query_id", "vec_id", "score"])
+
+        for (query, kind), b in _sorted_runs(batches, ["query_id", "kind"]):
+            if query != last:
+                if last is not None and len(ids):
+                    out.append((last, ids, scores))
+                last, vector, ids, scores = query, None, np.zeros(0, np.int64), np.zeros(0)
+                if len(out) >= 256:
+                    yield given()
+                    out = []
+            points = _packed(b["v"], dim)
+            if kind == 0:
+                vector = points if vector is None else np.concatenate((vector, points))
+            else:
+                # an id that several queries' vectors have is one query: its best by any of them
+                fresh = np.max([(points * one).sum(axis=1) for one in vector], axis=0)
+                ids, scores = best_of(np.concatenate((ids, b["vec_id"].to_numpy())), np.concatenate((scores, fresh)))
+        if last is not None and len(ids):
+            out.append((last, ids, scores))
+        if out:
+            yield given()
+
+    each = met.unionByName(own).repartition("query_id").sortWithinPartitions("query_id", "kind")
+    return stash(spark, each.mapInArrow(run, "query_id long, vec_id long, score double"), "best")
 
 
 def calibrated_radius(sample: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, share: float = 0.985, probes: int = 256) -> int:
@@ -134,54 +233,63 @@ def calibrated_radius(sample: np.ndarray, mean: np.ndarray, turn: np.ndarray, k:
 
 def nearest(
     spark: SparkSession, base: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding",
-    sample: int = SAMPLE, bits: int = BITS, block: int = BLOCK, radius: int | None = None,
+    sample: int = SAMPLE, bits: int = BITS, radius: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each query.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, and neither do
     null ids or vectors of another length than most. A query never meets rows of its own id. Rows
     repeated with one id and vector count once. Ties go to the smaller id. Empty tables give none.
-    The rotation and the radius are fitted on at most ``sample`` rows; every row is indexed.
+    The rotation and the radius are fitted on at most ``sample`` rows; every row is indexed. ``bits`` is a
+    multiple of 16, 64 at most.
     """
+    small_batches(spark)
+
     def tidy(df: DataFrame) -> DataFrame:
         v = F.col(vector_col)
-        return df.where(F.col(id_col).isNotNull() & sound(v)).select(
-            F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v")
-        ).dropDuplicates(["id", "v"])
+        return df.where(F.col(id_col).isNotNull() & sound(v)).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
+
+    def known(df: DataFrame, name: str) -> Stash:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                codes = encode(_packed(b["v"], dim), mean, turn) if b.num_rows else np.zeros((0, 8), np.uint8)
+                wide = np.zeros((len(codes), 8), np.uint8)
+                wide[:, : codes.shape[1]] = codes
+                yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array(wide.view(np.int64).ravel())], names=["id", "v", "code"])
 
-    rows, asked = tidy(base), tidy(queries)
+        return stash(spark, df.mapInArrow(run, "id long, v array<double>, code long"), name)
+
+    rows, asked = tidy(base), tidy(queries).dropDuplicates(["id", "v"])
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").take(1)
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
     dim, n = sizes[0]["dim"], sizes[0]["count"]
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    n_asked = asked.count()
     fit = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"]
     points = _packed(fit, dim)
     mean, turn = learn_rotation(points, bits)
     reach = calibrated_radius(points, mean, turn, k) if radius is None else radius
-    nb, nq = max(1, -(-n // block)), max(1, -(-n_asked // (block // 2)))
-
-    left = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    right = rows.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def work(key, q, b):
-        import pyarrow as pa
-
-        del key
-        names = ["query_id", "vec_id", "score"]
-        if not q.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        qi, bi = q["id"].to_numpy(), b["id"].to_numpy()
-        qv, bv = _packed(q["v"], dim), _packed(b["v"], dim)
-        qc, bc = _words(encode(qv, mean, turn)), _words(encode(bv, mean, turn))
-        out = []
-        for i in range(0, len(qi), 256):
-            r, c, s = probe(qv[i : i + 256], qc[i : i + 256], bv, bc, qi[i : i + 256], bi, reach, k)
-            out.append((qi[i : i + 256][r], bi[c], s))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
-
-    found = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(work, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    alike = Window.partitionBy("v").orderBy("id")
+    rows = rows.withColumn("_k", F.dense_rank().over(alike)).where(F.col("_k") <= k + 1).drop("_k").dropDuplicates(["id", "v"])
+    index, todo = known(rows, "index"), known(asked, "asked")
+    high = min(WIDTH, max(0, int(np.ceil(np.log2(max(1, n / PART_ROWS))))))
+    found: list[DataFrame] = []
+    while True:
+        pairs = stash(spark, retrieved(index.df.select("id", "code"), todo.df.select("id", "code"), reach, bits, high), "pairs")
+        best = _reranked(spark, pairs.df, index.df.select("id", "v"), todo.df.select("id", "v"), k, dim)
+        pairs.drop()
+        if reach >= bits:
+            found.append(best.df)
+            break
+        full = best.df.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+        short = stash(spark, todo.df.join(full, todo.df["id"] == full["query_id"], "left_anti"), "asked")
+        found.append(best.df.join(full, "query_id", "left_semi"))
+        if short.df.isEmpty():
+            break
+        todo, reach = short, min(bits, reach + bits // 8)
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("rank", F.row_number().over(ranked)).select("query_id", "rank", "vec_id", "score")

@@ -288,7 +288,7 @@ def test_nearest(spark):
     rows = [(k, [float(x) for x in v], "x") for k, v in enumerate(base)] + [(400 + k, [float(x) for x in base[0]], "x") for k in range(30)]
     rows += [(900, None, "x"), (901, [0.0] * 16, "x"), (902, [float("nan")] * 16, "x"), (903, [None] * 16, "x"), (904, [1.0], "x"), (None, [1.0] * 16, "x"), rows[5]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
-    got = embed_index.nearest(spark, df, df.where("vec_id % 20 = 0"), 20, block=128).collect()
+    got = embed_index.nearest(spark, df, df.where("vec_id % 20 = 0"), 20).collect()
     ids, points = np.arange(430), np.concatenate((base, np.repeat(base[:1], 30, axis=0)))
     hits = 0
     for q in range(0, 430, 20):
@@ -301,6 +301,34 @@ def test_nearest(spark):
     assert embed_index.nearest(spark, df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("reach", "high", "part_rows"), [(9, 0, 10_000), (14, 3, 20), (23, 2, 10_000), (2, 5, 3)])
+def test_probes_retrieve_every_code_within_reach(spark, monkeypatch, reach, high, part_rows):
+    """Once each, by equal keys only: nothing in the plan multiplies rows with queries."""
+    monkeypatch.setattr(embed_index, "PART_ROWS", part_rows)
+    rng = np.random.default_rng(14)
+    codes = rng.integers(-(2**63), 2**63 - 1, 300)
+    for k in range(150):  # near ones
+        codes[k] = codes[150 + k] ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 25), replace=False))
+    df = spark.createDataFrame([(k, int(c)) for k, c in enumerate(codes)], "id long, code long")
+    out = embed_index.retrieved(df, df.where("id % 3 = 0"), reach, 64, high)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "CoGroup" not in plan
+    away = np.bitwise_count(codes.view(np.uint64)[:, None] ^ codes.view(np.uint64)[None, :])
+    want = [(q, v) for q in range(0, 300, 3) for v in range(300) if q != v and away[q, v] <= reach]
+    _same(out.collect(), want)
+
+
+def test_nearest_widens_for_few_and_takes_hot_vectors(spark):
+    rng = np.random.default_rng(15)
+    base = rng.standard_normal((60, 16))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(base)] + [(100 + k, [float(x) for x in base[3]]) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embed_index.nearest(spark, df, df.where("vec_id in (3, 7, 110)"), 10, radius=0).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 110] == [3, *range(100, 109)]
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 3] == [*range(100, 110)]
+    assert sum(r["query_id"] == 7 for r in got) == 10
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(8)
     good = [(k, " ".join(rng.choice(["an", "the", "ing", "ou", "st", "of"]) for _ in range(60)), 1, 60) for k in range(120)]
