@@ -15,6 +15,9 @@ retrieve, codes within r are kept, each from the first substring that finds it,
 exact inner product of the original vectors. Queries that find fewer than k rows are asked again with a
 wider radius, up to all bits, which retrieves every row.
 
+Codes are longer than vectors are wide (256 bits), as the spread of Hamming distances at one angle falls
+with the root of their length: a radius that holds the neighbours holds few other rows to rerank.
+
 Equal vectors are nearest in the order of their ids, so k + 1 of them stand for all.
 """
 
@@ -33,7 +36,8 @@ from tempora.llm.scratch import Stash, small_batches, stash
 
 SAMPLE = 20_000
 ROUNDS = 30
-BITS, WIDTH = 64, 16
+#: Bits of a code, of a substring, and of a word that holds four of these.
+BITS, WIDTH, WORD = 256, 16, 64
 #: Rows of one part of a block of one table, or so.
 PART_ROWS = 16_384
 #: Queries that are probed at once.
@@ -93,7 +97,7 @@ class Table:
 
     def __init__(self, s: int, block: int, high: int, ids: np.ndarray, codes: np.ndarray, reach: int, m: int):
         self.s, self.block, self.low_bits, self.reach, self.near = s, block, WIDTH - high, reach, radii(reach, m)
-        value = self._sub(codes, s).astype(np.int64)
+        value = self._sub(codes, s)
         order = np.argsort(value, kind="stable")
         self.ids, self.codes = ids[order], codes[order]
         self.at = np.searchsorted(value[order], np.arange((block << self.low_bits), ((block + 1) << self.low_bits) + 1))
@@ -101,12 +105,13 @@ class Table:
 
     @staticmethod
     def _sub(codes: np.ndarray, s: int) -> np.ndarray:
-        return (codes >> np.uint64(WIDTH * s)) & np.uint64((1 << WIDTH) - 1)
+        w, place = divmod(WIDTH * s, WORD)
+        return ((codes[:, w] >> np.uint64(place)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
 
     def __call__(self, q_ids: np.ndarray, q_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query id, row id) of codes within reach that no earlier substring retrieves."""
         out = []
-        value = self._sub(q_codes, self.s).astype(np.int64)
+        value = self._sub(q_codes, self.s)
         left = self.near[self.s] - np.bitwise_count((value >> self.low_bits) ^ self.block).astype(np.int64)
         for r in np.unique(left[left >= 0]).tolist():
             mine = np.flatnonzero(left == r)
@@ -117,14 +122,23 @@ class Table:
                 who, which = np.nonzero(count)
                 size = count[who, which]
                 row, who = bytesx.ragged(self.at[probe[who, which]], size), np.repeat(q[who], size)
-                apart = q_codes[who] ^ self.codes[row]
-                ok = (np.bitwise_count(apart) <= self.reach) & (q_ids[who] != self.ids[row])
+                away = np.bitwise_count(q_codes[who, 0] ^ self.codes[row, 0]).astype(np.int16)
+                for w in range(1, q_codes.shape[1]):
+                    away += np.bitwise_count(q_codes[who, w] ^ self.codes[row, w])
+                near = np.flatnonzero(away <= self.reach)
+                who, row = who[near], row[near]
+                apart, ok = q_codes[who] ^ self.codes[row], q_ids[who] != self.ids[row]
                 for s in range(self.s):
                     ok &= np.bitwise_count(self._sub(apart, s)).astype(np.int64) > self.near[s]
                 out.append((q_ids[who[ok]], self.ids[row[ok]]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def words(bits: int) -> list[str]:
+    """The columns of a code: its 64-bit words."""
+    return [f"c{w}" for w in range(-(-bits // WORD))]
+
+
 def _sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Pieces with one key of a stream sorted by it."""
     for b in batches:
@@ -136,24 +150,26 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
 
 
 def retrieved(index: DataFrame, asked: DataFrame, reach: int, bits: int, high: int) -> DataFrame:
-    """(query_id, vec_id) of all codes within ``reach`` of each query's code. Both tables are (id, code)."""
+    """(query_id, vec_id) of all codes within ``reach`` of each query's code. Both tables have an id and the code's words (see ``words``)."""
     m = bits // WIDTH
     near = radii(reach, m)
-    value = lambda s: F.shiftrightunsigned("code", WIDTH * s).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+    code = words(bits)
+    value = lambda s: F.shiftrightunsigned(code[WIDTH * s // WORD], WIDTH * s % WORD).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
     block = lambda s: F.shiftright(value(s), WIDTH - high)
-    rows = index.select("id", "code", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), block(s).alias("block")) for s in range(m) if near[s] >= 0])).alias("t")).select("id", "code", "t.*")
+    spread = F.array(*[F.struct(F.lit(s).alias("s"), block(s).alias("block")) for s in range(m) if near[s] >= 0])
+    rows = index.select("id", *code, F.explode(spread).alias("t")).select("id", *code, "t.*")
     parts = rows.groupBy("s", "block").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("int").alias("parts"))  # m << high rows at most
-    placed = rows.join(F.broadcast(parts), ["s", "block"]).select("s", "block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "id", "code")
+    placed = rows.join(F.broadcast(parts), ["s", "block"]).select("s", "block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "id", *code)
     turns = [F.transform(F.array(*[F.lit(x) for x in masks(high, near[s])]), _turned(block(s), s)) for s in range(m) if near[s] >= 0]
-    probes = asked.select("id", "code", F.explode(F.flatten(F.array(*turns))).alias("t")).select("id", "code", "t.*").join(F.broadcast(parts), ["s", "block"])
-    sent = probes.select("s", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "code")
+    probes = asked.select("id", *code, F.explode(F.flatten(F.array(*turns))).alias("t")).select("id", *code, "t.*").join(F.broadcast(parts), ["s", "block"])
+    sent = probes.select("s", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", *code)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, table = None, [], None
         for key, b in _sorted_runs(batches, ["s", "block", "part", "kind"]):
             if key[:3] != last:
                 last, held, table = key[:3], [], None
-            ids, codes = b["id"].to_numpy(), b["code"].to_numpy().view(np.uint64)
+            ids, codes = b["id"].to_numpy(), np.column_stack([b[c].to_numpy() for c in code]).view(np.uint64)
             if key[3] == 0:
                 held.append((ids, codes))
                 continue
@@ -213,7 +229,7 @@ def _reranked(spark: SparkSession, pairs: DataFrame, vectors: DataFrame, asked:
     return stash(spark, each.mapInArrow(run, "query_id long, vec_id long, score double"), "best")
 
 
-def calibrated_radius(sample: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, share: float = 0.985, probes: int = 256) -> int:
+def calibrated_radius(sample: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, share: float = 0.95, probes: int = 256) -> int:
     """The Hamming radius that holds ``share`` of the k true neighbours within the sample.
 
     Neighbours in a sample lie no nearer than in the whole table, so the radius errs on the wide side.
@@ -241,7 +257,7 @@ def nearest(
     null ids or vectors of another length than most. A query never meets rows of its own id. Rows
     repeated with one id and vector count once. Ties go to the smaller id. Empty tables give none.
     The rotation and the radius are fitted on at most ``sample`` rows; every row is indexed. ``bits`` is a
-    multiple of 16, 64 at most.
+    multiple of 16.
     """
     small_batches(spark)
 
@@ -252,12 +268,13 @@ def nearest(
     def known(df: DataFrame, name: str) -> Stash:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                codes = encode(_packed(b["v"], dim), mean, turn) if b.num_rows else np.zeros((0, 8), np.uint8)
-                wide = np.zeros((len(codes), 8), np.uint8)
-                wide[:, : codes.shape[1]] = codes
-                yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array(wide.view(np.int64).ravel())], names=["id", "v", "code"])
+                wide = np.zeros((b.num_rows, len(words(bits)) * 8), np.uint8)
+                if b.num_rows:
+                    wide[:, : bits // 8] = encode(_packed(b["v"], dim), mean, turn)
+                code = wide.view(np.int64).T
+                yield pa.RecordBatch.from_arrays([b["id"], b["v"], *(pa.array(np.ascontiguousarray(x)) for x in code)], names=["id", "v", *words(bits)])
 
-        return stash(spark, df.mapInArrow(run, "id long, v array<double>, code long"), name)
+        return stash(spark, df.mapInArrow(run, "id long, v array<double>, " + ", ".join(f"{w} long" for w in words(bits))), name)
 
     rows, asked = tidy(base), tidy(queries).dropDuplicates(["id", "v"])
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").take(1)
@@ -276,7 +293,7 @@ def nearest(
     high = min(WIDTH, max(0, int(np.ceil(np.log2(max(1, n / PART_ROWS))))))
     found: list[DataFrame] = []
     while True:
-        pairs = stash(spark, retrieved(index.df.select("id", "code"), todo.df.select("id", "code"), reach, bits, high), "pairs")
+        pairs = stash(spark, retrieved(index.df, todo.df, reach, bits, high), "pairs")
         best = _reranked(spark, pairs.df, index.df.select("id", "v"), todo.df.select("id", "v"), k, dim)
         pairs.drop()
         if reach >= bits:

@@ -309,7 +309,7 @@ def test_probes_retrieve_every_code_within_reach(spark, monkeypatch, reach, high
     codes = rng.integers(-(2**63), 2**63 - 1, 300)
     for k in range(150):  # near ones
         codes[k] = codes[150 + k] ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 25), replace=False))
-    df = spark.createDataFrame([(k, int(c)) for k, c in enumerate(codes)], "id long, code long")
+    df = spark.createDataFrame([(k, int(c)) for k, c in enumerate(codes)], "id long, c0 long")
     out = embed_index.retrieved(df, df.where("id % 3 = 0"), reach, 64, high)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "CoGroup" not in plan
