@@ -8,8 +8,8 @@ formed that size-derived bounds leave open:
   t share a column there. The order puts n-grams that many documents hold last (counted over all
   documents; which of them are listed only changes the order, never the result).
 * Column by column, entries are bounded by sizes, by the places of the shared column in both rows, and
-  by how much two sketches differ (parities of 256 buckets in every column, then 64 counts and 512 parities once
-  for each pair), which never exceeds the sets' own difference.
+  by how much two sketches differ (parities of 256 buckets in every column, then those of twice as many buckets as
+  n-grams once for each pair), which never exceeds the sets' own difference.
 * What is left is multiplied out on whole sets, and overlaps are counted exactly.
 
 A column that m rows share is not squared. First its most central row meets the others (m - 1 entries).
@@ -46,19 +46,27 @@ BLOCK = 1_024
 BLOCK_GRAMS, STRIPE = 1_000_000, 4_000_000
 FOREST_ROUNDS = 3
 _COUNTERS = 1 << 22
-SKETCH = 128
+#: Open pairs that a task holds before it thins them out or gives them.
+HELD = 200_000
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    _, _, data, _ = next(bytesx.slices(column, 1 << 40), (0, 0, np.zeros(0, np.uint8), None))
-    return data.reshape(-1, SKETCH)
+def _sketch(g: np.ndarray) -> np.ndarray:
+    """Parities of how many n-grams lie in each of 512 buckets or, if that is more, some twice to four times their number."""
+    buckets = 1 << max(9, int(2 * len(g)).bit_length())
+    odd = np.bincount((g & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.uint64)
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """At most the difference of the sets, for each pair of sketches."""
-    counts = np.abs(x[:, :64].astype(np.int16) - y[:, :64]).sum(axis=1)
-    parity = np.bitwise_count(np.ascontiguousarray(x[:, 64:]).view(np.uint64) ^ np.ascontiguousarray(y[:, 64:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-    return np.maximum(counts, parity)
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch over fewer buckets: those whose numbers agree in their low bits are one."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """At most the difference of the sets."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, words) ^ _folded(b, words)).sum(dtype=np.int64))
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -134,8 +142,7 @@ def incidence(spark: SparkSession, rows: DataFrame, words: int, percent: int) ->
                     n = len(g)
                     sizes.append(n)
                     keys.append((int(np.add.reduce(bytesx.mix(g))), int(np.add.reduce(bytesx.mix(g ^ bytesx.M1)))))
-                    bucket = np.bincount((g & np.uint64(511)).astype(np.int64), minlength=512)
-                    sketch.append(np.concatenate((np.minimum(bucket.reshape(64, 8).sum(axis=1), 255).astype(np.uint8), np.packbits(bucket.astype(np.uint8) & 1))))
+                    sketch.append(_sketch(g))
                     p = n - -(-percent * n // 100) + 1 if n else 0
                     if len(often) and n:
                         at = np.minimum(np.searchsorted(often, g), len(often) - 1)
@@ -145,12 +152,11 @@ def incidence(spark: SparkSession, rows: DataFrame, words: int, percent: int) ->
                     prefix.append(g[:p])
                 k = np.array(keys, dtype=np.uint64).reshape(-1, 2)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
-                whole = np.stack(sketch)[:, 64:]
-                parity = (whole[:, :32] ^ whole[:, 32:]).view(np.int64)
+                parity = np.stack([_folded(x, len(PARITY)) for x in sketch]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     rid[i:j], ids[i:j], pa.array(np.array(sizes, np.int32)), bytesx.longs(k[:, 0]), bytesx.longs(k[:, 1]),
                     pa.ListArray.from_arrays(pa.array(ends), bytesx.longs(np.concatenate(prefix))),
-                    bytesx.binaries(np.concatenate(sketch), np.arange(j - i + 1) * SKETCH), *(pa.array(x) for x in parity.T.copy()),
+                    pa.array([x.tobytes() for x in sketch], pa.binary()), *(pa.array(x) for x in parity.T.copy()),
                 ], names=["rid", "doc_id", "n", "k1", "k2", "prefix", "sketch", *PARITY])
 
     return rows.mapInArrow(run, ROW)
@@ -193,7 +199,7 @@ def _verified(spark: SparkSession, rows: DataFrame, pairs: DataFrame, words: int
     return out
 
 
-def _open_pairs(t: pa.Table, percent: int, forest: bool) -> pa.RecordBatch:
+def _open_pairs(t: pa.Table, percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs within whole (column, block, block) groups, in different components, that the bounds leave open.
 
     With ``forest`` one of each pair of components, as few as join them; ``gram`` then names, in rows without a pair,
@@ -203,16 +209,35 @@ def _open_pairs(t: pa.Table, percent: int, forest: bool) -> pa.RecordBatch:
     """
     gram, p, q, rid, n, pos, root, side = (t[k].to_numpy() for k in ("gram", "p", "q", "rid", "n", "pos", "root", "side"))
     sketch = np.column_stack([t[s].to_numpy() for s in PARITY]).view(np.uint64)
+    _, tree = np.unique(root, return_inverse=True)
     new = np.ones(len(gram), dtype=bool)
     new[1:] = (gram[1:] != gram[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
     at = np.flatnonzero(new)
     end = np.repeat(np.concatenate((at[1:], [len(gram)])), np.diff(np.concatenate((at, [len(gram)]))))
     row = np.arange(len(gram))
     found: list[np.ndarray] = []
-    d = 1
+    backward: list[np.ndarray] = []
+
+    def thinned() -> np.ndarray:
+        """One pair of each two components; columns of the others are noted."""
+        pair = np.concatenate(found)
+        two = np.sort(tree[pair[:, :2]], axis=1)
+        _, first = np.unique(two[:, 0] * len(gram) + two[:, 1], return_index=True)
+        back = np.ones(len(pair), dtype=bool)
+        back[first] = False
+        backward.append(np.unique(gram[pair[back, 0]]))
+        return pair[first]
+
+    def given(pair: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
+        a, b, none = rid[pair[:, 0]], rid[pair[:, 1]], pa.nulls(len(grams), pa.int64())
+        cells = (pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(pair[:, 2]))
+        return pa.RecordBatch.from_arrays([*(pa.concat_arrays([x, none]) for x in cells), pa.concat_arrays([pa.nulls(len(pair), pa.int64()), pa.array(grams)])], names=["a", "b", "most", "gram"])
+
+    nothing = np.zeros(0, np.int64)
+    d = held = 1
     while len(row := row[row + d < end[row]]):
-        for k in range(0, len(row), 200_000):
-            i = row[k : k + 200_000]
+        for k in range(0, len(row), HELD):
+            i = row[k : k + HELD]
             j = i + d
             total = n[i].astype(np.int64) + n[j]
             least = -(-percent * total // (100 + percent))
@@ -221,12 +246,18 @@ def _open_pairs(t: pa.Table, percent: int, forest: bool) -> pa.RecordBatch:
             if len(i):
                 ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= most
                 found.append(np.column_stack((i[ok], j[ok], most[ok])))
+                held += int(ok.sum())
+            if held > HELD:
+                if forest:
+                    found = [thinned()]
+                else:
+                    yield given(np.concatenate(found), nothing)
+                    found = []
+                held = sum(map(len, found))
         d += 1
     pair = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    held_back = np.zeros(0, np.int64)
     if forest and len(pair):
-        ends = np.sort(root[pair[:, :2]], axis=1)
-        _, first = np.unique(ends, axis=0, return_index=True)
+        pair = thinned()
         parent: dict[int, int] = {}
 
         def find(v: int) -> int:
@@ -235,22 +266,15 @@ def _open_pairs(t: pa.Table, percent: int, forest: bool) -> pa.RecordBatch:
                 v = parent[v]
             return v
 
-        keep = []
-        for k, (u, v) in zip(first.tolist(), ends[first].tolist(), strict=True):
+        keep = np.zeros(len(pair), dtype=bool)
+        for k, (u, v) in enumerate(tree[pair[:, :2]].tolist()):
             u, v = find(u), find(v)
             if u != v:
                 parent[u] = v
-                keep.append(k)
-        back = np.ones(len(pair), dtype=bool)
-        back[keep] = False
-        held_back = np.unique(gram[pair[back, 0]])
+                keep[k] = True
+        backward.append(gram[pair[~keep, 0]])
         pair = pair[keep]
-    a, b = rid[pair[:, 0]], rid[pair[:, 1]]
-    n = pa.nulls(len(held_back), pa.int64())
-    return pa.RecordBatch.from_arrays([
-        pa.concat_arrays([pa.array(np.minimum(a, b)), n]), pa.concat_arrays([pa.array(np.maximum(a, b)), n]), pa.concat_arrays([pa.array(pair[:, 2]), n]),
-        pa.concat_arrays([pa.nulls(len(pair), pa.int64()), pa.array(held_back)]),
-    ], names=["a", "b", "most", "gram"])
+    yield given(pair, np.unique(np.concatenate(backward)) if backward else nothing)
 
 
 def _linked(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -366,8 +390,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = _apart(_sketches(b["x"]), _sketches(b["y"])) <= b["most"].to_numpy()
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(near))
+            near = [_apart(x.as_py(), y.as_py()) <= most for x, y, most in zip(b["x"], b["y"], b["most"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def linked(pairs: DataFrame) -> Stash:
         """Of ``pairs`` (a, b, most) those that link: by the whole sketches, then by the whole sets."""
@@ -440,14 +464,14 @@ def _between(columns: DataFrame, roots: DataFrame, percent: int, forest: bool) -
             at = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
             same = not held or tuple(held[-1][k][held[-1].num_rows - 1].as_py() for k in ("gram", "p", "q")) == tuple(key[0].tolist())
             if held and not same:
-                yield _open_pairs(pa.Table.from_batches(held), percent, forest)
+                yield from _open_pairs(pa.Table.from_batches(held), percent, forest)
                 held = []
             if at:
                 held.append(b.slice(0, at))
-                yield _open_pairs(pa.Table.from_batches(held), percent, forest)
+                yield from _open_pairs(pa.Table.from_batches(held), percent, forest)
                 held = []
             held.append(b.slice(at))
         if held:
-            yield _open_pairs(pa.Table.from_batches(held), percent, forest)
+            yield from _open_pairs(pa.Table.from_batches(held), percent, forest)
 
     return dealt.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q").mapInArrow(run, "a long, b long, most long, gram long")
