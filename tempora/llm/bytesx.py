@@ -6,6 +6,7 @@ arrays stay small whatever the batch holds; one longer document is a slice of it
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,15 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.n
         i = j
 
 
+def give_back() -> None:
+    """Return what a worker, which is kept for other tasks, no longer uses."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+    pa.default_memory_pool().release_unused()
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 

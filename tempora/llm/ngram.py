@@ -374,9 +374,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
         spark, everything.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least")), "classes"
     )
     rep = everything.join(classes.df.select("rid"), "rid", "left_semi")
-    entries = rep.select("rid", "n", *PARITY, F.posexplode("prefix").alias("pos", "gram"))
+    entries = rep.select("rid", F.posexplode("prefix").alias("pos", "gram"))
     shared = entries.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
-    columns = stash(spark, entries.join(shared, "gram", "left_semi"), "columns")
+    # sizes and parities come after the columns that no other row shares have gone
+    columns = stash(spark, entries.join(shared, "gram", "left_semi").join(rep.select("rid", "n", *PARITY), "rid"), "columns")
     sketches = everything.select("rid", "sketch")
 
     # The row in which a shared column comes first holds fewest n-grams of its own: the most central one.

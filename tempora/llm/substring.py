@@ -28,8 +28,8 @@ from tempora.llm.scratch import fresh, settled, stash
 
 LENGTH = 200
 GRAM = 16
-HOT = 2_048
-SHARD_BYTES = 3_000_000
+HOT = 1_024
+SHARD_BYTES = 1_000_000
 RANGE = 200_000
 
 
@@ -177,6 +177,7 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, length: int = LENGTH) -
                     "name": pa.array([x], pa.int64()), "body": pa.nulls(1, pa.int64()), "first": pa.nulls(1, pa.int32()), "last": pa.nulls(1, pa.int32()),
                     "range": pa.array([int(r)], pa.int32()), "digests": pa.array([digest[s].tobytes()], pa.binary()), "places": pa.array([spot.tobytes()], pa.binary()),
                 }))
+        bytesx.give_back()
         return pa.concat_tables([t.cast(_FOUND) for t in out])
 
     def merge(table: pa.Table) -> pa.Table:
