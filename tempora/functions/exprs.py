@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,13 +16,18 @@ TOKEN_PIXELS = 750
 WHITE = r"(?U)\s+"
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` and the functions inside it use it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def collapse_loops(c: Column) -> Column:
-    """A unit of one to four signs that comes three times or more in a row, once; outer white space goes."""
-    return strip(F.regexp_replace(c, LOOP, "$1"))
+    """Outer white space goes; then a unit of one to four signs that comes three times or more in a row is there once."""
+    return F.regexp_replace(strip(c), LOOP, "$1")
 
 
 def is_hallucination(c: Column) -> Column:
@@ -43,10 +50,12 @@ def contains_any(c: Column, words: list[str]) -> Column:
 
 def bigrams(c: Column) -> Column:
     """Distinct pairs of neighbouring signs without white space; shorter text is its own gram, empty has none."""
-    x = F.regexp_replace(F.coalesce(c, F.lit("")), WHITE, "")
-    n = F.length(x)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+    def pairs(x: Column) -> Column:
+        n = F.length(x)
+        each = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    return bound(F.regexp_replace(F.coalesce(c, F.lit("")), WHITE, ""), pairs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -79,20 +88,23 @@ def blended(pixel_percent: Column, semantic: Column, pixel_weight: float) -> Col
     return F.lit(pixel_weight) * pixel_percent / 100 + F.lit(1 - pixel_weight) * semantic
 
 
+def _centred(v: Column, mean: Column) -> Column:
+    return bound(mean, lambda m: F.transform(_d(v), lambda x: x - m))
+
+
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation of two histograms; 1 where a side does not vary."""
-    n = F.size(a).cast("double")
-    mean = lambda v: F.aggregate(_d(v), F.lit(0.0), lambda s, x: s + x) / n
-    ca, cb = F.transform(_d(a), lambda x: x - mean(a)), F.transform(_d(b), lambda x: x - mean(b))
+    mean = lambda v: F.aggregate(_d(v), F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    ca, cb = (_centred(v, mean(v)) for v in (a, b))
     norm = F.sqrt(dot(ca, ca) * dot(cb, cb))
     return F.when(norm == 0, F.lit(1.0)).otherwise(dot(ca, cb) / norm)
 
 
 def sign_hash(v: Column) -> Column:
     """64 bits, one for each component above the mean of all."""
-    m = F.aggregate(_d(v), F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    return F.aggregate(F.transform(_d(v), lambda x, i: F.when(x > m, F.shiftleft(F.lit(1).cast("long"), 1)).otherwise(F.lit(0).cast("long"))),
-                       F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(F.shiftright(b, 1)))
+    bits = lambda m: F.transform(_d(v), lambda x: F.when(x > m, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    marks = bound(F.aggregate(_d(v), F.lit(0.0), lambda s, x: s + x) / F.size(v), bits)
+    return F.aggregate(marks, F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -67,29 +67,30 @@ def type_counts(events: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def evidence_packs(segments: DataFrame, keyframes: DataFrame, windows: DataFrame, *, most: int = 3, reach: float = 30.0, width: float = 600.0) -> DataFrame:
-    """A pack for each segment (video_id, seq, start_t, end_t, text, motion) of positive length with any evidence.
+    """A pack for each segment (video_id, seq, start_t, end_t, text, motion, linked) of positive length with any evidence.
 
+    ``motion`` and ``linked`` are the aligned windows' counts of motion events and keyframes, whose end is open.
     Frames are the first three within [start, end]; without any, the nearest to either end if one of them
     lies within ``reach``. Reasons come in fixed order; ids are dense after segments without reasons are left out.
     """
     seg = segments.where("end_t > start_t")
     inside = intervals.interval_join(seg.select("video_id", "seq", "start_t", "end_t"), keyframes.select("video_id", "t"), lo="start_t", hi="end_t", at="t", width=width)
-    held = inside.groupBy("video_id", "seq").agg(F.array_sort(F.collect_list("t")).alias("f"), F.count("*").alias("keyframes_in_range"))
+    held = inside.groupBy("video_id", "seq").agg(F.array_sort(F.collect_list("t")).alias("f"))
     near = _nearest_both(seg, keyframes)
     hot = intervals.overlap_semi(seg.select("video_id", "seq", "start_t", "end_t"), windows, width).select("video_id", "seq", F.lit(True).alias("attention"))
     all_ = seg.join(held, ["video_id", "seq"], "left").join(near, ["video_id", "seq"], "left").join(hot, ["video_id", "seq"], "left")
     gap = F.least(F.abs(F.col("near_start") - F.col("start_t")), F.abs(F.col("near_end") - F.col("end_t")))
-    fallback = F.when(gap <= reach, F.array_distinct(F.array_sort(F.array("near_start", "near_end"))))
+    fallback = F.when(gap <= reach, F.slice(F.array_distinct(F.array_sort(F.array("near_start", "near_end"))), 1, most))
     frames = F.coalesce(F.slice("f", 1, most), fallback, F.array().cast("array<double>"))
     speech = F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.lit("speech"))
     reasons = F.array_compact(F.array(
-        speech, F.when(F.col("motion") > 0, F.lit("motion")), F.when(F.col("keyframes_in_range") > 0, F.lit("keyframe")), F.when(F.col("attention"), F.lit("attention"))
+        speech, F.when(F.col("motion") > 0, F.lit("motion")), F.when(F.col("linked") > 0, F.lit("keyframe")), F.when(F.col("attention"), F.lit("attention"))
     ))
     packs = all_.withColumn("frames", frames).withColumn("reasons", reasons).where(F.size("reasons") > 0)
     rank = F.row_number().over(Window.partitionBy("video_id").orderBy("start_t", "seq")) - 1
     return packs.select(
         "video_id", F.format_string("ev_%04d", rank).alias("event_id"), "start_t", "end_t", "frames", F.left(F.coalesce("text", F.lit("")), F.lit(500)).alias("speech"),
-        F.coalesce("keyframes_in_range", F.lit(0)).cast("long").alias("keyframes_in_range"), "reasons", F.least(F.lit(1.0), F.size("reasons") / 4.0).alias("confidence"),
+        F.coalesce("linked", F.lit(0)).cast("long").alias("keyframes_in_range"), "reasons", F.least(F.lit(1.0), F.size("reasons") / 4.0).alias("confidence"),
     )
 
 

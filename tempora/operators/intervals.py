@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.fold import Steps, folded
+
 
 def tiles(segments: DataFrame, tail: float) -> DataFrame:
     """Segments with their windows [t0, t1): up to the next segment, the last one to end_t or t + tail."""
@@ -74,12 +76,14 @@ def interval_join(left: DataFrame, right: DataFrame, *, lo: str, hi: str, at: st
 
 def overlap_semi(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
     """Rows of ``left`` (start_t, end_t) that overlap any of ``right`` (t, end), ends included."""
-    l = left.withColumn("_bin", F.explode(F.sequence(bins(F.col("start_t"), width), bins(F.col("end_t"), width))))  # noqa: E741
+    spread = F.explode(F.sequence(bins(F.col("start_t"), width), bins(F.col("end_t"), width)))
+    l = left.select("video_id", "start_t", "end_t").distinct().withColumn("_bin", spread)  # noqa: E741
     r = right.select(F.col("video_id").alias("_v"), F.col("t").alias("_t"), F.col("end").alias("_e")).withColumn(
         "_b", F.explode(F.sequence(bins(F.col("_t"), width), bins(F.col("_e"), width)))
     )
     on = (F.col("video_id") == F.col("_v")) & (F.col("_bin") == F.col("_b")) & (F.col("start_t") <= F.col("_e")) & (F.col("_t") <= F.col("end_t"))
-    return l.join(r, on, "left_semi").drop("_bin").distinct()
+    met = l.join(r, on, "left_semi").select("video_id", "start_t", "end_t").distinct()
+    return left.join(met, ["video_id", "start_t", "end_t"], "left_semi").select(left.columns)
 
 
 def band_best(left: DataFrame, right: DataFrame, *, band: float, score: Column, least: float) -> DataFrame:
@@ -102,16 +106,29 @@ def nearest_in_padded(windows: DataFrame, frames: DataFrame, pad: float, width:
 
 
 def force_include(selected: DataFrame, windows: DataFrame, frames: DataFrame, pad: float = 5.0, same: float = 0.05, width: float = 60.0) -> DataFrame:
-    """``selected`` times with each window's nearest frame added, unless one already lies within ``same`` seconds.
+    """``selected`` times with each window's nearest frame added, to a tenth of a second, unless one lies within ``same`` seconds.
 
-    Additions suppress later ones as well: of additions closer than ``same`` the earliest stays.
+    Windows come in order of (t, seq), and what an earlier one added counts for later ones.
     """
-    offered = nearest_in_padded(windows, frames, pad, width).select("video_id", "t").distinct()
-    near = selected.select("video_id", (F.col("t") - same).alias("lo"), (F.col("t") + same).alias("hi"))
-    fresh = interval_join(near, offered, lo="lo", hi="hi", at="t", width=max(1.0, 20 * same), how="left_anti").select("video_id", "t")
-    before = F.lag("t").over(Window.partitionBy("video_id").orderBy("t"))
-    fresh = fresh.withColumn("_p", before).where(F.col("_p").isNull() | (F.col("t") - F.col("_p") >= same)).drop("_p")
-    return selected.select("video_id", "t").union(fresh)
+    offered = nearest_in_padded(windows, frames, pad, width).join(windows.select("video_id", F.col("seq").alias("w_seq"), F.col("t").alias("w_t")), ["video_id", "w_seq"])
+    near = selected.select(F.col("video_id").alias("_v"), F.col("t").alias("_t"), F.explode(F.sequence(bins(F.col("t") - same, same), bins(F.col("t") + same, same))).alias("_b"))
+    on = (F.col("video_id") == F.col("_v")) & (bins(F.col("at"), same) == F.col("_b")) & (F.abs(F.col("at") - F.col("_t")) < same)
+    fresh = offered.select("video_id", F.col("w_seq").alias("seq"), F.col("w_t").alias("t"), F.col("t").alias("at")).join(near, on, "left_anti")
+
+    def start() -> Steps:
+        kept: dict[int, list[float]] = {}
+
+        def step(r) -> list[tuple]:
+            b = int(r.at // same)
+            if any(abs(x - r.at) < same for k in (b - 1, b, b + 1) for x in kept.get(k, ())):
+                return []
+            t = round(r.at, 1)
+            kept.setdefault(int(t // same), []).append(t)
+            return [(r.video_id, t)]
+
+        return Steps(step)
+
+    return selected.select("video_id", "t").union(folded(fresh, start, "video_id long, t double"))
 
 
 def first_match(points: DataFrame, scenes: DataFrame, eps: float = 1e-6, width: float = 600.0) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.operators.fold import Steps, folded
 from tempora.schema import SelectConfig
 
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -37,11 +37,24 @@ def greedy_starts(t: np.ndarray, interval: float) -> np.ndarray:
 def greedy_buckets(rows: DataFrame, interval: float) -> DataFrame:
     """Rows with the start of their bucket."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"])
-        return pdf.assign(bucket=greedy_starts(pdf["t"].to_numpy(), interval))
+    names = rows.columns
 
-    return rows.groupBy("video_id").applyInPandas(fold, f"{rows.schema.simpleString()[7:-1]}, bucket double")
+    def start() -> Steps:
+        begin = [0.0]
+
+        def step(r) -> list[tuple]:
+            if r.t >= begin[0] + interval:
+                begin[0] = r.t
+            return [(*(getattr(r, n) for n in names), begin[0])]
+
+        return Steps(step)
+
+    return folded(rows, start, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", bucket double")
+
+
+def pixel_percent(points: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Mean absolute difference of small pictures in percent of full scale."""
+    return np.abs(points - one).mean(axis=1) / 255 * 100
 
 
 def farthest(points: np.ndarray, k: int, distance: Distance = cosine) -> tuple[list[int], list[float]]:
@@ -59,59 +72,71 @@ def farthest(points: np.ndarray, k: int, distance: Distance = cosine) -> tuple[l
     return chosen, scores
 
 
+class _Buckets:
+    """The open bucket of one timeline: rows (video_id, seq, t, v[, pixels])."""
+
+    def __init__(self, c: SelectConfig, adaptive: bool):
+        self.c, self.adaptive, self.start, self.width, self.rows = c, adaptive, 0.0, c.interval, []
+
+    def step(self, r) -> list[tuple]:
+        out = []
+        if r.t >= self.start + self.width:
+            out = self.end()
+            self.start = r.t
+        self.rows.append(r)
+        return out
+
+    def end(self) -> list[tuple]:
+        rows, c = self.rows, self.c
+        if not rows:
+            return []
+        v = np.stack([np.asarray(r.v, float) for r in rows])
+        pixels = np.stack([np.asarray(r.pixels, float) for r in rows]) if hasattr(rows[0], "pixels") else None
+
+        def apart(place: np.ndarray, one: np.ndarray) -> np.ndarray:
+            some, i = place[:, 0].astype(int), int(one[0])
+            semantic = cosine(v[some], v[i])
+            return semantic if pixels is None else c.pixel_weight * pixel_percent(pixels[some], pixels[i]) / 100 + (1 - c.pixel_weight) * semantic
+
+        chosen, scores = farthest(np.arange(len(rows), dtype=float)[:, None], c.k, apart)
+        out = [(rows[p].video_id, rows[p].seq, rows[p].t, self.start, s) for p, s in sorted(zip(chosen, scores, strict=True))]
+        if self.adaptive:
+            spread = float((pixel_percent(pixels, pixels[0]) if pixels is not None else 100 * cosine(v, v[0])).max())
+            if spread < c.grow_below:
+                self.width = min(self.width * 2, 4 * c.interval)
+            elif spread > c.shrink_above:
+                self.width = max(self.width / 2, 0.5 * c.interval)
+        self.rows = []
+        return out
+
+
 def representatives(rows: DataFrame, config: SelectConfig = SelectConfig(), *, adaptive: bool = False) -> DataFrame:
-    """(video_id, seq, t, bucket, score): k diverse rows of each greedy bucket, over the vectors in ``v``.
+    """(video_id, seq, t, bucket, score): k diverse rows of each greedy bucket.
 
-    Adaptive buckets double (up to 4 intervals) when the closed one hardly varied, and halve (down to half an
-    interval) when it varied much; a bucket of one row did not vary.
+    Rows differ by their vectors ``v`` (cosine), or, with small pictures in ``pixels``, by pixels and vectors
+    weighed by ``pixel_weight``. Adaptive buckets double (up to 4 intervals) when in the closed one no picture differed
+    from the first by ``grow_below`` percent, and halve (down to half an interval) when one did by more than ``shrink_above``; a
+    bucket of one row did not vary.
     """
-    c = config
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"])
-        t, seq = pdf["t"].to_numpy(), pdf["seq"].to_numpy()
-        v = np.stack(pdf["v"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
-        out: list[tuple] = []
-        start, width, first = 0.0, c.interval, 0
-
-        def close(i: int, j: int) -> None:
-            nonlocal width
-            if i == j:
-                return
-            chosen, scores = farthest(v[i:j], c.k)
-            for p, s in sorted(zip(chosen, scores, strict=True)):
-                out.append((pdf["video_id"].iloc[0], seq[i + p], t[i + p], start, s))
-            if adaptive:
-                spread = 100 * float(cosine(v[i:j], v[i]).max())
-                if spread < c.grow_below:
-                    width = min(width * 2, 4 * c.interval)
-                elif spread > c.shrink_above:
-                    width = max(width / 2, 0.5 * c.interval)
-
-        for i, x in enumerate(t):
-            if x >= start + width:
-                close(first, i)
-                start, first = x, i
-        close(first, len(t))
-        return pd.DataFrame(out, columns=["video_id", "seq", "t", "bucket", "score"])
-
-    return rows.groupBy("video_id").applyInPandas(fold, "video_id long, seq long, t double, bucket double, score double")
-
-
-def drop_similar(rows: DataFrame, least: float) -> DataFrame:
+    return folded(rows, lambda: _Buckets(config, adaptive), "video_id long, seq long, t double, bucket double, score double")
+
+
+def drop_similar(rows: DataFrame, least: float, distance: Distance = cosine) -> DataFrame:
     """Rows that differ by ``least`` or more from the last row kept (not from the one before)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"])
-        keep, last = [], None
-        for v in pdf["v"]:
-            v = np.asarray(v, dtype=float)
-            stay = last is None or cosine(v[None, :], last)[0] >= least
-            keep.append(stay)
-            last = v if stay else last
-        return pdf[np.array(keep, dtype=bool)][["video_id", "seq", "t"]]
-
-    return rows.groupBy("video_id").applyInPandas(fold, "video_id long, seq long, t double")
+    def start() -> Steps:
+        last: list[np.ndarray] = []
+
+        def step(r) -> list[tuple]:
+            v = np.asarray(r.v, dtype=float)
+            if last and distance(v[None, :], last[0])[0] < least:
+                return []
+            last[:] = [v]
+            return [(r.video_id, r.seq, r.t)]
+
+        return Steps(step)
+
+    return folded(rows, start, "video_id long, seq long, t double")
 
 
 def budget_interval(count: Callable[[float], int], span: float, most: int, tries: int = 5) -> float:

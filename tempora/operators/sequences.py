@@ -10,10 +10,10 @@ from collections.abc import Iterable
 from dataclasses import asdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.fold import Steps, folded
 from tempora.schema import MotionConfig
 
 
@@ -65,60 +65,84 @@ def segment_anchors(segments: DataFrame, keyframes: DataFrame, width: float = 36
 class KeyframeState:
     """What a timeline's keyframe lanes remember; ``step`` takes one frame and returns a reason or None.
 
-    A frame has t, score (change against the last accepted keyframe), phash (64 bits), hist_corr and motion.
+    A frame is a small grey picture (any sequence of numbers), its perceptual hash, its histogram, and whether there
+    is motion. Everything is compared with the last accepted keyframe, which moves with every acceptance.
     """
 
     def __init__(self, config: MotionConfig = MotionConfig()):
         self.c = config
         self.last_t: float | None = None
+        self.grey: list[float] = []
+        self.hist: list[float] = []
         self.hashes: list[int] = []
         self.over: list[bool] = []
         self.soft: list[tuple[float, float]] = []
 
-    def _accept(self, t: float, phash: int) -> None:
-        self.last_t, self.over, self.soft = t, [], []
+    def _accept(self, t: float, grey, phash: int, hist, why: str) -> str:
+        self.last_t, self.grey, self.hist, self.over, self.soft = t, [float(x) for x in grey], [float(x) for x in hist], [], []
         self.hashes = [*self.hashes, phash][-self.c.dedup_last :]
+        return why
 
-    def step(self, t: float, score: float, phash: int, phash_dist: int, hist_corr: float, motion: bool) -> str | None:
+    def step(self, t: float, grey, phash: int, hist, motion: bool) -> str | None:
         c = self.c
         if self.last_t is None:
-            self._accept(t, phash)
-            return "first_frame"
+            return self._accept(t, grey, phash, hist, "first_frame")
         gap = t - self.last_t
         if gap < 1 / c.keyframe_hz or not (motion or gap > c.force_factor / c.keyframe_hz):
             return None
+        score = float(np.abs(np.asarray(grey, float) - self.grey).mean())
         high = score > c.change_threshold
+        # every check counts in both drift lanes
+        self.soft = [(a, s) for a, s in (*self.soft, (t, score)) if t - a <= c.soft_window]
         self.over = [*self.over, high][-max(c.drift_window, c.drift_confirm) :]
-        if high:
-            if phash_dist > c.phash_distance or hist_corr < c.hist_correlation:
-                if all((phash ^ h).bit_count() >= c.dedup_distance for h in self.hashes):
-                    self._accept(t, phash)
-                    return "scene_change"
-            if c.drift_confirm and sum(self.over[-c.drift_window :]) >= c.drift_confirm:
-                self._accept(t, phash)
-                return "gradual_drift"
-            return None
-        self.soft = [(a, s) for a, s in (*self.soft, (t, score)) if a >= t - c.soft_window]
-        if len(self.soft) >= c.soft_checks and sum(s for _, s in self.soft) / len(self.soft) > c.soft_ratio * c.change_threshold:
-            self._accept(t, phash)
-            return "gradual_drift"
+        if not high:
+            mean = sum(s for _, s in self.soft) / len(self.soft)
+            drifts = c.drift_confirm > 0 and len(self.soft) >= c.soft_checks and mean > c.soft_ratio * c.change_threshold
+            return self._accept(t, grey, phash, hist, "gradual_drift") if drifts else None
+        fresh = (phash ^ self.hashes[-1]).bit_count() > c.phash_distance or _correlation(hist, self.hist) < c.hist_correlation
+        if fresh:
+            seen = any((phash ^ h).bit_count() < c.dedup_distance for h in self.hashes)
+            return None if seen else self._accept(t, grey, phash, hist, "scene_change")
+        if c.drift_confirm > 0 and sum(self.over) >= c.drift_confirm:
+            return self._accept(t, grey, phash, hist, "gradual_drift")
         return None
 
 
+def _correlation(a, b) -> float:
+    """Pearson correlation of two histograms; 1 where a side does not vary."""
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    x, y = x - x.mean(), y - y.mean()
+    norm = float(np.sqrt((x * x).sum() * (y * y).sum()))
+    return 1.0 if norm == 0 else float((x * y).sum()) / norm
+
+
 def accept_keyframes(frames: DataFrame, config: MotionConfig = MotionConfig()) -> DataFrame:
-    """(video_id, seq, t, reason) of accepted keyframes; features are columns, so the fold itself is cheap."""
+    """(video_id, seq, t, reason) of accepted keyframes, from (video_id, seq, t, grey, phash, hist, motion)."""
     fields = asdict(config)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = KeyframeState(MotionConfig(**fields)), []
-        mask = (1 << 64) - 1
-        for r in pdf.sort_values(["t", "seq"]).itertuples(index=False):
-            why = state.step(r.t, r.score, int(r.phash) & mask, r.phash_dist, r.hist_corr, r.motion)
-            if why:
-                out.append((r.video_id, r.seq, r.t, why))
-        return pd.DataFrame(out, columns=["video_id", "seq", "t", "reason"])
+    def start() -> Steps:
+        state, mask = KeyframeState(MotionConfig(**fields)), (1 << 64) - 1
+
+        def step(r) -> list[tuple]:
+            why = state.step(r.t, r.grey, int(r.phash) & mask, r.hist, r.motion)
+            return [(r.video_id, r.seq, r.t, why)] if why else []
+
+        return Steps(step)
+
+    return folded(frames, start, "video_id long, seq long, t double, reason string")
 
-    return frames.groupBy("video_id").applyInPandas(fold, "video_id long, seq long, t double, reason string")
+
+def clean_segments(rows: DataFrame) -> DataFrame:
+    """Cleaned text; what it was and ``cleaned`` where that changed it; empty and adjacent repeated texts go; noise is flagged."""
+    from tempora.functions import exprs
+
+    text = exprs.collapse_loops(F.coalesce(F.col("text"), F.lit("")))
+    clean = rows.withColumn("raw_text", F.col("text")).withColumn("_stripped", exprs.strip(F.coalesce(F.col("text"), F.lit("")))).withColumn("text", text)
+    changed = F.col("text") != F.col("_stripped")
+    return (
+        drop_adjacent(clean, "text").withColumn("raw_text", F.when(changed, F.col("raw_text"))).withColumn("cleaned", changed)
+        .withColumn("hallucination", exprs.is_hallucination(F.col("text"))).drop("_stripped")
+    )
 
 
 def drop_adjacent(rows: DataFrame, column: str) -> DataFrame:
@@ -154,11 +178,12 @@ def retained(files: DataFrame, quota: int) -> DataFrame:
     return files.withColumn("held", F.sum("size").over(newer)).where(F.col("held") <= quota)
 
 
-def budget_scores(signals: DataFrame, window: float = 30.0, retain: float = 1.5, type_weights: dict[str, float] | None = None) -> DataFrame:
-    """Weighted signals within the trailing window, and whether they suffice to retain."""
+def budget_scores(signals: DataFrame, window: float = 30.0, retain: float = 1.5, type_weights: dict[str, float] | None = None, last: int = 200) -> DataFrame:
+    """Weighted signals within the trailing window, of the last ``last`` signals at most, and whether they suffice to retain."""
     weights = F.coalesce(F.create_map(*[F.lit(x) for p in (type_weights or {"": 1.0}).items() for x in p])[F.col("type")], F.lit(1.0))
-    weighed = signals.withColumn("_w", F.col("weight") * weights).withColumn("budget", _trailing("sum(_w)", window)).drop("_w")
-    return weighed.withColumn("retain", F.col("budget") >= retain)
+    held = F.collect_list(F.struct("t", (F.col("weight") * weights).alias("w"))).over(_order().rowsBetween(-(last - 1), 0))
+    within = F.aggregate(F.filter("_h", lambda x: x["t"] >= F.col("t") - window), F.lit(0.0), lambda s, x: s + x["w"])
+    return signals.withColumn("_h", held).withColumn("budget", within).drop("_h").withColumn("retain", F.col("budget") >= retain)
 
 
 def carried_forward(rows: DataFrame, column: str) -> DataFrame:
@@ -168,16 +193,20 @@ def carried_forward(rows: DataFrame, column: str) -> DataFrame:
 def guaranteed_anchors(rows: DataFrame, every: float = 30.0) -> DataFrame:
     """The first row, then each row at least ``every`` seconds after the last one taken."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, keep = None, []
-        pdf = pdf.sort_values(["t", "seq"])
-        for t in pdf["t"]:
-            due = last is None or t - last >= every
-            keep.append(due)
-            last = t if due else last
-        return pdf[np.array(keep, dtype=bool)]
+    names = rows.columns
+
+    def start() -> Steps:
+        last: list[float] = []
+
+        def step(r) -> list[tuple]:
+            if last and r.t - last[0] < every:
+                return []
+            last[:] = [r.t]
+            return [tuple(getattr(r, n) for n in names)]
+
+        return Steps(step)
 
-    return rows.groupBy("video_id").applyInPandas(fold, rows.schema)
+    return folded(rows, start, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
 
 
 def running_mean(values: Iterable[float], digits: int = 1) -> float | None:
@@ -189,12 +218,12 @@ def running_mean(values: Iterable[float], digits: int = 1) -> float | None:
 
 
 def compact_timeline(rows: DataFrame, most: int) -> DataFrame:
-    """The newest ``most`` rows; older ones are one chapter from the first start to the last end, summaries joined."""
+    """The newest ``most`` rows; older ones are one chapter from the first start to the last one's end, summaries that are not empty joined."""
     newest = Window.partitionBy("video_id").orderBy(F.desc("t"), F.desc("seq"))
     ranked = rows.withColumn("_k", F.row_number().over(newest))
     old = ranked.where(F.col("_k") > most).groupBy("video_id").agg(
-        F.min("t").alias("t"), F.max("end_t").alias("end_t"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "seq", "text"))), lambda s: s["text"]), "；").alias("text"),
+        F.min("t").alias("t"), F.max_by("end_t", F.struct("t", "seq")).alias("end_t"),
+        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("t", "seq", "text"))), lambda s: s["text"]), lambda x: x != ""), "；").alias("text"),
         F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("chapter"),
     )
     return ranked.where(F.col("_k") <= most).select("video_id", "seq", "t", "end_t", "text", F.lit(False).alias("chapter")).unionByName(old.select("video_id", "seq", "t", "end_t", "text", "chapter"))

@@ -130,15 +130,22 @@ def reconcile_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.band_best(c.drop("text"), right, band=15.0, score=sim, least=0.2).select("video_id", "seq", F.col("r_seq").alias("hint_seq"), "sim")
 
 
-@query(f"""WITH {_E}, W AS (SELECT video_id, seq, t, t + 3600 AS e FROM E WHERE type = 'asr'), K AS (SELECT * FROM E WHERE type = 'keyframe'),
- N AS (SELECT W.video_id, arg_min(K.t, (abs(K.t - W.t), K.t)) AS t FROM W JOIN K ON K.video_id = W.video_id AND K.t BETWEEN W.t - 7200 AND W.e + 7200 GROUP BY W.video_id, W.seq),
- D AS (SELECT DISTINCT video_id, t FROM N), Z AS (SELECT video_id, t FROM E WHERE type = 'ocr'),
- A AS (SELECT * FROM D WHERE NOT EXISTS (SELECT 1 FROM Z WHERE Z.video_id = D.video_id AND D.t BETWEEN Z.t - 0.05 AND Z.t + 0.05)),
- B AS (SELECT *, lag(t) OVER (PARTITION BY video_id ORDER BY t) AS p FROM A)
- SELECT video_id, t FROM Z UNION ALL SELECT video_id, t FROM B WHERE p IS NULL OR t - p >= 0.05""")
+#: The events' month in 130 seconds, so that offers lie closer than the least distance.
+_SQUEEZE = 20_000.0
+
+
+@query(f"""WITH RECURSIVE {_E}, T AS (SELECT * REPLACE (t / 20000 AS t) FROM E), W AS (SELECT video_id, seq, t, t + 1 AS e FROM T WHERE type = 'asr'), K AS (SELECT * FROM T WHERE type = 'keyframe'),
+ N AS (SELECT W.video_id, W.seq, any_value(W.t) AS wt, arg_min(K.t, (abs(K.t - W.t), K.t)) AS t FROM W JOIN K ON K.video_id = W.video_id AND K.t BETWEEN W.t - 5 AND W.e + 5 GROUP BY W.video_id, W.seq),
+ Z AS (SELECT video_id, t FROM T WHERE type = 'ocr'),
+ O AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY wt, seq) AS k FROM N WHERE NOT EXISTS (SELECT 1 FROM Z WHERE Z.video_id = N.video_id AND abs(Z.t - N.t) < 0.05)),
+ B AS (SELECT video_id, k, [round(t, 1)] AS added FROM O WHERE k = 1 UNION ALL
+  SELECT O.video_id, O.k, CASE WHEN len(list_filter(B.added, lambda x: abs(x - O.t) < 0.05)) > 0 THEN B.added ELSE list_append(B.added, round(O.t, 1)) END
+  FROM B JOIN O ON O.video_id = B.video_id AND O.k = B.k + 1)
+ SELECT video_id, t FROM Z UNION ALL SELECT video_id, unnest(added) AS t FROM (SELECT video_id, arg_max(added, k) AS added FROM B GROUP BY video_id)""")
 def force_include(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = _events(spark, sf_dir, "asr").withColumn("end", F.col("t") + 3600)
-    return intervals.force_include(_events(spark, sf_dir, "ocr"), windows, _events(spark, sf_dir, "keyframe"), pad=7_200.0, width=14_400.0)
+    t = _events(spark, sf_dir).withColumn("t", F.col("t") / _SQUEEZE)
+    windows = t.where("type = 'asr'").withColumn("end", F.col("t") + 1)
+    return intervals.force_include(t.where("type = 'ocr'"), windows, t.where("type = 'keyframe'"))
 
 
 _SC = "SC AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, seq) - 1 AS scene, t AS start_t, t + 43200 AS end_t FROM E WHERE type = 'asr')"
@@ -256,17 +263,51 @@ def bucket_rep_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.withColumn("d", F.abs(F.col("score") - first)).withColumn("k", F.row_number().over(w)).where("k = 1").select("video_id", "bucket", "seq", "t")
 
 
-@query()
+_V = "V AS (SELECT label AS video_id, vec_id AS seq, vec_id::DOUBLE AS t, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings)"
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with small pictures: their components in hundredths."""
+    return adapters.vectors(spark, sf_dir).withColumn("pixels", F.transform("v", lambda x: x.cast("double") * 100))
+
+
+def _pixels(a: str, b: str) -> str:
+    return f"list_aggregate(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] * 100 - z[2] * 100)), 'avg') / 255 * 100"
+
+
+def _apart(a: str, b: str) -> str:
+    return f"(0.5 * ({_pixels(a, b)}) / 100 + 0.5 * (1 - list_cosine_similarity({a}, {b})))"
+
+
+@query(f"""WITH RECURSIVE {_V}, B AS (SELECT *, CASE WHEN t >= 100 THEN t ELSE 0::DOUBLE END AS bucket FROM V WHERE k = 1 UNION ALL
+  SELECT V.*, CASE WHEN V.t >= B.bucket + 100 THEN V.t ELSE B.bucket END FROM B JOIN V ON V.video_id = B.video_id AND V.k = B.k + 1),
+ D AS (SELECT *, first_value(v) OVER (PARTITION BY video_id, bucket ORDER BY t, seq) AS f FROM B),
+ A1 AS (SELECT * FROM (SELECT video_id, bucket, seq, t, v, {_apart("v", "f")} AS score FROM D) QUALIFY row_number() OVER (PARTITION BY video_id, bucket ORDER BY score DESC, t, seq) = 1),
+ R2 AS (SELECT D.video_id, D.bucket, D.seq, D.t, D.v, {_apart("D.v", "A1.v")} AS score FROM D JOIN A1 ON A1.video_id = D.video_id AND A1.bucket = D.bucket AND A1.seq <> D.seq),
+ A2 AS (SELECT * FROM R2 QUALIFY row_number() OVER (PARTITION BY video_id, bucket ORDER BY score DESC, t, seq) = 1),
+ R3 AS (SELECT R2.video_id, R2.bucket, R2.seq, R2.t, R2.v, least(R2.score, {_apart("R2.v", "A2.v")}) AS score FROM R2 JOIN A2 ON A2.video_id = R2.video_id AND A2.bucket = R2.bucket AND A2.seq <> R2.seq),
+ A3 AS (SELECT * FROM R3 QUALIFY row_number() OVER (PARTITION BY video_id, bucket ORDER BY score DESC, t, seq) = 1)
+ SELECT video_id, seq, t, bucket, floor(score * 1e6 + 0.5)::BIGINT AS score_e6 FROM (FROM A1 UNION ALL FROM A2 UNION ALL FROM A3)""")
 def fps_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.representatives(adapters.vectors(spark, sf_dir), SelectConfig(interval=100.0, k=3))
+    r = select.representatives(_pictures(spark, sf_dir), SelectConfig(interval=100.0, k=3))
+    return r.select("video_id", "seq", "t", "bucket", F.floor(F.col("score") * 1e6 + 0.5).cast("long").alias("score_e6"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, B AS (SELECT *, CASE WHEN t >= 50 THEN t ELSE 0::DOUBLE END AS bucket, 50::DOUBLE AS width, v AS f, 0::DOUBLE AS spread FROM V WHERE k = 1 UNION ALL
+  SELECT video_id, seq, t, v, k, CASE WHEN opens THEN t ELSE bucket END, CASE WHEN NOT opens THEN width WHEN spread < 7 THEN least(width * 2, 200) WHEN spread > 7.6 THEN greatest(width / 2, 25) ELSE width END,
+  CASE WHEN opens THEN v ELSE f END, CASE WHEN opens THEN 0 ELSE greatest(spread, {_pixels("v", "f")}) END
+  FROM (SELECT V.*, B.bucket, B.width, B.f, B.spread, V.t >= B.bucket + B.width AS opens FROM B JOIN V ON V.video_id = B.video_id AND V.k = B.k + 1)),
+ A AS (SELECT video_id, seq, t, bucket, {_apart("v", "f")} AS score FROM B)
+ SELECT video_id, seq, t, bucket, floor(score * 1e6 + 0.5)::BIGINT AS score_e6 FROM A QUALIFY row_number() OVER (PARTITION BY video_id, bucket ORDER BY score DESC, t, seq) = 1""")
 def adaptive_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.representatives(adapters.vectors(spark, sf_dir), SelectConfig(interval=50.0, k=1), adaptive=True)
+    config = SelectConfig(interval=50.0, k=1, grow_below=7.0, shrink_above=7.6)
+    r = select.representatives(_pictures(spark, sf_dir), config, adaptive=True)
+    return r.select("video_id", "seq", "t", "bucket", F.floor(F.col("score") * 1e6 + 0.5).cast("long").alias("score_e6"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, B AS (SELECT *, v AS last, true AS kept FROM V WHERE k = 1 UNION ALL
+  SELECT video_id, seq, t, v, k, CASE WHEN far THEN v ELSE last END, far FROM (SELECT V.*, B.last, 1 - list_cosine_similarity(V.v, B.last) >= 0.9 AS far FROM B JOIN V ON V.video_id = B.video_id AND V.k = B.k + 1))
+ SELECT video_id, seq, t FROM B WHERE kept""")
 def seq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.drop_similar(adapters.vectors(spark, sf_dir), 0.9)
 
@@ -290,11 +331,11 @@ def phash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.where("p is not null").select("video_id", "seq", exprs.hamming(F.col("h"), F.col("p")).cast("int").alias("distance"))
 
 
-@query(f"""WITH {_E}, X AS (SELECT *, CASE type WHEN 'asr' THEN 1.5 WHEN 'ocr' THEN 0.5 ELSE 1.0 END::DOUBLE * score / 100 AS x FROM E)
- SELECT video_id, seq, floor(sum(x) OVER w * 1e6 + 0.5)::BIGINT AS budget_e6 FROM X WINDOW w AS (PARTITION BY video_id ORDER BY t RANGE BETWEEN 259200.0::DOUBLE PRECEDING AND CURRENT ROW)""")
+@query(f"""WITH {_E}, X AS (SELECT video_id, seq, t, list({{'t': t, 'x': CASE type WHEN 'asr' THEN 1.5 WHEN 'ocr' THEN 0.5 ELSE 1.0 END::DOUBLE * score / 100}}) OVER (PARTITION BY video_id ORDER BY t, seq ROWS 19 PRECEDING) AS h FROM E)
+ SELECT video_id, seq, floor(list_sum(list_transform(list_filter(h, lambda y: y.t >= X.t - 259200.0::DOUBLE), lambda y: y.x)) * 1e6 + 0.5)::BIGINT AS budget_e6 FROM X""")
 def budget_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _events(spark, sf_dir).withColumn("weight", F.col("score") / 100)
-    b = sequences.budget_scores(s, 259_200.0, 1.5, {"asr": 1.5, "ocr": 0.5})
+    b = sequences.budget_scores(s, 259_200.0, 1.5, {"asr": 1.5, "ocr": 0.5}, last=20)
     return b.select("video_id", "seq", F.floor(F.col("budget") * 1e6 + 0.5).cast("long").alias("budget_e6"))
 
 
@@ -327,13 +368,29 @@ def drift_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("video_id", "seq", "n", F.floor(F.col("mean_v") * 1e6 + 0.5).cast("long").alias("mean_e6"))
 
 
-@query()
+_CORR = """((score - m) * (rscore - rm) + (100 - score - m) * (100 - rscore - rm) + (q - m) * (rq - rm))
+ / sqrt(((score - m) ** 2 + (100 - score - m) ** 2 + (q - m) ** 2) * ((rscore - rm) ** 2 + (100 - rscore - rm) ** 2 + (rq - rm) ** 2))"""
+
+
+@query(f"""WITH RECURSIVE {_E}, F AS (SELECT video_id, seq, t / 3600 AS t, score, ((seq % 7) * 10)::DOUBLE AS q, (seq * 40503) % 65536 AS h, type = 'motion' AS moves, row_number() OVER (PARTITION BY video_id ORDER BY t, seq) AS k FROM E),
+ B AS (SELECT video_id, k, seq, t, 'first_frame' AS reason, t AS lt, score AS rscore, q AS rq, [h] AS hs, []::BOOLEAN[] AS ov, []::STRUCT(t DOUBLE, s DOUBLE)[] AS so FROM F WHERE k = 1 UNION ALL
+  SELECT video_id, k, seq, t, why, CASE WHEN why IS NULL THEN lt ELSE t END, CASE WHEN why IS NULL THEN rscore ELSE score END, CASE WHEN why IS NULL THEN rq ELSE q END,
+   CASE WHEN why IS NULL THEN hs ELSE list_append(hs, h)[-5:] END, CASE WHEN why IS NOT NULL THEN [] WHEN checked THEN ov2 ELSE ov END, CASE WHEN why IS NOT NULL THEN [] WHEN checked THEN so2 ELSE so END
+  FROM (SELECT *, CASE WHEN NOT checked THEN NULL
+    WHEN d <= 10 THEN CASE WHEN len(so2) >= 2 AND list_aggregate(list_transform(so2, lambda x: x.s), 'avg') > 6 THEN 'gradual_drift' END
+    WHEN bit_count(xor(h, hs[-1])) > 9 OR {_CORR} < 0.5 THEN CASE WHEN len(list_filter(hs, lambda x: bit_count(xor(x, h)) < 5)) = 0 THEN 'scene_change' END
+    WHEN len(list_filter(ov2, lambda x: x)) >= 3 THEN 'gradual_drift' END AS why
+   FROM (SELECT *, list_append(ov, d > 10)[-5:] AS ov2, list_filter(list_append(so, {{'t': t, 's': d}}), lambda x: t - x.t <= 30) AS so2
+    FROM (SELECT F.*, B.lt, B.rscore, B.rq, B.hs, B.ov, B.so, abs(F.score / 4 - B.rscore / 4) AS d, (100 + F.q) / 3 AS m, (100 + B.rq) / 3 AS rm,
+      F.t - B.lt >= 1 AND (F.moves OR F.t - B.lt > 3) AS checked FROM B JOIN F ON F.video_id = B.video_id AND F.k = B.k + 1))))
+ SELECT video_id, seq, t, reason FROM B WHERE reason IS NOT NULL""")
 def keyframe_acceptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
-    h = F.xxhash64("seq")
-    frames = e.select("video_id", "seq", (F.col("t") / 3600).alias("t"), (F.col("score") / 4).alias("score"), h.alias("phash"),
-                      F.pmod(h, F.lit(24)).cast("int").alias("phash_dist"), (F.pmod(h, F.lit(100)) / 100).alias("hist_corr"), (F.col("type") == "motion").alias("motion"))
-    return sequences.accept_keyframes(frames)
+    frames = e.select(
+        "video_id", "seq", (F.col("t") / 3600).alias("t"), F.array(F.col("score") / 4).alias("grey"), (F.col("seq") * 40503 % 65536).alias("phash"),
+        F.array(F.col("score"), 100 - F.col("score"), (F.col("seq") % 7 * 10).cast("double")).alias("hist"), (F.col("type") == "motion").alias("motion"),
+    )
+    return sequences.accept_keyframes(frames, MotionConfig(phash_distance=9))
 
 
 @query(f"""WITH {_E}, S AS (SELECT video_id, seq, t AS start_t, t + 43200 AS end_t FROM E WHERE type = 'asr'),
@@ -346,12 +403,27 @@ def evidence_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("video_id", "seq", "keyframes_in_range", *[F.get("f", F.lit(i)).alias(f"f{i + 1}") for i in range(3)])
 
 
-@query()
+@query(f"""WITH {_E}, {_S}, K AS (SELECT video_id, t FROM E WHERE type = 'keyframe'),
+ L AS (SELECT S.video_id, S.seq, S.t0, S.t1, CASE WHEN S.seq % 3 = 0 THEN 'said' ELSE '' END AS speech, count(*) FILTER (WHERE E.type LIKE 'motion%') AS motion, count(*) FILTER (WHERE E.type = 'keyframe') AS linked
+  FROM S LEFT JOIN E ON E.video_id = S.video_id AND E.t >= S.t0 AND E.t < S.t1 WHERE S.t1 > S.t0 GROUP BY ALL),
+ I AS (SELECT L.video_id, L.seq, list(K.t ORDER BY K.t) AS f FROM L JOIN K ON K.video_id = L.video_id AND K.t BETWEEN t0 AND t1 GROUP BY ALL),
+ H AS (SELECT L.video_id, L.seq, arg_min(K.t, (abs(K.t - t0), K.t)) AS a, arg_min(K.t, (abs(K.t - t1), K.t)) AS b FROM L JOIN K ON K.video_id = L.video_id GROUP BY ALL),
+ A AS (SELECT DISTINCT L.video_id, L.seq FROM L JOIN E W ON W.video_id = L.video_id AND W.type = 'ocr' AND t0 <= W.t + 3600 AND W.t <= t1),
+ P AS (SELECT L.*, CASE WHEN f IS NOT NULL THEN f[1:3] WHEN least(abs(a - t0), abs(b - t1)) <= 43200 THEN list_sort(list_distinct([a, b])) ELSE [] END AS fr,
+  list_filter([CASE WHEN speech <> '' THEN 'speech' END, CASE WHEN motion > 0 THEN 'motion' END, CASE WHEN linked > 0 THEN 'keyframe' END, CASE WHEN A.seq IS NOT NULL THEN 'attention' END], lambda x: x IS NOT NULL) AS why
+  FROM L LEFT JOIN I ON I.video_id = L.video_id AND I.seq = L.seq LEFT JOIN H ON H.video_id = L.video_id AND H.seq = L.seq LEFT JOIN A ON A.video_id = L.video_id AND A.seq = L.seq)
+ SELECT video_id, printf('ev_%04d', row_number() OVER (PARTITION BY video_id ORDER BY t0, seq) - 1) AS event_id, t0 AS start_t, t1 AS end_t, speech, linked AS keyframes_in_range,
+ array_to_string(list_transform(fr, lambda x: floor(x * 1000 + 0.5)::BIGINT::VARCHAR), ',') AS frames, array_to_string(why, ',') AS reasons, least(1.0, len(why) / 4.0)::DOUBLE AS confidence FROM P WHERE len(why) > 0""")
 def evidence_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
-    s = align_segments(spark, sf_dir).select("video_id", "seq", F.col("t0").alias("start_t"), F.col("t1").alias("end_t"), F.lit("").alias("text"), F.col("linked_motion_events").alias("motion"))
+    said = F.when(F.col("seq") % 3 == 0, F.lit("said")).otherwise(F.lit(""))
+    s = align_segments(spark, sf_dir).select(
+        "video_id", "seq", F.col("t0").alias("start_t"), F.col("t1").alias("end_t"), said.alias("text"), F.col("linked_motion_events").alias("motion"), F.col("linked_keyframes").alias("linked")
+    )
     windows = e.where("type = 'ocr'").withColumn("end", F.col("t") + 3600)
-    return evaluate.evidence_packs(s, e.where("type = 'keyframe'"), windows, reach=43_200.0, width=DAY)
+    packs = evaluate.evidence_packs(s, e.where("type = 'keyframe'"), windows, reach=43_200.0, width=DAY)
+    ms = F.transform("frames", lambda x: F.floor(x * 1000 + 0.5).cast("string"))
+    return packs.withColumn("frames", F.array_join(ms, ",")).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(f"""WITH {_E} SELECT DISTINCT S.video_id, S.seq FROM (SELECT video_id, seq, t AS a, t + 43200 AS b FROM E WHERE type = 'asr') S
@@ -397,12 +469,17 @@ def latest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("video_id").agg(F.max_by("seq", order).alias("seq"), F.max("t").alias("t"), F.max_by("type", order).alias("type"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_E}, O AS (SELECT video_id, seq, t, row_number() OVER (PARTITION BY video_id ORDER BY t, seq) AS k FROM E),
+ B AS (SELECT *, t AS last, true AS due FROM O WHERE k = 1 UNION ALL
+  SELECT O.*, CASE WHEN O.t - B.last >= 86400 THEN O.t ELSE B.last END, O.t - B.last >= 86400 FROM B JOIN O ON O.video_id = B.video_id AND O.k = B.k + 1)
+ SELECT video_id, seq, t FROM B WHERE due""")
 def anchors_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.guaranteed_anchors(_events(spark, sf_dir), DAY).select("video_id", "seq", "t")
+    return sequences.guaranteed_anchors(_events(spark, sf_dir).select("video_id", "seq", "t"), DAY)
 
 
-@query()
+@query(f"""WITH {_C}, R AS (SELECT *, t + 15 AS end_t, row_number() OVER (PARTITION BY video_id ORDER BY t DESC, seq DESC) AS k FROM C)
+ SELECT video_id, seq, t, end_t, text, false AS chapter FROM R WHERE k <= 3 UNION ALL
+ SELECT video_id, -1, min(t), arg_max(end_t, (t, seq)), coalesce(string_agg(text, '；' ORDER BY t, seq) FILTER (WHERE text <> ''), ''), true FROM R WHERE k > 3 GROUP BY video_id""")
 def compact_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = adapters.transcripts(spark, sf_dir).withColumn("end_t", F.col("t") + 15)
     return sequences.compact_timeline(c, 3)
@@ -436,3 +513,91 @@ def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT video_id, seq, CASE WHEN starts_with(text, p) THEN substr(text, length(p) + 1) ELSE text END AS delta FROM P""")
 def text_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.text_delta(adapters.transcripts(spark, sf_dir)).select("video_id", "seq", "delta")
+
+
+@query()
+def clean_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.clean_segments(adapters.transcripts(spark, sf_dir))
+
+
+@query(f"""WITH {_E} SELECT video_id, seq, CASE WHEN score / 5000 >= 0.01 THEN 'strong_motion' WHEN score / 5000 > 0 THEN 'weak_motion' ELSE 'static' END AS label,
+ CASE WHEN score / 5000 >= 0.01 THEN 0.9 WHEN score / 5000 > 0 THEN 0.6 ELSE 0.7 END::DOUBLE AS score FROM E""")
+def motion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("video_id", "seq", exprs.motion_label(F.col("score") / 5000).alias("m")).select("video_id", "seq", "m.label", "m.score")
+
+
+@query(f"""WITH {_E} SELECT video_id, seq, coalesce(CASE WHEN seq % 3 = 0 THEN t END, CASE WHEN seq % 2 = 1 THEN seq / 25.0::DOUBLE END, seq * 0.02::DOUBLE) AS t FROM E""")
+def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    clock = F.when(F.col("seq") % 3 == 0, F.col("t"))
+    return e.select("video_id", "seq", exprs.frame_time(clock, F.col("seq"), F.col("seq") % 2 * 25.0).alias("t"))
+
+
+@query(f"""WITH {_E}, X AS (SELECT video_id, seq, t + seq % 5 AS token, t AS a, t + 2 AS b FROM E) SELECT video_id, seq, CASE WHEN token BETWEEN a - 1e-6 AND b + 1e-6 THEN token ELSE a END AS t FROM X""")
+def token_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = exprs.token_segment_time(F.col("t") + F.col("seq") % 5, F.col("t"), F.col("t") + 2)
+    return _events(spark, sf_dir).select("video_id", "seq", at.alias("t"))
+
+
+@query(f"""WITH {_V}, P AS (SELECT *, lag(v) OVER (PARTITION BY video_id ORDER BY t, seq) AS p FROM V) SELECT video_id, seq, floor({_apart("v", "p")} * 1e6 + 0.5)::BIGINT AS apart_e6 FROM P WHERE p IS NOT NULL""")
+def blended_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("video_id").orderBy("t", "seq")
+    v = _pictures(spark, sf_dir).withColumn("p", F.lag("v").over(w)).withColumn("q", F.lag("pixels").over(w)).where("p is not null")
+    d = exprs.blended(exprs.mean_abs_percent(F.col("pixels"), F.col("q")), exprs.cosine_distance(F.col("v"), F.col("p")), 0.5)
+    return v.select("video_id", "seq", F.floor(d * 1e6 + 0.5).cast("long").alias("apart_e6"))
+
+
+@query(f"""WITH {_E} SELECT video_id, seq, CASE WHEN seq % 4 > 0 THEN floor(t) + 0.5 END AS t FROM E""")
+def file_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("kf/kf_"), F.col("seq"), F.when(F.col("seq") % 4 > 0, F.lit("_t")).otherwise(F.lit("_x")), F.floor("t").cast("string"), F.lit(".5s.jpg"))
+    return _events(spark, sf_dir).select("video_id", "seq", exprs.file_time(name).alias("t"))
+
+
+@query(f"""WITH {_C} SELECT video_id, seq, right(text, 20) AS tail FROM C""")
+def text_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.transcripts(spark, sf_dir).select("video_id", "seq", exprs.tail(F.col("text"), 20).alias("tail"))
+
+
+@query(f"""WITH {_E} SELECT video_id, seq, least(60.0, 2.0 * 2.0 ** (seq % 9))::DOUBLE AS seconds FROM E""")
+def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("video_id", "seq", exprs.backoff(F.col("seq") % 9 + 1).alias("seconds"))
+
+
+@query(f"""WITH {_E}, N AS (SELECT video_id, score / 1000 AS s FROM E QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY seq DESC) <= 20), M AS (SELECT video_id, avg(s) AS m FROM N GROUP BY video_id)
+ SELECT E.video_id, count(*) FILTER (WHERE type LIKE 'motion%') AS motion_events, count(*) FILTER (WHERE type = 'keyframe') AS keyframes, count(*) AS events,
+ floor(any_value(m) * 1e9 + 0.5)::BIGINT AS mean_ns, floor(1e3 / any_value(m) + 0.5)::BIGINT AS fps_e3 FROM E JOIN M ON M.video_id = E.video_id GROUP BY E.video_id""")
+def pipeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    p = evaluate.pipeline_summary(e, e.select("video_id", "seq", (F.col("score") / 1000).alias("seconds")), last=20)
+    return p.select("video_id", "motion_events", "keyframes", "events", F.floor(F.col("mean_seconds") * 1e9 + 0.5).cast("long").alias("mean_ns"), F.floor(F.col("fps") * 1e3 + 0.5).cast("long").alias("fps_e3"))
+
+
+@query(f"""WITH {_E}, M AS (SELECT type AS name, count(*)::DOUBLE AS value FROM E GROUP BY type), S AS (SELECT * FROM (VALUES ('asr', 1.0, NULL), ('motion', NULL, 5.0), ('ocr', 1.0, 1e9), ('absent', 0.0, 1.0)) v(name, least, most)),
+ R AS (SELECT S.name, coalesce(value >= coalesce(least, value) AND value <= coalesce(most, value), false) AS passed FROM S LEFT JOIN M ON M.name = S.name)
+ SELECT * FROM R UNION ALL SELECT 'all', bool_and(passed) FROM R""")
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = _events(spark, sf_dir).groupBy(F.col("type").alias("name")).agg(F.count("*").cast("double").alias("value"))
+    specs = spark.createDataFrame([("asr", 1.0, None), ("motion", None, 5.0), ("ocr", 1.0, 1e9), ("absent", 0.0, 1.0)], "name string, least double, most double")
+    return evaluate.verdicts(measured, specs)
+
+
+@query(f"""WITH {_E}, A AS (SELECT video_id, list(DISTINCT floor(t)::BIGINT) FILTER (WHERE type = 'keyframe') AS k, list(DISTINCT floor(t)::BIGINT) FILTER (WHERE type = 'asr') AS a FROM E GROUP BY video_id)
+ SELECT video_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(k, []), coalesce(a, []))))[-10:], ',') AS times FROM A""")
+def keyframe_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = lambda k: F.collect_set(F.when(F.col("type") == k, F.floor("t").cast("long"))).alias(k)
+    a = _events(spark, sf_dir).groupBy("video_id").agg(times("keyframe"), times("asr"))
+    return a.select("video_id", F.array_join(exprs.keyframe_union(F.col("keyframe"), F.col("asr")).cast("array<string>"), ",").alias("times"))
+
+
+@query(f"""WITH {_E}, A AS (SELECT video_id, type, arg_max(score, (t, seq)) FILTER (WHERE seq % 2 = 0) AS old, arg_max(score, (t, seq)) FILTER (WHERE seq % 2 = 1) AS new FROM E GROUP BY ALL)
+ SELECT video_id, string_agg(type || '=' || floor(coalesce(new, old) * 100 + 0.5)::BIGINT, ',' ORDER BY type) AS entities FROM A GROUP BY video_id""")
+def entity_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.struct("t", "seq")
+    kept = lambda odd: F.max_by("score", F.when(F.col("seq") % 2 == odd, order))
+    a = _events(spark, sf_dir).groupBy("video_id", "type").agg(F.count_if(F.col("seq") % 2 == 0).alias("n0"), kept(0).alias("old"), F.count_if(F.col("seq") % 2 == 1).alias("n1"), kept(1).alias("new"))
+    side = lambda n, v: F.map_from_entries(F.filter(F.collect_list(F.when(F.col(n) > 0, F.struct("type", v))), lambda x: x.isNotNull()))
+    merged = a.groupBy("video_id").agg(exprs.entities_merged(side("n0", "old"), side("n1", "new")).alias("m"))
+    lines = F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat(x["key"], F.lit("="), F.floor(x["value"] * 100 + 0.5).cast("long").cast("string")))
+    return merged.select("video_id", F.array_join(lines, ",").alias("entities"))

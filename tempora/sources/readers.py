@@ -118,6 +118,8 @@ class FrameSource(DataSource):
         kind = o.get("kind", "file")
         if kind not in ("file", "cam", "rtsp"):
             raise ValueError(f"unknown source kind {kind!r}")
+        if kind != "file" and o.get("synthetic", "false") != "true":
+            raise ValueError(f"no {kind} backend is built in; synthetic=true gives test pictures in its place")
         return {
             "videos": int(o.get("videos", 1)), "frames": int(o.get("frames", 90)), "fps": float(o.get("fps", 30)), "h": int(o.get("height", 24)), "w": int(o.get("width", 32)),
             "speed": float(o.get("speed", 1)), "live": kind != "file" or o.get("live", "false") == "true",

@@ -7,6 +7,7 @@ segment, rings of fixed length, one pending window).
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -35,53 +36,67 @@ def _stateful(rows: DataFrame, step: Callable[[dict, dict], list[dict]], start:
     return rows.groupBy("video_id").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+_LOOP = re.compile(r"(.{1,4})\1{2,}")
+
+
 def clean_step(state: dict, row: dict) -> list[dict]:
-    """Adjacent duplicates of the last text given go; empty texts go."""
-    text = (row["text"] or "").strip()
+    """The batch cleaner's rule: loops fold, empty texts and repeats of the last text given go."""
+    raw = row["text"] or ""
+    stripped = raw.strip()
+    text = _LOOP.sub(r"\1", stripped)
     if not text or text == state.get("last"):
         return []
     state["last"] = text
-    return [{"seq": row["seq"], "t": row["t"], "text": text}]
+    return [{"seq": row["seq"], "t": row["t"], "text": text, "raw_text": raw if text != stripped else None}]
 
 
 def clean(rows: DataFrame) -> DataFrame:
-    return _stateful(rows, clean_step, dict, "video_id long, seq long, t double, text string")
+    return _stateful(rows, clean_step, dict, "video_id long, seq long, t double, text string, raw_text string")
 
 
-def align_step(state: dict, row: dict) -> list[dict]:
-    """Segment i closes when segment i + 1 comes; events since its start and before the next one are its own.
+def align_step(state: dict, row: dict, tail: float = 2.0) -> list[dict]:
+    """Segment i closes when segment i + 1 comes, with all events of its window that have come by then.
 
-    Events before any segment wait for none: only those at or after the pending start are kept.
+    Events wait in the state until the segment after them begins: speech lags behind pictures, so those of a segment
+    may come before it. An ``end`` row closes the last segment, at its own end or ``tail`` after its start.
     """
-    out = []
-    if row["type"] == "asr":
-        pending = state.get("pending")
+    out: list[dict] = []
+    pending, kind = state.get("pending"), row["type"]
+    if kind == "asr":
         if pending:
-            out.append(_closed(pending, row["t"]))
-        state["pending"] = {"seq": row["seq"], "t": row["t"], "motion": 0, "keyframes": 0, "types": []}
-    elif state.get("pending"):
-        p = state["pending"]
-        if row["type"].startswith("motion"):
-            p["motion"] += 1
-            p["types"] = sorted({*p["types"], row["type"]})
-        p["keyframes"] += row["type"] == "keyframe"
+            out.append(_closed(state, row["t"]))
+        end = row.get("end_t")
+        state["pending"] = {"seq": row["seq"], "t": row["t"], "end": None if end is None or end != end else end}
+        state["events"] = [e for e in state.get("events", []) if e[0] >= row["t"]]
+    elif kind == "end":
+        out += flush_align(state, tail)
+    elif kind.startswith("motion") or kind == "keyframe":
+        state.setdefault("events", []).append([row["t"], kind])
     return out
 
 
-def _closed(p: dict, end: float) -> dict:
-    return {"seq": p["seq"], "t0": p["t"], "t1": end, "linked_motion_events": p["motion"], "linked_keyframes": p["keyframes"], "motion_types": ",".join(p["types"])}
+def _closed(state: dict, end: float) -> dict:
+    p = state["pending"]
+    held = [kind for t, kind in state.get("events", []) if p["t"] <= t < end]
+    motion = [k for k in held if k.startswith("motion")]
+    return {
+        "seq": p["seq"], "t0": p["t"], "t1": end, "linked_motion_events": len(motion), "linked_keyframes": held.count("keyframe"),
+        "motion_types": ",".join(sorted(set(motion))),
+    }
 
 
-def align(events: DataFrame) -> DataFrame:
-    """Closed segments as they close; the last one of a timeline stays pending (see ``flush_align``)."""
+def align(events: DataFrame, tail: float = 2.0) -> DataFrame:
+    """Closed segments as they close; a timeline's last one leaves with its ``end`` row (see ``flush_align``)."""
     schema = "video_id long, seq long, t0 double, t1 double, linked_motion_events long, linked_keyframes long, motion_types string"
-    return _stateful(events, align_step, dict, schema)
+    return _stateful(events, lambda state, row: align_step(state, row, tail), dict, schema)
 
 
 def flush_align(state: dict, tail: float) -> list[dict]:
-    """The pending segment, ended by its tail; once."""
-    pending = state.pop("pending", None)
-    return [_closed(pending, pending["t"] + tail)] if pending else []
+    """The pending segment, closed at its end or by its tail; once."""
+    p = state.get("pending")
+    out = [_closed(state, p["t"] + tail if p.get("end") is None else p["end"])] if p else []
+    state["pending"] = None
+    return out
 
 
 def keyframes(frames: DataFrame, config: MotionConfig = MotionConfig()) -> DataFrame:
@@ -90,10 +105,10 @@ def keyframes(frames: DataFrame, config: MotionConfig = MotionConfig()) -> DataF
 
     def step(state: dict, row: dict) -> list[dict]:
         k = KeyframeState(MotionConfig(**settings))
-        if state:
-            k.last_t, k.hashes, k.over, k.soft = state["last_t"], state["hashes"], state["over"], [tuple(x) for x in state["soft"]]
-        why = k.step(row["t"], row["score"], int(row["phash"]) & ((1 << 64) - 1), row["phash_dist"], row["hist_corr"], row["motion"])
-        state |= {"last_t": k.last_t, "hashes": k.hashes, "over": k.over, "soft": k.soft}
+        for name, value in state.items():
+            setattr(k, name, [tuple(x) for x in value] if name == "soft" else value)
+        why = k.step(row["t"], row["grey"], int(row["phash"]) & ((1 << 64) - 1), row["hist"], row["motion"])
+        state |= {n: getattr(k, n) for n in ("last_t", "grey", "hist", "hashes", "over", "soft")}
         return [{"seq": row["seq"], "t": row["t"], "reason": why}] if why else []
 
     return _stateful(frames, step, dict, "video_id long, seq long, t double, reason string")

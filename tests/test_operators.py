@@ -98,18 +98,72 @@ def test_budget():
     assert sequences.running_mean([1.0, 2.0, 4.0]) == pytest.approx(2.3)
 
 
-def test_keyframes_batch_is_stream():
+def test_keyframe_lanes():
     k = sequences.KeyframeState(MotionConfig())
-    frames = [(0, 0, 1), (1.0, 20, 2 << 20), (1.5, 20, 3 << 30), (4.2, 20, ~0), (8, 2, 5)]
-    got = [k.step(t, s, h & (2**64 - 1), 20, 0.9, False) for t, s, h in frames]
-    assert got == ["first_frame", None, None, "scene_change", None]
+    flat, other = [1.0, 2.0, 3.0], [3.0, 2.0, 1.0]
+    far = (1 << 40) - 1
+    step = lambda t, grey, h=0, hist=flat, motion=True: k.step(t, [grey], h, hist, motion)
+    assert step(0, 0.0) == "first_frame" and step(0.5, 90.0) is None  # too soon
+    assert step(1, 20.0, far, other) == "scene_change" and k.grey == [20.0]  # the reference moves
+    assert step(2, 20.0, far, other) is None
+    assert step(3, 40.0, 0) is None  # a new scene like a recent one gives nothing, not even drift
+    assert [step(t, 35.0, far, other) for t in (4, 5)] == [None, "gradual_drift"]
+    assert step(6, 200.0, far, other, motion=False) is None and step(9.5, 200.0, ~far & (2**64 - 1), flat, motion=False) == "scene_change"
 
 
 def test_drift_lanes():
     k = sequences.KeyframeState(MotionConfig())
-    k.step(0, 0, 0, 0, 1, True)
-    assert [k.step(t, 20, 0, 0, 1.0, True) for t in (1, 2, 3)] == [None, None, "gradual_drift"]
-    assert [k.step(t, 8, 0, 0, 1.0, True) for t in (4, 5)] == [None, "gradual_drift"]
+    at = lambda t, grey: k.step(t, [grey], 0, [1.0, 2.0], True)
+    at(0, 0)
+    assert [at(t, 20) for t in (1, 2, 3)] == [None, None, "gradual_drift"]
+    assert [at(t, 28) for t in (4, 5)] == [None, "gradual_drift"]
+    # a high check counts in the soft lane: 20 then 1 has a mean above six tenths of ten
+    assert [at(6, 48), at(7, 29)] == [None, "gradual_drift"]
+    quiet = sequences.KeyframeState(MotionConfig(drift_confirm=0))
+    quiet.step(0, [0.0], 0, [1.0, 2.0], True)
+    assert [quiet.step(t, [8.0], 0, [1.0, 2.0], True) for t in range(1, 9)] == [None] * 8
+
+
+def test_force_include_chain(spark):
+    frames = spark.createDataFrame([(1, 10.0), (1, 10.04), (1, 10.08), (1, 30.0)], "video_id long, t double")
+    windows = spark.createDataFrame([(1, 0, 10.0, 10.0), (1, 1, 10.04, 10.04), (1, 2, 10.08, 10.08), (1, 3, 30.01, 30.01)], "video_id long, seq long, t double, end double")
+    chosen = spark.createDataFrame([(1, 30.03)], "video_id long, t double")
+    got = sorted(r["t"] for r in intervals.force_include(chosen, windows, frames, pad=0.02).collect())
+    assert got == [10.0, 10.1, 30.03]
+
+
+def test_aligner_waits_for_late_speech():
+    state: dict = {}
+    seen = [("asr", 0.0), ("keyframe", 6.0), ("motion", 3.0), ("asr", 5.0), ("keyframe", 7.0), ("asr", 9.0), ("end", 12.0)]
+    out = [x for k, (kind, t) in enumerate(seen) for x in live.align_step(state, {"type": kind, "t": t, "seq": k})]
+    assert [(x["t0"], x["t1"], x["linked_motion_events"], x["linked_keyframes"]) for x in out] == [(0.0, 5.0, 1, 0), (5.0, 9.0, 0, 2), (9.0, 11.0, 0, 0)]
+    assert live.flush_align(state, 2.0) == []
+
+
+def test_cleaner_parity(spark):
+    texts = ["  hahahaha ", "ha", "", None, "x", " x", "OKOKOKOK YES", "no no no no", "a\tb"]
+    df = spark.createDataFrame([(1, k, float(k), t) for k, t in enumerate(texts)], "video_id long, seq long, t double, text string")
+    batch = [(r["seq"], r["text"], r["raw_text"]) for r in sequences.clean_segments(df).orderBy("seq").collect()]
+    state: dict = {}
+    stream = [(x["seq"], x["text"], x["raw_text"]) for k, t in enumerate(texts) for x in live.clean_step(state, {"seq": k, "t": k, "text": t})]
+    assert batch == stream and batch[0] == (0, "ha", "  hahahaha ") and [r[0] for r in batch] == [0, 4, 6, 7, 8]
+
+
+def test_collapse_is_the_pattern(spark):
+    """Whole texts against the pattern in plain Python."""
+    import re
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab \n"), int(rng.integers(0, 200)))) for _ in range(60)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, s string")
+    got = {r["k"]: r["x"] for r in df.select("k", exprs.collapse_loops(F.col("s")).alias("x")).collect()}
+    assert all(got[k] == re.sub(r"(.{1,4})\1{2,}", r"\1", t.strip()) for k, t in enumerate(texts))
+
+
+def test_sources_say_what_is_missing(spark):
+    spark.dataSource.register(readers.FrameSource)
+    with pytest.raises(Exception, match="no cam backend"):
+        spark.read.format("frames").option("kind", "cam").load().count()
 
 
 def test_metrics(spark):
@@ -123,7 +177,8 @@ def test_stream_matches_batch(spark, tmp_path):
     rows = [(int(k % 3), k, float(k), kinds[int(rng.integers(4))], "a" if rng.random() < 0.5 else "b") for k in range(120)]
     schema = "video_id long, seq long, t double, type string, text string"
     for i in range(3):
-        spark.createDataFrame(rows[40 * i : 40 * i + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        some = rows[40 * i : 40 * i + 40] + [(v, 999, 999.0, "end", None) for v in range(3)] * (i == 2)
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for name, twin in (("align", live.align), ("clean", live.clean)):
         q = twin(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
@@ -131,8 +186,8 @@ def test_stream_matches_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, schema)
     batch = {(r["video_id"], r["seq"]): r for r in intervals.align(df.where("type = 'asr'"), df, 2.0).collect()}
     stream = spark.table("align").collect()
-    assert stream and all(batch[r["video_id"], r["seq"]].asDict() == r.asDict() for r in stream) and len(batch) - len(stream) == 3
-    assert spark.table("clean").count() == sequences.drop_adjacent(df, "text").count()
+    assert stream and all(batch[r["video_id"], r["seq"]].asDict() == r.asDict() for r in stream) and len(batch) == len(stream)
+    assert spark.table("clean").count() == sequences.clean_segments(df.where("type <> 'end'")).count()
 
 
 def test_trigger():
