@@ -4,15 +4,18 @@
    labelled rows: words of the whole text and their endings (the last two signs) are hashed
    to BUCKETS buckets, and buckets in which a domain's documents differ beyond chance weigh by their log odds. Sums
    of these weights and a few counts are the inputs of a softmax regression (see ``INPUTS``).
-2. Nonnegative rates r_d solve min 1/2 sum_k (sum_d r_d n_d p_dk - T_k)^2 / (N s_k) + PULL/2 sum_d n_d (r_d - 1)^2,
-   where n are tokens, p posteriors, T targets, N all tokens and s_k the domain's share of them. Documents whose
+2. Nonnegative rates r_d solve min 1/2 sum_k (sum_d r_d n_d p_dk - T_k)^2 / (N s_k) + PULL/2 sum_d n_d (r_d - c_d)^2,
+   where n are tokens, p posteriors, T targets, N all tokens and s_k the larger of the domain's share of them and its
+   target's (a domain that hardly any document may belong to misses its target, and moves no other). The centre c is 1, and in
+   each of the ROUNDS after the first the rates of the one before (proximal steps), so that little of what the pull
+   takes from the targets is left while every round stays well conditioned. Documents whose
    posteriors agree when rounded to 1/GRID share a rate; such a cell has their tokens and exact expected domain
    tokens, so rounding moves no total, and there are at most (GRID+3)(GRID+2)(GRID+1)/6 cells (176,851) however
    large the corpus. Each projected-gradient step is one distributed sum over the cells' table. Its length is that of
    Barzilai and Borwein, which the sums give without another pass; where the loss has risen a plain step follows,
    which never raises it. Steps end when the projected gradient, in the mean square over tokens, is at most TOLERANCE.
-   Rates may have an upper bound too (1: no document is repeated). A stronger PULL keeps more of what is
-   unlikely to belong to an unwanted domain, and misses the targets by more.
+   Rates may have an upper bound too (1: no document is repeated). A stronger pull in a single round keeps more of
+   what is unlikely to belong to an unwanted domain, and misses the targets by more.
 3. A document's rate is its cell's, and its copies are the rate rounded up or down by a hash of its id and text,
    with the rate as expectation.
 
@@ -33,7 +36,7 @@ BUCKETS = 1 << 15
 SUPPORT, BEYOND_CHANCE = 4, 4.0
 GRID = 100
 STEPS = 400
-PULL = 1e-3
+PULL, ROUNDS = 0.02, 3
 TOLERANCE = 1e-4
 #: A domain is a pair of labels (quality, toxic).
 DOMAINS = {"clean": (1, 0), "toxic": (1, 1), "low": (0, 0), "low_toxic": (0, 1)}
@@ -161,16 +164,23 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
 
 def _replayed(history: list[list[float]], most: float) -> Column:
-    """The rate after the steps so far, from ``p``; a step is its length times (e_1 / s_1, ..., pull)."""
+    """The rate after the steps so far, from ``p``; a step is its length times (e_1 / s_1, ..., pull), and whether a round begins."""
     if not history:
         return F.lit(1.0)
     past = F.split(F.lit(";".join(",".join(map(repr, e)) for e in history)), ";")
     steps = F.transform(past, lambda x: F.split(x, ",").cast("array<double>"))
     dot = lambda e: sum((F.col("p")[k] * e[k] for k in range(len(DOMAINS))), F.lit(0.0))
-    return F.aggregate(steps, F.lit(1.0), lambda r, e: F.least(F.lit(most), F.greatest(F.lit(0.0), r - dot(e) - e[len(DOMAINS)] * (r - F.lit(1.0)))))
+    pull, begins = len(DOMAINS), len(DOMAINS) + 1
 
+    def moved(s: Column, e: Column) -> Column:
+        c = F.when(e[begins] > 0, s["r"]).otherwise(s["c"])
+        r = s["r"] - dot(e) - e[pull] * (s["r"] - c)
+        return F.struct(F.least(F.lit(most), F.greatest(F.lit(0.0), r)).alias("r"), c.alias("c"))
 
-def _descend(cells: DataFrame, goal: dict[str, float] | None, factors: dict[str, float] | None, pull: float, most: float) -> list[list[float]]:
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("c")), moved)["r"]
+
+
+def _descend(cells: DataFrame, goal: dict[str, float] | None, factors: dict[str, float] | None, pull: float, most: float, rounds: int) -> list[list[float]]:
     """The steps' history. Targets are shares of all tokens, or multiples of each domain's own share."""
     names = list(DOMAINS)
     own = [float(x or 0) for x in cells.agg(*[F.sum(F.col("n") * F.col("p")[k]) for k in range(len(names))]).first()]
@@ -179,21 +189,27 @@ def _descend(cells: DataFrame, goal: dict[str, float] | None, factors: dict[str,
         return []
     share = np.maximum(np.array(own) / total, 1e-9)
     want = share * [factors.get(n, 1.0) for n in names] if factors is not None else np.array([(goal or {}).get(n, 0.0) for n in names])
+    scale = np.maximum(share, want)
     history: list[list[float]] = []
     losses: list[float] = []
+    left, centre = rounds, 0
     before: tuple[np.ndarray, np.ndarray] | None = None
     length = 0.9
     for _ in range(STEPS):
-        rates = cells.withColumn("q", _replayed(history[:-1], most)).withColumn("r", _replayed(history, most))
+        rates = cells.withColumn("q", _replayed(history[:-1], most)).withColumn("c", _replayed(history[:centre], most)).withColumn("r", _replayed(history, most))
         got = rates.agg(
             *[F.sum(F.col("n") * F.col("p")[k] * F.col("r")) for k in range(len(names))],
-            F.sum(F.col("n") * F.pow(F.col("r") - F.col("q"), 2)), F.sum(F.col("n") * F.pow(F.col("r") - 1, 2)),
+            F.sum(F.col("n") * F.pow(F.col("r") - F.col("q"), 2)), F.sum(F.col("n") * F.pow(F.col("r") - F.col("c"), 2)),
         ).first()
         now, moved, away = np.array(got[: len(names)], dtype=float) / total, got[len(names)] / total, got[len(names) + 1] / total
-        if history and moved <= (TOLERANCE * min(1.0, length)) ** 2:
-            return history
-        error = (now - want) / share
-        losses.append(float(((now - want) ** 2 / share).sum() / 2 + pull / 2 * away))
+        if len(history) > centre and moved <= (TOLERANCE * min(1.0, length)) ** 2:
+            left -= 1
+            if not left:
+                return history
+            # the next round is pulled towards the rates as they are now, where only the targets' own slope is left
+            centre, before, length, losses, away = len(history), None, 0.9, [], 0.0
+        error = (now - want) / scale
+        losses.append(float(((now - want) ** 2 / scale).sum() / 2 + pull / 2 * away))
         length = 0.9
         if before is not None:
             curve = float((error - before[0]) @ (now - before[1])) + pull * moved
@@ -201,13 +217,13 @@ def _descend(cells: DataFrame, goal: dict[str, float] | None, factors: dict[str,
             if losses[-1] > max(losses[-9:-1]):
                 length = 0.9
         before = error, now
-        history.append([float(length * x) for x in (*error, pull)])
+        history.append([*(float(length * x) for x in (*error, pull)), float(len(history) == centre)])
     raise RuntimeError(f"rates have not settled in {STEPS} steps")
 
 
 def mix(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, *, weights: dict[str, float] | None = None, factors: dict[str, float] | None = None,
-    sample: int = SAMPLE, seed: int = 5, pull: float = PULL, most: float = 1e9,
+    sample: int = SAMPLE, seed: int = 5, pull: float = PULL, most: float = 1e9, rounds: int = ROUNDS,
 ) -> DataFrame:
     """``docs`` with n_tokens, posterior, rate and copies for every row.
 
@@ -233,8 +249,8 @@ def mix(
     grouped = placed.groupBy("cell").agg(
         F.sum("n_tokens").alias("n"), F.array(*[F.coalesce(x, F.avg(F.col("p")[k])) for k, x in enumerate(tokens)]).alias("p")
     )
-    cells = stash(spark, grouped.coalesce(8), "cells")
-    history = _descend(cells.df, weights, factors, pull, most)
+    cells = stash(spark, grouped.coalesce(2), "cells")
+    history = _descend(cells.df, weights, factors, pull, most, rounds)
     rates = stash(spark, cells.df.select("cell", _replayed(history, most).alias("rate")).coalesce(1), "rates")
     cells.drop()
     rated = placed.join(F.broadcast(rates.df), "cell").select(
