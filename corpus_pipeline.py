@@ -70,7 +70,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row once or not at all, as its rounded rate says: nearly all clean rows, toxic and low ones hardly ever."""
     ship(spark)
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    mixed = mixing.mix(spark, rows, _labels(spark, sf_dir), factors=FACTORS, pull=PULL, most=MOST_RATE)
+    mixed = mixing.mix(spark, rows, _labels(spark, sf_dir), factors=FACTORS, pull=PULL, most=MOST_RATE, rounds=1)
     return mixed.where("copies > 0").select("row.*")
 
 
