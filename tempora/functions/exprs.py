@@ -141,20 +141,48 @@ def frame_time(clock: Column, frame: Column, fps: Column, fallback: float = 0.02
     return F.coalesce(clock, F.when(fps > 0, frame / fps), frame * F.lit(fallback))
 
 
-def fixed3(t: Column) -> Column:
-    """A double to three digits, rounded by its exact binary value, ties to even.
+def fixed(t: Column, digits: int) -> Column:
+    """A double to ``digits`` digits (1 to 6), rounded by its exact binary value, ties to even.
 
-    Formatters here round the shortest decimal form instead. The sign of 2000 |t| - (2 k + 1) decides, taken
-    exactly: |t| is split into halves of 26 bits, whose products with 2000 are exact.
+    Formatters here round the shortest decimal form instead. The sign of 2 |t| 10^digits - (2 k + 1) decides, taken
+    exactly: |t| is split into halves of 26 bits, whose products with the power are exact.
     """
+    one = 10**digits
     a = F.abs(t)
-    k = F.floor(a * 1000)
+    k = F.floor(a * one)
     big = a * F.lit(134217729.0)
     high = big - (big - a)
-    above = (high * 2000 - (2 * k + 1)) + (a - high) * 2000
-    ms = k + F.when((above > 0) | ((above == 0) & (k % 2 == 1)), 1).otherwise(0)
+    above = (high * (2 * one) - (2 * k + 1)) + (a - high) * (2 * one)
+    n = k + F.when((above > 0) | ((above == 0) & (k % 2 == 1)), 1).otherwise(0)
     sign = F.when(t < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, F.floor(ms / 1000).cast("string"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
+    return F.concat(sign, F.floor(n / one).cast("string"), F.lit("."), F.lpad((n % one).cast("string"), digits, "0"))
+
+
+def fixed3(t: Column) -> Column:
+    return fixed(t, 3)
+
+
+def keyframe_name(k: Column, t: Column) -> Column:
+    return F.concat(F.lit("kf_"), padded(k), F.lit("_t"), fixed(t, 1), F.lit("s.jpg"))
+
+
+def representative_name(k: Column, t: Column) -> Column:
+    return F.concat(F.lit("rep_"), padded(k, 2), F.lit("_t"), padded(F.floor(t).cast("long")), F.lit("s.jpg"))
+
+
+def padded(k: Column, width: int = 4) -> Column:
+    """A number that is not negative with leading zeros; longer ones stay whole."""
+    return F.format_string(f"%0{width}d", k.cast("long"))
+
+
+def motion_verdict(matches: Column, translation: Column, inliers: Column, residual: Column, least: int = 8) -> Column:
+    """``camera`` if one shift of the whole picture explains the motion, ``foreground`` if not, ``unknown`` with too few matches.
+
+    The measures come from a plug-in: matched points, shift in pixels, share of points that follow it, what is left after it.
+    """
+    moved = (translation >= 2.0) & (inliers >= 0.7) & (residual < 4.0)
+    known = (matches >= least) & translation.isNotNull()
+    return F.when(~F.coalesce(known, F.lit(False)), F.lit("unknown")).when(F.coalesce(moved, F.lit(False)), F.lit("camera")).otherwise(F.lit("foreground"))
 
 
 def provenance(t: Column, types: Column) -> Column:
@@ -211,6 +239,12 @@ def scenes_of_reply(c: Column) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
+def required_scenes(c: Column) -> Column:
+    """The scenes of a reply; an error where there is none."""
+    found = scenes_of_reply(c)
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("the reply has no scenes")))
+
+
 def prompt(header: str, speech: Column, motion_n: Column, keyframes: Column, most: int = 800) -> Column:
     """The prompt of an understanding window: header, the tail of the speech, counts, keyframe times."""
     times = F.transform(keyframes, lambda t: F.format_string("%.1f", t))

@@ -154,3 +154,17 @@ def pipeline_summary(events: DataFrame, timings: DataFrame, last: int = 200) ->
         F.count_if(F.col("type").startswith("motion")).alias("motion_events"), F.count_if(F.col("type") == "keyframe").alias("keyframes"), F.count("*").alias("events")
     )
     return counts.join(speed, "video_id", "left").withColumn("fps", F.lit(1.0) / F.nullif("mean_seconds", F.lit(0.0)))
+
+
+def speech_totals(segments: DataFrame, runs: DataFrame) -> DataFrame:
+    """Of each run (run, audio_s, decode_s) the segments and signs that it gave (run, text), and decoding time against audio time."""
+    n = segments.groupBy("run").agg(F.count("*").alias("segments"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("segments", "chars")]
+    return runs.join(n, "run", "left").select("run", "audio_s", "decode_s", *zero, (F.col("decode_s") / F.nullif("audio_s", F.lit(0.0))).alias("rtf"))
+
+
+def lookup(rows: DataFrame, runs: DataFrame, by: str, order: str) -> DataFrame:
+    """``rows`` with the first of ``runs`` of their name in the order of ``order``; null where there is none."""
+    rest = [c for c in runs.columns if c != by]
+    first = runs.groupBy(by).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_run"))
+    return rows.join(first, by, "left").select(*rows.columns, *[F.col(f"_run.{c}").alias(c) for c in rest])

@@ -116,7 +116,7 @@ def _correlation(a, b) -> float:
     return 1.0 if norm == 0 else float((x * y).sum()) / norm
 
 
-def accept_keyframes(frames: DataFrame, config: MotionConfig = MotionConfig()) -> DataFrame:
+def accept_keyframes(frames: DataFrame, config: MotionConfig = MotionConfig(), key: str = "long") -> DataFrame:
     """(video_id, seq, t, reason) of accepted keyframes, from (video_id, seq, t, grey, phash, hist, motion)."""
     fields = asdict(config)
 
@@ -129,7 +129,7 @@ def accept_keyframes(frames: DataFrame, config: MotionConfig = MotionConfig()) -
 
         return Steps(step)
 
-    return folded(frames, start, "video_id long, seq long, t double, reason string")
+    return folded(frames, start, f"video_id {key}, seq long, t double, reason string")
 
 
 def clean_segments(rows: DataFrame) -> DataFrame:

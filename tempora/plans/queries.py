@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.functions import exprs
-from tempora.operators import evaluate, intervals, select, sequences
+from tempora.functions import exprs, plugins
+from tempora.operators import evaluate, focus, intervals, select, sequences
 from tempora.schema import MotionConfig, SelectConfig
 from tempora.sources import adapters
+from tempora.streaming import live
 
 DAY, GAP = 86_400.0, 21_600.0
 CUES = ["thou", "heat", "that"]
@@ -601,3 +602,70 @@ def entity_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = a.groupBy("video_id").agg(exprs.entities_merged(side("n0", "old"), side("n1", "new")).alias("m"))
     lines = F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat(x["key"], F.lit("="), F.floor(x["value"] * 100 + 0.5).cast("long").cast("string")))
     return merged.select("video_id", F.array_join(lines, ",").alias("entities"))
+
+
+@query(f"""WITH {_E}, G AS (WITH {_merged(_R, "21600")}), P AS (SELECT E.video_id, start_t, end_t, seq, t, row_number() OVER (PARTITION BY E.video_id, start_t, end_t ORDER BY t, seq) - 1 AS k
+ FROM G JOIN E ON E.video_id = G.video_id AND E.t BETWEEN start_t AND end_t) SELECT video_id, start_t, end_t, seq, t FROM P WHERE k % 3 = 0""")
+def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return focus.frames_within(_events(spark, sf_dir).select("video_id", "seq", "t"), merge_ranges(spark, sf_dir), 3, DAY)
+
+
+@query(f"""WITH {_E} SELECT video_id, seq, CASE WHEN seq % 20 < 8 THEN 'unknown' WHEN score / 10 >= 2 AND (seq % 11) / 10.0 >= 0.7 AND score % 9 < 4 THEN 'camera' ELSE 'foreground' END AS verdict FROM E""")
+def camera_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq, score = F.col("seq"), F.col("score")
+    return _events(spark, sf_dir).select("video_id", "seq", exprs.motion_verdict(seq % 20, score / 10, seq % 11 / 10.0, score % 9).alias("verdict"))
+
+
+@query(f"""WITH {_E} SELECT video_id, seq, printf('kf_%04d_t%.1fs.jpg', seq, t) AS kf, printf('rep_%02d_t%04ds.jpg', seq, floor(t)::BIGINT) AS rep FROM E""")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    return e.select("video_id", "seq", exprs.keyframe_name(F.col("seq"), F.col("t")).alias("kf"), exprs.representative_name(F.col("seq"), F.col("t")).alias("rep"))
+
+
+@query("""SELECT doc_id, sha256(text) AS digest FROM documents""")
+def text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("digest"))
+
+
+@query(f"""WITH {_C}, L AS (SELECT video_id, seq, t, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS line, generate_subscripts(string_split(replace(text, chr(10), ' '), ' '), 1) - 1 AS item FROM C)
+ SELECT video_id, seq, item, t, trim(line) AS text, (length(line) % 100) / 100.0::DOUBLE AS conf FROM L WHERE trim(line) <> ''""")
+def read_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = adapters.transcripts(spark, sf_dir)
+    return plugins.read_text(c.select("video_id", "seq", "t", F.encode(F.translate("text", " ", "\n"), "UTF-8").alias("content")), "mock")
+
+
+@query(f"""WITH {_C} SELECT video_id AS run, max(t) + 15 AS audio_s, count(*) / 8.0::DOUBLE AS decode_s, count(*) AS segments, sum(length(text))::BIGINT AS chars,
+ count(*) / 8.0::DOUBLE / (max(t) + 15) AS rtf FROM C GROUP BY video_id""")
+def speech_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = adapters.transcripts(spark, sf_dir).withColumnRenamed("video_id", "run")
+    runs = c.groupBy("run").agg((F.max("t") + 15).alias("audio_s"), (F.count("*") / F.lit(8.0)).alias("decode_s"))
+    return evaluate.speech_totals(c, runs)
+
+
+@query(f"""WITH {_E}, R AS (SELECT video_id, arg_min(score, seq) AS first_score, min(seq) AS run FROM E WHERE type = 'ocr' GROUP BY video_id)
+ SELECT E.video_id, seq, run, first_score FROM E LEFT JOIN R ON R.video_id = E.video_id WHERE type = 'keyframe'""")
+def run_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _events(spark, sf_dir, "ocr").select("video_id", F.col("seq").alias("run"), F.col("score").alias("first_score"))
+    return evaluate.lookup(_events(spark, sf_dir, "keyframe").select("video_id", "seq"), runs, "video_id", "run")
+
+
+_DUE = """CASE WHEN {new}.type = 'asr' THEN true WHEN NOT {new}.strong THEN {old}.due
+ WHEN NOT {new}.suspect THEN true WHEN {old}.since IS NULL OR {new}.t - {old}.since < 259200 THEN {old}.due ELSE true END"""
+
+
+@query(f"""WITH RECURSIVE {_E}, O AS (SELECT video_id, seq, t, type, type IN ('asr', 'keyframe') AS opens, seq % 3 = 0 AS suspect,
+  (type = 'keyframe' AND seq % 10 > 0) OR (type = 'motion_end' AND score >= 50) AS strong, row_number() OVER (PARTITION BY video_id ORDER BY t, seq) AS k FROM E),
+ Z AS (SELECT DISTINCT video_id, 0::BIGINT AS k, -1::BIGINT AS seq, NULL::DOUBLE AS t, NULL::DOUBLE AS last, NULL::DOUBLE AS since, false AS due, NULL::DOUBLE AS t0, 0.0::DOUBLE AS t1, []::DOUBLE[] AS kf, 0::BIGINT AS m,
+  false AS fires, NULL::DOUBLE AS f0, 0.0::DOUBLE AS f1, 0::BIGINT AS fk, 0::BIGINT AS fm FROM E),
+ B AS (SELECT * FROM Z UNION ALL (WITH N AS (SELECT O.*, B.last, CASE WHEN NOT O.strong THEN B.since WHEN NOT O.suspect THEN NULL WHEN B.since IS NULL THEN O.t WHEN O.t - B.since < 259200 THEN B.since END AS since2,
+   {_DUE.format(new="O", old="B")} AS due2, CASE WHEN O.opens THEN coalesce(B.t0, O.t) ELSE B.t0 END AS s0, CASE WHEN O.opens THEN greatest(B.t1, O.t) ELSE B.t1 END AS s1,
+   CASE WHEN O.type = 'keyframe' THEN list_sort(list_distinct(list_append(B.kf, O.t)))[-10:] ELSE B.kf END AS kf2, B.m + (O.type = 'motion_end')::BIGINT AS m2 FROM B JOIN O ON O.video_id = B.video_id AND O.k = B.k + 1),
+  D AS (SELECT *, due2 AND (last IS NULL OR t - last >= 86400) AS asks FROM N)
+  SELECT video_id, k, seq, t, CASE WHEN asks AND s0 IS NOT NULL THEN t ELSE last END, since2, due2 AND NOT asks, CASE WHEN asks THEN NULL ELSE s0 END, CASE WHEN asks AND s0 IS NOT NULL THEN 0.0 ELSE s1 END,
+   CASE WHEN asks AND s0 IS NOT NULL THEN [] ELSE kf2 END, CASE WHEN asks AND s0 IS NOT NULL THEN 0 ELSE m2 END, asks AND s0 IS NOT NULL, s0, s1, len(kf2), m2 FROM D))
+ SELECT video_id, seq, t, f0 AS t0, f1 AS t1, fk AS keyframes, fm AS motion_n FROM B WHERE fires""")
+def understanding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strong = F.when((F.col("type") == "keyframe") & (F.col("seq") % 10 == 0), F.lit("first_frame")).otherwise(F.lit("scene_change"))
+    e = _events(spark, sf_dir).withColumn("reason", strong).withColumn("ego_suspect", F.col("seq") % 3 == 0).withColumn("duration", F.col("score"))
+    told = live.understood(e, lambda: lambda speech, keyframes: '{"now": "seen"}', floor=DAY, motion=50.0, defer=3 * DAY)
+    return told.select("video_id", "seq", "t", "t0", "t1", "keyframes", "motion_n")

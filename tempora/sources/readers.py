@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,29 @@ def frame_times(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(items).alias("v")).select(exprs.tolerant_time(F.col("v")).alias("t")).where("t is not null")
 
 
+def representatives(spark: SparkSession, path: str) -> DataFrame:
+    """(t, path) of representatives, a list or under that key, in order of time; one without a time is an error."""
+    v = F.parse_json("value")
+    items = F.coalesce(F.try_variant_get(v, "$.representatives", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
+    each = spark.read.text(path, wholetext=True).select(F.explode(items).alias("v"))
+    t = F.coalesce(F.try_variant_get("v", "$.t", "double"), F.raise_error(F.lit("a representative has no time")).cast("double"))
+    return each.select(t.alias("t"), F.try_variant_get("v", "$.path", "string").alias("path")).orderBy("t", "path")
+
+
+def ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(start_s, end_s, desc) of annotated scenes in order of start; an annotation without scenes is an error."""
+    found = F.from_json("value", "scenes array<struct<start_s:double,end_s:double,desc:string>>")["scenes"]
+    none = F.raise_error(F.lit("the annotation has no scenes")).cast("array<struct<start_s:double,end_s:double,desc:string>>")
+    scenes = spark.read.text(path, wholetext=True).select(F.inline(F.when(F.size(found) > 0, found).otherwise(none)))
+    return scenes.orderBy("start_s", "end_s")
+
+
+def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length, sha256) of files, to check them against what they should be."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def subtitles(aligned: DataFrame, asr: DataFrame) -> DataFrame:
     """Aligned segments, or the transcript with two-second ends where there are none; empty text goes."""
     a = aligned.where("trim(text) <> ''").select("video_id", F.col("start_t").alias("t"), "end_t", "text")
@@ -194,3 +218,18 @@ def markdown(rows: DataFrame, line: str = "line") -> DataFrame:
     """One text for each timeline: its lines in order of time."""
     ordered = F.array_sort(F.collect_list(F.struct("t", "seq", F.col(line).alias("line"))))
     return rows.groupBy("video_id").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("text"))
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """One JSON table for each artefact, such as events, aligned segments or evidence packs."""
+    for name, df in tables.items():
+        write_json(df, f"{path}/{name}")
+
+
+def call_host(stream: DataFrame, f: Callable[[int, Iterator], None], checkpoint: str, columns: list[str]):
+    """A writer that hands each batch's rows, in order of (t, seq), to a callback on the driver, in blocks of one partition."""
+
+    def put(batch: DataFrame, k: int) -> None:
+        f(k, batch.select(columns).orderBy("t", "seq").toLocalIterator(prefetchPartitions=False))
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)

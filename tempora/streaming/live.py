@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tempora.operators.fold import Steps, folded
 from tempora.operators.sequences import KeyframeState
 from tempora.schema import MotionConfig
 
@@ -118,8 +119,9 @@ def keyframes(frames: DataFrame, config: MotionConfig = MotionConfig()) -> DataF
 class Trigger:
     """When gathered material is due for understanding: on keyframes (not the first), long motion, or speech.
 
-    At least ``floor`` seconds pass between fires; a window that fails is retried and then dropped; material
-    is merged while waiting, with the newest ``most`` keyframes. Ego-motion suspects defer, at most ``defer`` seconds.
+    At least ``floor`` seconds pass between fires. Under suspected ego-motion a keyframe or a long motion is kept but
+    asks for nothing, until the suspicion has lasted ``defer`` seconds (0: for as long as it lasts). Motion alone opens
+    no window. Material merges while it waits: the newest ``most`` keyframes, the last ``chars`` signs of speech.
     """
 
     floor: float = 8.0
@@ -127,44 +129,172 @@ class Trigger:
     defer: float = 30.0
     most: int = 10
     retries: int = 3
+    chars: int = 4000
+    speech: bool = True
     last: float | None = None
     since: float | None = None
     due: bool = False
-    window: dict = field(default_factory=lambda: {"kf": [], "asr": [], "motion_n": 0, "retries": 0})
+    window: dict = field(default_factory=lambda: empty_window())
     dropped: int = 0
 
-    def step(self, row: dict) -> dict | None:
-        kind, t = row["type"], row["t"]
-        if row.get("ego_suspect"):
-            self.since = t if self.since is None else self.since
-        elif row.get("ego_suspect") is False:
+    def _asks(self, row: dict) -> bool:
+        if not row.get("ego_suspect"):
             self.since = None
-        w = self.window
+            return True
+        if self.defer <= 0:
+            return False
+        if self.since is None:
+            self.since = row["t"]
+            return False
+        if row["t"] - self.since < self.defer:
+            return False
+        self.since = None
+        return True
+
+    def step(self, row: dict, hold: bool = False, again: bool = False) -> dict | None:
+        """Take a row in; the window if it fires, which ``hold`` forbids. ``again`` is a retry, outside the floor."""
+        kind, t, w = row["type"], row["t"], self.window
         if kind == "keyframe":
             w["kf"] = sorted({*map(tuple, w["kf"]), (t, row.get("path") or "")})[-self.most :]
-            self.due |= row.get("reason") != "first_frame"
+            self._reaches(t, t)
+            if row.get("reason") != "first_frame" and self._asks(row):
+                self.due = True
         elif kind == "motion_end":
             w["motion_n"] += 1
-            self.due |= (row.get("duration") or 0) >= self.motion
+            if (row.get("duration") or 0) >= self.motion and self._asks(row):
+                self.due = True
         elif kind == "asr":
-            w["asr"].append(row.get("text") or "")
-            self.due = True
-        held = self.since is not None and not (self.defer and t - self.since >= self.defer)
-        if self.due and not held and (self.last is None or t - self.last >= self.floor):
-            self.last, self.due = t, False
-            self.window = {"kf": [], "asr": [], "motion_n": 0, "retries": 0}
-            return {"t": t, **w}
-        return None
-
-    def failed(self, window: dict) -> None:
-        """Merge a window back for another try, or count it as dropped."""
+            w["asr"] = joined(w["asr"], row.get("text"), self.chars)
+            end = row.get("end_t")
+            self._reaches(t, t if end is None or end != end else end)
+            self.due |= self.speech
+        return None if hold else self.fire(t, again)
+
+    def _reaches(self, start: float, end: float) -> None:
+        w = self.window
+        w["t0"], w["t1"] = start if w["t0"] is None else w["t0"], max(w["t1"], end)
+
+    def fire(self, t: float, again: bool = False) -> dict | None:
+        """The window, if it is due and the floor allows it; what is due without material is forgotten."""
+        if not self.due or (not again and self.last is not None and t - self.last < self.floor):
+            return None
+        self.due = False
+        if self.window["t0"] is None:
+            return None
+        w, self.window = self.window, empty_window()
+        self.last = self.last if again else t
+        return {"t": t, **w}
+
+    def merged(self, old: dict, new: dict) -> dict:
+        starts = [w["t0"] for w in (old, new) if w["t0"] is not None]
+        return {
+            "kf": sorted({*map(tuple, old["kf"]), *map(tuple, new["kf"])})[-self.most :], "asr": joined(old["asr"], new["asr"], self.chars),
+            "motion_n": old["motion_n"] + new["motion_n"], "retries": max(old["retries"], new["retries"]), "t0": min(starts, default=None), "t1": max(old["t1"], new["t1"]),
+        }
+
+    def failed(self, window: dict) -> bool:
+        """Merge a window back for another try (true), or count it as dropped."""
         if window["retries"] >= self.retries:
             self.dropped += 1
-            return
-        w = self.window
-        w["kf"] = sorted({*map(tuple, window["kf"]), *map(tuple, w["kf"])})[-self.most :]
-        w["asr"], w["motion_n"] = window["asr"] + w["asr"], window["motion_n"] + w["motion_n"]
-        w["retries"], self.due = window["retries"] + 1, True
+            return False
+        self.window, self.due = self.merged(window | {"retries": window["retries"] + 1}, self.window), True
+        return True
+
+
+def empty_window() -> dict:
+    return {"kf": [], "asr": "", "motion_n": 0, "retries": 0, "t0": None, "t1": 0.0}
+
+
+def joined(text: str, more: str | None, chars: int) -> str:
+    return f"{text} {more}".strip()[-chars:] if more else text
+
+
+def answer(text: str | None) -> str:
+    """``now`` of a reply in JSON; of any other reply the first 120 signs."""
+    found = re.search(r"(?s)\{.*\}", text or "")
+    try:
+        reply = json.loads(found.group(0)) if found else None
+    except ValueError:
+        reply = None
+    return str(reply.get("now") or "") if isinstance(reply, dict) else (text or "").strip()[:120]
+
+
+UNDERSTOOD = "video_id long, seq long, t double, t0 double, t1 double, keyframes long, motion_n long, retries long, now string, error string"
+
+
+def understanding_step(state: dict, row: dict, ask: Callable[[str, list], str] | None, settings: dict) -> list[dict]:
+    """One row for each call of the model, answered or failed; a failed window waits for its backoff and merges with what comes.
+
+    While one waits, none is fired. Without a model, material only passes by. Clocks are event times.
+    """
+    if ask is None:
+        return []
+    trigger = Trigger(**settings)
+    for name in ("last", "since", "due", "window", "dropped"):
+        setattr(trigger, name, state.get(name, getattr(trigger, name)))
+    t, waits, out = row["t"], state.get("waits"), []
+    row = {k: None if isinstance(v, float) and v != v else v for k, v in row.items()}
+    window = trigger.step(row, hold=waits is not None and t < waits, again=waits is not None)
+    if window is not None:
+        told = {"seq": row["seq"], "t": t, "t0": window["t0"], "t1": window["t1"], "keyframes": len(window["kf"]), "motion_n": window["motion_n"], "retries": window["retries"]}
+        state["waits"] = None
+        try:
+            out = [{**told, "now": answer(ask(window["asr"], window["kf"])), "error": None}]
+            state["streak"] = 0
+        except Exception as e:
+            state["streak"] = state.get("streak", 0) + 1
+            if trigger.failed({k: v for k, v in window.items() if k != "t"}):
+                state["waits"] = t + min(60.0, 2.0 ** state["streak"])
+            out = [{**told, "now": None, "error": f"{type(e).__name__}: {e}"}]
+    state |= {n: getattr(trigger, n) for n in ("last", "since", "due", "window", "dropped")}
+    return out
+
+
+def understanding(events: DataFrame, model: Callable[[], Callable[[str, list], str]] | None, **settings) -> DataFrame:
+    """The loop as a stream over (video_id, seq, t, type, ...); ``model`` makes the callable, once for each worker's state.
+
+    Its rows are events of type ``understanding`` again if published with ``feedback``.
+    """
+    return _stateful(events, lambda state, row: understanding_step(state, row, model() if model else None, settings), dict, UNDERSTOOD)
+
+
+def understood(events: DataFrame, model: Callable[[], Callable[[str, list], str]] | None, **settings) -> DataFrame:
+    """The same loop over a table."""
+    names = [c.split()[0] for c in UNDERSTOOD.split(", ")]
+
+    def start() -> Steps:
+        state: dict = {}
+        ask = model() if model else None
+
+        def step(r) -> list[tuple]:
+            return [(r.video_id, *(x[n] for n in names[1:])) for x in understanding_step(state, r._asdict(), ask, settings)]
+
+        return Steps(step)
+
+    return folded(events, start, UNDERSTOOD)
+
+
+def feedback(results: DataFrame) -> DataFrame:
+    """Answers as events (video_id, seq, t, type, text), at the end of the window that they speak of."""
+    return results.where("error is null").selectExpr("video_id", "seq", "t1 as t", "'understanding' as type", "now as text")
+
+
+def windowed_counts(events: DataFrame, seconds: float, late: str) -> DataFrame:
+    """Events by timeline, type and tumbling window of ``ts``; those older than the watermark ``late`` are dropped and counted by Spark."""
+    from pyspark.sql import functions as F
+
+    kept = events.withWatermark("ts", late).groupBy("video_id", "type", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count("*").alias("n"))
+    return kept.select("video_id", "type", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def run_until(query, seconds: float | None = None) -> None:
+    """Wait for a query; an interrupt or the end of the time stops it, and what it wrote and its checkpoint stay."""
+    try:
+        query.awaitTermination(seconds)
+    except KeyboardInterrupt:
+        pass
+    finally:
+        query.stop()
 
 
 def session_step(state: dict, row: dict) -> list[dict]:

@@ -194,14 +194,103 @@ def test_trigger():
     t = live.Trigger()
     assert t.step({"type": "keyframe", "t": 0.0, "reason": "first_frame"}) is None
     w = t.step({"type": "asr", "t": 1.0, "text": "x"})
-    assert w["asr"] == ["x"] and t.step({"type": "asr", "t": 5.0, "text": "y"}) is None
-    assert t.step({"type": "keyframe", "t": 9.0, "reason": "scene_change"})["asr"] == ["y"]
-    failed = {"kf": [], "asr": ["z"], "motion_n": 0, "retries": 2}
-    t.failed(failed)
-    assert t.due and t.window["asr"] == ["z"] and t.window["retries"] == 3
-    t.failed(t.window)
-    assert t.dropped == 1
-    assert t.step({"type": "asr", "t": 100.0, "ego_suspect": True}) is None and t.step({"type": "asr", "t": 131.0, "ego_suspect": True})
+    assert w["asr"] == "x" and w["t0"] == 0.0 and t.step({"type": "asr", "t": 5.0, "text": "y"}) is None
+    assert t.step({"type": "keyframe", "t": 9.0, "reason": "scene_change"})["asr"] == "y"
+    assert t.failed({**live.empty_window(), "asr": "z", "t0": 1.0, "retries": 2})
+    assert t.due and t.window["asr"] == "z" and t.window["retries"] == 3
+    assert not t.failed(t.window) and t.dropped == 1
+
+
+def test_trigger_defers():
+    shot = lambda t, **more: {"type": "keyframe", "t": t, "reason": "scene_change", **more}
+    t = live.Trigger(floor=0)
+    assert [t.step(shot(x, ego_suspect=True)) is not None for x in (0.0, 29.0, 30.0, 31.0)] == [False, False, True, False]
+    assert t.step(shot(40.0)) is not None
+    never = live.Trigger(floor=0, defer=0)
+    assert all(never.step(shot(x, ego_suspect=True)) is None for x in (0.0, 1e6)) and len(never.window["kf"]) == 2
+    assert never.step({"type": "asr", "t": 1e6, "text": "a", "ego_suspect": True})
+    alone = live.Trigger(floor=0)
+    assert alone.step({"type": "motion_end", "t": 1.0, "duration": 9.0}) is None and not alone.due
+
+
+def test_understanding_retries():
+    import json
+
+    model = plugins.ScriptedModel(['{"now": "ok"}'], fail_next=1)
+    state, rows = {}, []
+    for t in (0.0, 1.0, 2.5, 5.0, 11.0):
+        rows += live.understanding_step(state, {"seq": int(t), "type": "asr", "t": t, "text": str(t)}, lambda speech, kf: model(speech), {})
+        state = json.loads(json.dumps(state))
+    assert [(r["t"], r["retries"], r["now"]) for r in rows] == [(0.0, 0, None), (2.5, 1, "ok"), (11.0, 0, "ok")]
+    assert live.understanding_step({}, {"seq": 0, "type": "asr", "t": 0.0, "text": "x"}, None, {}) == []
+    assert [live.answer(x) for x in ('a {"now": "b"} c', "plain", None, "{no}")] == ["b", "plain", "", "{no}"]
+
+
+def test_reconnects():
+    from tempora.sources.reconnect import Mailbox, Reconnecting, Stats
+
+    def connect():
+        yield from (1, 2)
+        raise OSError("gone")
+
+    source = Reconnecting(connect, budget=2, delay=0)
+    assert list(source) == [1, 2] * 3
+    assert source.stats.reconnects == 2 and source.stats.down and "gone" in source.stats.error
+    box = Mailbox(Stats())
+    box.put(1), box.put(2)
+    assert box.take(0) == 2 and box.take(0) is None and (box.stats.read, box.stats.dropped) == (1, 1)
+
+
+def test_plugin_tables(spark):
+    rows = spark.createDataFrame([(1, 1, 0.12345, bytearray(b"a\n \nbc"))], "video_id long, seq long, t double, content binary")
+    assert [tuple(r) for r in plugins.read_text(rows, "mock").collect()] == [(1, 1, 0, 0.123, "a", 0.01), (1, 1, 2, 0.123, "bc", 0.02)]
+    assert plugins.embed(rows, "mock").first()["v"][0] == 6.0
+    sound = spark.createDataFrame([(1, bytearray(np.zeros(16_000 * 15 + 3_199, np.float32).tobytes()))], "video_id long, samples binary")
+    assert [tuple(r) for r in plugins.transcribe(sound, "mock").collect()] == [(1, 0.0, "240000 samples")]
+
+
+def test_asking_an_index(spark, tmp_path):
+    import json
+
+    from tempora.operators import focus
+
+    doc = {"asr": [{"t": 5.0, "end_t": 8.0, "text": "Key point"}, {"t": 100.0, "end_t": 101.0, "text": "other"}], "attention_windows": [{"t": 40.0, "end": 50.0}]}
+    (tmp_path / "index.json").write_text(json.dumps(doc))
+    frames = spark.createDataFrame([(0, k, k / 2, [float(k // 20 * 90)] * 4, 0, [1.0, 2.0], True) for k in range(110)], "video_id long, seq long, t double, grey array<double>, phash long, hist array<double>, motion boolean")
+    got = focus.query_index(spark, str(tmp_path / "index.json"), frames, ["key"])
+    assert [(r.start_t, r.end_t) for r in got["ranges"].orderBy("start_t").collect()] == [(5.0, 8.0), (40.0, 50.0)]
+    first = got["focused"].where("reason = 'first_frame'").orderBy("t").collect()
+    assert [(r.video_id, r.start_t, r.t) for r in first] == [(0, 5.0, 5.0), (0, 40.0, 40.0)]
+    only = focus.query_index(spark, str(tmp_path / "index.json"), None, ["key"], attention_only=True)["ranges"].collect()
+    assert [(r.start_t, r.end_t) for r in only] == [(40.0, 50.0)]
+
+
+def test_representatives_and_truth(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"representatives": [{"t": 2, "path": "b"}, {"t": 1.5, "path": "a"}]}')
+    (tmp_path / "b.json").write_text('[{"t": 3.0}]')
+    assert [r.t for r in readers.representatives(spark, str(tmp_path / "a.json")).collect()] == [1.5, 2.0]
+    assert [r.t for r in readers.representatives(spark, str(tmp_path / "b.json")).collect()] == [3.0]
+    (tmp_path / "gt.json").write_text('{"scenes": [{"start_s": 5, "end_s": 9, "desc": "y"}, {"start_s": 0, "end_s": 5, "desc": "x"}]}')
+    (tmp_path / "none.json").write_text('{"scenes": []}')
+    assert [r.desc for r in readers.ground_truth(spark, str(tmp_path / "gt.json")).collect()] == ["x", "y"]
+    with pytest.raises(Exception, match="no scenes"):
+        readers.ground_truth(spark, str(tmp_path / "none.json")).collect()
+    assert len(readers.file_digests(spark, str(tmp_path), "a.json").first()["sha256"]) == 64
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "video_id long, type string, ts timestamp"
+    for times in ([1, 3], [100], [101], [2], [200]):
+        spark.createDataFrame([(1, "asr", at(s)) for s in times], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = live.windowed_counts(stream, 2.0, "10 seconds").writeStream.format("memory").queryName("late_rows").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    live.run_until(q, 0.1)
+    got = {(r.start.second, r.n) for r in spark.table("late_rows").collect() if r.start.minute == 0}
+    assert got == {(0, 1), (2, 1)}
 
 
 def test_vision():
