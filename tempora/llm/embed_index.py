@@ -35,6 +35,8 @@ from tempora.llm import bytesx
 from tempora.llm.scratch import Stash, small_batches, stash
 
 SAMPLE = 20_000
+#: Points of the sample whose true neighbours among all rows set the radius.
+PROBES = 256
 ROUNDS = 30
 #: Bits of a code, of a substring, and of a word that holds four of these.
 BITS, WIDTH, WORD = 256, 16, 64
@@ -229,22 +231,39 @@ def _reranked(spark: SparkSession, pairs: DataFrame, vectors: DataFrame, asked:
     return stash(spark, each.mapInArrow(run, "query_id long, vec_id long, score double"), "best")
 
 
-def calibrated_radius(sample: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, share: float = 0.95, probes: int = 256) -> int:
-    """The Hamming radius that holds ``share`` of the k true neighbours within the sample.
+def calibrated_radius(index: DataFrame, ids: np.ndarray, points: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, share: float = 0.95) -> int:
+    """The Hamming radius that holds ``share`` of the k true neighbours that the given points have among all rows of the index.
 
-    Neighbours in a sample lie no nearer than in the whole table, so the radius errs on the wide side.
+    Neighbours come nearer as a table grows, so a radius from a part of it would retrieve a share of all pairs that
+    never falls. One pass compares the points (a fixed number) with every row; each task keeps k for each.
     """
-    if len(sample) < 2:
-        return turn.shape[1]
-    codes = encode(sample, mean, turn)
-    step = max(1, len(sample) // probes)
-    q = np.arange(0, len(sample), step)
-    scores = sample[q] @ sample.T
-    scores[np.arange(len(q)), q] = -np.inf
-    k = min(k, len(sample) - 1)
-    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    away = np.bitwise_count(codes[q][:, None, :] ^ codes[best]).sum(axis=2)
-    return int(np.ceil(np.quantile(away, share)))
+    bits = turn.shape[1]
+    if len(points) < 1:
+        return bits
+    names, dim = words(bits), points.shape[1]
+    wide = np.zeros((len(points), len(names) * 8), np.uint8)
+    wide[:, : bits // 8] = encode(points, mean, turn)
+    codes = wide.view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, apart = np.full((len(points), k), -np.inf), np.zeros((len(points), k), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            scores = points @ _packed(b["v"], dim).T
+            scores[ids[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
+            code = np.column_stack([b[c].to_numpy() for c in names]).view(np.uint64)
+            away = np.bitwise_count(codes[:, None, :] ^ code[None, :, :]).sum(axis=2, dtype=np.int64)
+            best, apart = np.concatenate((best, scores), axis=1), np.concatenate((apart, away), axis=1)
+            top = np.argpartition(-best, k - 1, axis=1)[:, :k]
+            best, apart = np.take_along_axis(best, top, 1), np.take_along_axis(apart, top, 1)
+        probe, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(probe), pa.array(best[probe, at]), pa.array(apart[probe, at])], names=["probe", "score", "away"])
+
+    first = Window.partitionBy("probe").orderBy(F.desc("score"), "away")
+    near = index.select("id", "v", *names).mapInArrow(run, "probe long, score double, away long").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= k)
+    away = near.select("away").toArrow()["away"].to_numpy()  # PROBES * k numbers at most
+    return int(np.ceil(np.quantile(away, share))) if len(away) else bits
 
 
 def nearest(
@@ -256,7 +275,7 @@ def nearest(
     Vectors that are null, zero, or hold null or non-finite components take no part, and neither do
     null ids or vectors of another length than most. A query never meets rows of its own id. Rows
     repeated with one id and vector count once. Ties go to the smaller id. Empty tables give none.
-    The rotation and the radius are fitted on at most ``sample`` rows; every row is indexed. ``bits`` is a
+    The rotation is fitted on at most ``sample`` rows, the radius on the neighbours of ``PROBES`` of them among all; every row is indexed. ``bits`` is a
     multiple of 16.
     """
     small_batches(spark)
@@ -283,13 +302,13 @@ def nearest(
         return spark.createDataFrame([], schema)
     dim, n = sizes[0]["dim"], sizes[0]["count"]
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    fit = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"]
-    points = _packed(fit, dim)
+    fit = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toArrow()
+    points, ids = _packed(fit["v"], dim), fit["id"].to_numpy()
     mean, turn = learn_rotation(points, bits)
-    reach = calibrated_radius(points, mean, turn, k) if radius is None else radius
     alike = Window.partitionBy("v").orderBy("id")
     rows = rows.withColumn("_k", F.dense_rank().over(alike)).where(F.col("_k") <= k + 1).drop("_k").dropDuplicates(["id", "v"])
     index, todo = known(rows, "index"), known(asked, "asked")
+    reach = calibrated_radius(index.df, ids[:PROBES], points[:PROBES], mean, turn, k) if radius is None else radius
     high = min(WIDTH, max(0, int(np.ceil(np.log2(max(1, n / PART_ROWS))))))
     found: list[DataFrame] = []
     while True:
