@@ -179,6 +179,13 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + shift
 
 
+def blocks(eight: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all runs in blocks of eight, the last one of each filled up with zeros; blocks in each), of ``Runs.eight``."""
+    n = -(-size // 8)
+    number = ragged(np.zeros(len(n), np.int64), n)
+    return eight[np.repeat(starts, n) + 8 * number] & _LOW[np.minimum(np.repeat(size, n) - 8 * number, 8)], n
+
+
 def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column of the runs of ``data`` between consecutive offsets."""
     return pa.Array.from_buffers(

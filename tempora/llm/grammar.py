@@ -15,6 +15,7 @@ lengths u32, symbols. Shards are rows of a Parquet table in ascending order of d
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -48,14 +49,19 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.n
     """(symbols, rules of shape (r, 2), expansion lengths of the rules) of ids below ``base``.
 
     Each round replaces the pairs that come at least a SHARE-th as often as the most frequent one, until
-    no pair comes ``least`` times.
+    no pair comes ``least`` times. A pair of old symbols only gets rarer, so a round counts the places alone
+    whose pair was frequent before or holds a new symbol.
     """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(base, dtype=np.uint32)
-    while len(seq) >= 2:
+    live = np.arange(len(seq) - 1)
+    while len(live):
         wide = len(lengths) > 65_536
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:] if wide else (seq[:-1] << np.uint32(16)) | seq[1:]
+        if 2 * len(live) > len(seq):
+            key = ((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:] if wide else (seq[:-1] << np.uint32(16)) | seq[1:])[live]
+        else:
+            key = (seq[live].astype(np.uint64) << np.uint64(32)) | seq[live + 1] if wide else (seq[live] << np.uint32(16)) | seq[live + 1]
         ordered = np.sort(key)
         at = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
         counts = np.diff(np.concatenate((at, [len(ordered)])))
@@ -63,23 +69,36 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.n
         if top < least:
             break
         chosen = ordered[at[np.flatnonzero(counts >= max(least, top // SHARE))]]
-        maybe = np.zeros(1 << 20, dtype=bool)
-        maybe[_slot(chosen)] = True
-        place = np.flatnonzero(maybe[_slot(key)])
-        where = np.minimum(np.searchsorted(chosen, key[place]), len(chosen) - 1)
-        hit = chosen[where] == key[place]
-        place, where = place[hit], where[hit]
+        # By slot: 0 where a pair is frequent, the pair's number from 1 where one is chosen; pairs that meet are told apart by search.
+        state = np.full(1 << 20, -1, dtype=np.int32)
+        state[_slot(ordered[at[np.flatnonzero(counts >= least)]])] = 0
+        state[_slot(chosen)] = np.arange(1, len(chosen) + 1)
+        state = state[_slot(key)]
+        maybe = np.flatnonzero(state > 0)
+        where, wanted = state[maybe] - 1, key[maybe]
+        other = np.flatnonzero(chosen[where] != wanted)
+        where[other] = np.minimum(np.searchsorted(chosen, wanted[other]), len(chosen) - 1)
+        hit = np.ones(len(maybe), dtype=bool)
+        hit[other] = chosen[where[other]] == wanted[other]
+        place, where = live[maybe[hit]], where[hit]
         chain = np.concatenate(([True], np.diff(place) > 1))
         first = place[np.flatnonzero(chain)][np.cumsum(chain) - 1]
         take = (place - first) % 2 == 0
-        place = place[take]
-        used, kind = np.unique(where[take], return_inverse=True)
+        place, where = place[take], where[take]
+        used = np.bincount(where, minlength=len(chosen)) > 0
+        pairs = chosen[used]
         shift = 32 if wide else 16
-        left, right = (chosen[used] >> chosen.dtype.type(shift)).astype(np.uint32), (chosen[used] & chosen.dtype.type((1 << shift) - 1)).astype(np.uint32)
-        seq[place] = (len(lengths) + kind).astype(np.uint32)
+        left, right = (pairs >> pairs.dtype.type(shift)).astype(np.uint32), (pairs & pairs.dtype.type((1 << shift) - 1)).astype(np.uint32)
+        seq[place] = (len(lengths) + np.cumsum(used) - 1).astype(np.uint32)[where]
         keep = np.ones(len(seq), dtype=bool)
         keep[place + 1] = False
-        seq = seq[keep]
+        # The new symbols' pairs start at them and one before; what starts at a removed place goes with it.
+        alive = np.zeros(len(seq), dtype=bool)
+        alive[live] = state >= 0
+        alive[place] = True
+        alive[np.maximum(place - 1, 0)] = True
+        seq, live = seq[keep], np.flatnonzero(alive[keep])
+        live = live[live < len(seq) - 1]
         rules.append(np.column_stack((left, right)))
         lengths = np.concatenate((lengths, lengths[left] + lengths[right]))
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), lengths[base:]
@@ -96,8 +115,7 @@ def _widened(blob: bytes, count: int, width: int, at: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
+def _expanded(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     seq = seq.astype(np.int64)
     while True:
         inner = seq >= base
@@ -111,6 +129,18 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
         seq = out
 
 
+def expand(seq: np.ndarray, rules: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for; ``span`` has how many each one does. Every rule among them is expanded once."""
+    base = len(span) - len(rules)
+    used = np.zeros(len(span), dtype=bool)
+    used[seq] = True
+    needed = base + np.flatnonzero(used[base:])
+    pool = np.concatenate((np.arange(base, dtype=np.uint32), _expanded(needed, rules, base)))
+    start = np.arange(len(span))
+    start[needed] = base + np.cumsum(span[needed]) - span[needed]
+    return pool[bytesx.ragged(start[seq], span[seq])]
+
+
 def pack(ids: np.ndarray, sizes: np.ndarray, base: int) -> bytes:
     seq, rules, lengths = compress(ids, base)
     width = next(w for w in (2, 3, 4) if base + len(rules) <= 1 << 8 * w)
@@ -131,15 +161,15 @@ class Shard:
             parts.append(_widened(blob, count, w, at))
             at += w * count
         self.sizes, self.rules, self.lengths, self.symbols = parts[0], parts[1].reshape(-1, 2), parts[2], parts[3]
-        size = np.concatenate((np.ones(self.base, np.int64), self.lengths.astype(np.int64)))[self.symbols]
-        self.ends = np.cumsum(size)
+        self.span = np.concatenate((np.ones(self.base, np.int64), self.lengths.astype(np.int64)))
+        self.ends = np.cumsum(self.span[self.symbols])
 
     def ids(self, start: int, end: int) -> np.ndarray:
         if end <= start:
             return np.zeros(0, np.uint32)
         i, j = np.searchsorted(self.ends, [start, end - 1], side="right")
         skipped = int(self.ends[i - 1]) if i else 0
-        return expand(self.symbols[i : j + 1], self.rules, self.base)[start - skipped : end - skipped]
+        return expand(self.symbols[i : j + 1], self.rules, self.span)[start - skipped : end - skipped]
 
     def document(self, k: int) -> np.ndarray:
         start = int(self.sizes[:k].sum())
@@ -157,25 +187,57 @@ KNOWN = {
     ]},
     "end_of_word_suffix": "</w>",
 }
-_LETTER = np.isin(np.arange(256), np.arange(97, 123))
-_MARK = np.array([33 <= i < 127 and not chr(i).isalnum() for i in range(256)])
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The sign that stands for each byte in a byte-level vocabulary. The space stays, since it parts words here.
+_SIGN = np.zeros(256, dtype="<u4")
+_SIGN[_PRINTED] = _PRINTED
+_SIGN[_SIGN == 0] = np.arange(256, 512 - len(_PRINTED))
+_SIGN[32] = 32
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, cut again where an ASCII mark follows an ASCII letter: no piece of the tokenizer spans that.
+    """Words without A-Z, cut again where an ASCII mark follows a letter up to U+00FF: no piece of the tokenizer spans that.
 
     A letter after a mark is no such place (an apostrophe may belong to the letters after it).
     """
     starts, ends, _ = bytesx.words(data, offsets)
     first = np.zeros(len(data) + 1, dtype=bool)
     last = np.zeros(len(data) + 1, dtype=bool)
-    cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+    letter = data - np.uint8(97) < 26
+    mark = (data - np.uint8(33) < 94) & ~letter & (data - np.uint8(48) > 9)
+    # The letters from U+00C0 on are the byte C3 and one more; two of those are signs.
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut = np.flatnonzero(letter[:-1] & mark[1:]) + 1
     first[starts], first[cut] = True, True
     last[ends], last[cut] = True, True
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last), np.diff(np.searchsorted(starts, offsets))
 
 
+#: Latin small letters, which the tokenizer neither changes nor cuts.
+_plain = re.compile(f"[{''.join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower())}]+").fullmatch
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct value, which of them each value is)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
+def _grown(array: np.ndarray, n: int) -> np.ndarray:
+    """``array`` with room for ``n`` values."""
+    if n <= len(array):
+        return array
+    out = np.zeros(max(n, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 class WordEncoder:
     """Ids of whole texts through a library tokenizer.
 
@@ -197,6 +259,9 @@ class WordEncoder:
         self.by_word = stated == KNOWN and file["model"].get("dropout") is None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        #: No added token is looked for in words of letters.
+        self.straight = all(t["special"] for t in file.get("added_tokens") or [])
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.closes = np.zeros(self.base, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -204,50 +269,105 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
+        #: Numbers of words by the low bits of their digests, the next free slot where those meet.
+        self.slots = np.full(1 << 20, -1, np.int32)
+        self.known = self.used = self.filled = 0
+        self.digest = np.zeros(1 << 16, np.uint64)
+        #: Each word's bytes, in blocks of eight, and its ids.
+        self.size, self.block, self.start, self.count = (np.zeros(1 << 16, np.int64) for _ in range(4))
+        self.blocks = np.zeros(1 << 18, np.uint64)
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids in each). Words of letters alone go to the library as one line.
 
-        Such a word is one piece, and a piece's last id is the only one that ends a word. Where the ends
-        don't add up (the library knows other letters), each word goes on its own.
+    def _find(self, digests: np.ndarray) -> np.ndarray:
+        """Numbers of the words with these digests, -1 where there is none."""
+        found, mask = np.full(len(digests), -1, np.int64), len(self.slots) - 1
+        todo, at = np.arange(len(digests)), (digests & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            number = self.slots[at]
+            hit = (number >= 0) & (self.digest[number] == digests[todo])
+            found[todo[hit]] = number[hit]
+            more = (number >= 0) & ~hit
+            todo, at = todo[more], (at[more] + 1) & mask
+        return found
+
+    def _enter(self, numbers: np.ndarray) -> None:
+        """Let words be found by their digests, which differ."""
+        mask = len(self.slots) - 1
+        at = (self.digest[numbers] & np.uint64(mask)).astype(np.int64)
+        while len(at):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]
+            more = self.slots[at] != numbers
+            numbers, at = numbers[more], (at[more] + 1) & mask
+
+    def _equal(self, numbers: np.ndarray, eight: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether known words have the bytes of the words at ``starts``."""
+        ok = self.size[numbers] == size
+        if ok.any():
+            blocks, n = bytesx.blocks(eight, starts[ok], size[ok])
+            same = self.blocks[bytesx.ragged(self.block[numbers[ok]], n)] == blocks
+            ok[ok] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        return ok
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids in each).
+
+        Words of Latin small letters go straight to the library's model, other words of letters alone to the whole
+        library as one line: such a word is one piece, and a piece's last id is the only one that ends a word. Where
+        the ends don't add up (the library knows other letters), each word goes on its own.
         """
-        line = [k for k, t in enumerate(texts) if t.isalpha() and (t.isascii() or unicodedata.is_normalized("NFC", t))]
-        if line:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[k] for k in line)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(line) or ends[-1] != len(ids):
-                line = []
-        rest = sorted(set(range(len(texts))).difference(line))
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)] if rest else []
-        size = np.zeros(len(texts), np.int64)
-        if line:
-            size[line] = np.diff(np.concatenate(([0], ends)))
-        size[rest] = [len(x) for x in lists]
-        start = np.concatenate(([0], np.cumsum(size)))[:-1]
-        flat = np.zeros(int(size.sum()), np.uint32)
-        if line:
-            flat[bytesx.ragged(start[line], size[line])] = ids
+        texts = [w.decode() for w in words]
+        plain = [k for k, t in enumerate(texts) if t.isascii() and t.isalpha() or _plain(t)] if self.straight else []
+        others = sorted(set(range(len(texts))).difference(plain))
+        line = [k for k in others if texts[k].isalpha() and unicodedata.is_normalized("NFC", texts[k])]
+        flat, size, rest = [], np.zeros(len(texts), np.int64), set(others).difference(line)
+        for some, encode in ((plain, self._by_model), (line, self._by_line)):
+            if some:
+                ids = np.array(encode(" ".join(texts[k] for k in some)), dtype=np.uint32)
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(some) and ends[-1] == len(ids):
+                    size[some] = np.diff(np.concatenate(([0], ends)))
+                    flat.append((some, ids))
+                else:
+                    rest.update(some)
         if rest:
-            flat[bytesx.ragged(start[rest], size[rest])] = list(itertools.chain.from_iterable(lists))
-        return flat, size
-
-    def _learn(self, texts: list[bytes]) -> None:
-        flat, size = self._encode([t.decode() for t in texts])
-        k = len(self.known)
-        while k + len(texts) > len(self.start):
-            self.start, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.known.update(zip(texts, range(k, k + len(texts)), strict=True))
-        self.start[k : k + len(texts)] = self.used + np.concatenate(([0], np.cumsum(size)))[:-1]
-        self.count[k : k + len(texts)] = size
+            some = sorted(rest)
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)]
+            size[some] = [len(x) for x in lists]
+            flat.append((some, list(itertools.chain.from_iterable(lists))))
+        start = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.uint32)
+        for some, ids in flat:
+            out[bytesx.ragged(start[some], size[some])] = ids
+        return out, size
+
+    def _by_model(self, line: str) -> list[int]:
+        signs = _SIGN[np.frombuffer(line.encode(), np.uint8)].tobytes().decode("utf-32-le")
+        return [t.id for w in signs.split(" ") for t in self.model.tokenize(w)]
+
+    def _by_line(self, line: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[bytes], digests: np.ndarray, eight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Numbers of new words, which ``_enter`` lets be found."""
+        flat, count = self._encode(words)
+        size = np.array([len(w) for w in words], np.int64)
+        blocks, n = bytesx.blocks(eight, starts, size)
+        numbers = np.arange(self.known, self.known + len(words))
+        self.known += len(words)
+        self.digest, self.size, self.block, self.start, self.count = (
+            _grown(x, self.known) for x in (self.digest, self.size, self.block, self.start, self.count)
+        )
+        self.flat = _grown(self.flat, self.used + len(flat))
+        self.blocks = _grown(self.blocks, self.filled + len(blocks))
+        self.digest[numbers], self.size[numbers], self.count[numbers] = digests, size, count
+        self.start[numbers] = self.used + np.cumsum(count) - count
+        self.block[numbers] = self.filled + np.cumsum(n) - n
         self.flat[self.used : self.used + len(flat)] = flat
+        self.blocks[self.filled : self.filled + len(blocks)] = blocks
         self.used += len(flat)
+        self.filled += len(blocks)
+        return numbers
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after another, ids in each), without end ids."""
@@ -258,26 +378,34 @@ class WordEncoder:
             return np.array([x for ids in lists for x in ids], dtype=np.uint32), np.array([len(x) for x in lists], dtype=np.int64)
         data = bytesx.lower(data)  # the tokenizer lowers all letters itself
         starts, ends, counts = _pieces(data, offsets)
-        if len(self.known) > CACHE:
+        if self.known > CACHE:
             self.forget()
         runs, size = bytesx.Runs(data), ends - starts
-        _, first, back = np.unique(runs(starts, ends), return_index=True, return_inverse=True)
+        digests = runs(starts, ends)
+        first, back = _distinct(digests)
         # Words of one digest that are not one word go on their own.
         rep = first[back]
         same = size == size[rep]
         same[same] = runs.equal(starts[same], starts[rep[same]], size[same])
         odd = np.flatnonzero(~same)
         back[odd] = len(first) + np.arange(len(odd))
+        number = np.concatenate((self._find(digests[first]), np.full(len(odd), -1)))
+        found = number >= 0
+        alone = np.arange(len(number)) >= len(first)
         first = np.concatenate((first, odd))
-        raw = data.tobytes()
-        keys = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        place = [self.known.get(k, -1) for k in keys]
-        new = [i for i, p in enumerate(place) if p < 0]
-        for at in range(0, len(new), 4_096):
-            self._learn([keys[i] for i in new[at : at + 4_096]])
-        for i in new:
-            place[i] = self.known[keys[i]]
-        word = np.array(place, dtype=np.int64)[back]
+        alone[found] = ~self._equal(number[found], runs.eight, starts[first[found]], size[first[found]])
+        new = np.flatnonzero(~found | alone)
+        raw, at = data.tobytes(), first[new]
+        words = [raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        for k in range(0, len(new), 4_096):
+            mine = slice(k, k + 4_096)
+            number[new[mine]] = self._learn(words[mine], digests[at[mine]], runs.eight, starts[at[mine]])
+        while 2 * self.known > len(self.slots):
+            old = np.sort(self.slots[self.slots >= 0])
+            self.slots = np.full(2 * len(self.slots), -1, np.int32)
+            self._enter(old)
+        self._enter(number[new[~alone[new]]])
+        word = number[back]
         many = self.count[word]
         ids = self.flat[bytesx.ragged(self.start[word], many)]
         total = np.concatenate(([0], np.cumsum(many)))

@@ -225,6 +225,66 @@ def test_grammar_random_access():
             assert (s.ids(min(a, b), max(a, b)) == ids[min(a, b) : max(a, b)]).all()
 
 
+def test_grammar_counts_only_pairs_that_may_be_frequent(monkeypatch):
+    """Rounds go on until no pair is frequent, but sort few keys after the first ones."""
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 900, rng.integers(2, 7)) for _ in range(3_000)]
+    ids = np.concatenate([words[k] for k in np.minimum(rng.zipf(1.3, 40_000), 3_000) - 1]).astype(np.uint32)
+    sort, sizes = np.sort, []
+    monkeypatch.setattr(np, "sort", lambda a, *rest, **more: (sizes.append(len(a)), sort(a, *rest, **more))[1])
+    for base in (1_000, 65_530, 70_000):  # symbols of two bytes, of two and then more, of more
+        sizes.clear()
+        seq, rules, lengths = grammar.compress(ids, base)
+        assert len(sizes) > 5 and sum(sizes) < 0.5 * len(sizes) * len(ids)
+        pairs = Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True))
+        assert len(rules) > 100 and max(pairs.values()) < grammar.LEAST_COUNT
+        span = np.concatenate((np.ones(base, np.int64), lengths))
+        assert span[base:].tolist() == span[rules].sum(1).tolist() and (grammar.expand(seq, rules, span) == ids).all()
+
+
+def _encoded(enc, texts):
+    raw = [x.encode() for x in texts]
+    ids, sizes = enc(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+def test_words_go_to_the_model(monkeypatch):
+    """Words of Latin letters pass the library's cutting of texts by, and get the ids that it would give them."""
+    enc = grammar.WordEncoder(public.path("word_bpe_49k.json"))
+    t = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    letters = [chr(c) for c in range(0x370) if chr(c).isalpha()]
+    odd = ["\u0130stanbul", "ΟΔΟΣ", "e\u0301te\u0301", "\u212b", "<|endoftext|>", "l'été's", "É!!", "3×é÷2=", "c'é=\u0338", "日本語", "\u200bab", "x\x85y", "é" * 300, "a" * 70_000]
+    texts = [" ".join(f"a{c}b {c} {c}'ll,{c}" for c in letters), " ".join(odd), "", "été Été thé, straße STRASSE ſ ŉ ª º"]
+    assert _encoded(enc, texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+    class Spy:
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return enc_tokenizer.encode_batch_fast(texts, **more)
+
+    seen, enc_tokenizer = [], enc.tokenizer
+    monkeypatch.setattr(enc, "tokenizer", Spy())
+    text = "Plain words, größere Wörter, déjà vu); señor!"
+    assert _encoded(enc, [text]) == [t.encode(text, add_special_tokens=False).ids]
+    assert not [x for x in seen if any(c.isalpha() for c in x)]
+
+
+def test_known_words(monkeypatch):
+    """Words that a worker knows already, with digests that meet, a table that grows, and one that starts afresh."""
+    t = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 300)} {'q' * rng.randint(1, 40)}é{rng.randint(0, 9)}" for _ in range(150)) for _ in range(8)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    call = bytesx.Runs.__call__
+    for bits, cache in ((64, 500_000), (64, 200), (6, 500_000), (0, 500_000)):
+        monkeypatch.setattr(bytesx.Runs, "__call__", lambda self, a, b, keep=np.uint64(2**bits - 1): call(self, a, b) & keep)
+        monkeypatch.setattr(grammar, "CACHE", cache)
+        enc = grammar.WordEncoder(public.path("word_bpe_49k.json"))
+        enc.slots = enc.slots[:4].copy()
+        assert [_encoded(enc, [x])[0] for x in texts + texts] == want + want
+
+
 def test_wordbpe(spark, docs, pairs):
     ranks = wordbpe.Ranks(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
     got = wordbpe.encode_texts(spark, docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, bundle=7, words_per_block=50).collect()
