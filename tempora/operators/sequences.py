@@ -6,8 +6,11 @@ each timeline in one grouped pass here and over state in the stream, so that bot
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import asdict
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -96,7 +99,7 @@ class KeyframeState:
         self.soft = [(a, s) for a, s in (*self.soft, (t, score)) if t - a <= c.soft_window]
         self.over = [*self.over, high][-max(c.drift_window, c.drift_confirm) :]
         if not high:
-            mean = sum(s for _, s in self.soft) / len(self.soft)
+            mean = _total(s for _, s in self.soft) / len(self.soft)
             drifts = c.drift_confirm > 0 and len(self.soft) >= c.soft_checks and mean > c.soft_ratio * c.change_threshold
             return self._accept(t, grey, phash, hist, "gradual_drift") if drifts else None
         fresh = (phash ^ self.hashes[-1]).bit_count() > c.phash_distance or _correlation(hist, self.hist) < c.hist_correlation
@@ -108,12 +111,30 @@ class KeyframeState:
         return None
 
 
+def _total(values: Iterable[float]) -> float:
+    """Added from left to right and rounded at each step, as SQL does; sum() and numpy keep or group what rounding loses, which decides ties."""
+    return reduce(add, values, 0.0)
+
+
+def _square(x: float) -> float:
+    """By pow(), as SQL's ``**``; its last bit is not always that of x * x."""
+    try:
+        return math.pow(x, 2.0)
+    except OverflowError:
+        return math.inf
+
+
 def _correlation(a, b) -> float:
     """Pearson correlation of two histograms; 1 where a side does not vary."""
-    x, y = np.asarray(a, float), np.asarray(b, float)
-    x, y = x - x.mean(), y - y.mean()
-    norm = float(np.sqrt((x * x).sum() * (y * y).sum()))
-    return 1.0 if norm == 0 else float((x * y).sum()) / norm
+    x, y = _centred(a), _centred(b)
+    norm = math.sqrt(_total(map(_square, x)) * _total(map(_square, y)))
+    return 1.0 if norm == 0 else _total(p * q for p, q in zip(x, y, strict=True)) / norm
+
+
+def _centred(values) -> list[float]:
+    x = [float(v) for v in values]
+    mean = _total(x) / len(x) if x else 0.0
+    return [v - mean for v in x]
 
 
 def accept_keyframes(frames: DataFrame, config: MotionConfig = MotionConfig(), key: str = "long") -> DataFrame:
